@@ -58,21 +58,22 @@ def with_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
         lambda acc: acc["n"],
     )
     letters = F.regexp_replace("_text", r"[^\p{L}]+", "")
-    return x.withColumns(
-        {
-            "n_words": F.size("_words").cast("long"),
-            "word_chars": F.length(F.regexp_replace("_text", f"{SPACE}+", "")).cast("long"),
-            "n_symbols": (F.length("_text") - F.length(F.translate("_text", SYMBOLS, ""))).cast("long"),
-            "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-            "n_repeat_words": F.when(F.col("_twice"), covered).otherwise(0).cast("long"),
-            "n_lines": F.size("_lines").cast("long"),
-            "n_letters": F.length(letters).cast("long"),
-            "n_capitals": F.length(F.regexp_replace("_text", r"[^\p{Lu}]+", "")).cast("long"),
-            "n_shouts": (F.length("_text") - F.length(F.translate("_text", "!?", ""))).cast("long"),
-            "n_distinct": F.size(F.array_distinct("_words")).cast("long"),
-            "n_stops": (F.length("_text") - F.length(F.translate("_text", ".", ""))).cast("long"),
-        }
-    ).drop("_text", "_words", "_lines", "_grams", "_twice", "_sorted")
+    counts = {
+        "n_words": F.size("_words").cast("long"),
+        "word_chars": F.length(F.regexp_replace("_text", f"{SPACE}+", "")).cast("long"),
+        "n_symbols": (F.length("_text") - F.length(F.translate("_text", SYMBOLS, ""))).cast("long"),
+        "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
+        "n_repeat_words": F.when(F.col("_twice"), covered).otherwise(0).cast("long"),
+        "n_lines": F.size("_lines").cast("long"),
+        "n_letters": F.length(letters).cast("long"),
+        "n_capitals": F.length(F.regexp_replace("_text", r"[^\p{Lu}]+", "")).cast("long"),
+        "n_shouts": (F.length("_text") - F.length(F.translate("_text", "!?", ""))).cast("long"),
+        "n_distinct": F.size(F.array_distinct("_words")).cast("long"),
+        "n_stops": (F.length("_text") - F.length(F.translate("_text", ".", ""))).cast("long"),
+    }
+    # One element an array: a generator keeps the optimiser from copying these costly expressions into every later filter.
+    x = x.select(*docs.columns, F.explode(F.array(F.struct(*(v.alias(k) for k, v in counts.items())))).alias("_counts"))
+    return x.select(*docs.columns, "_counts.*")
 
 
 def _rule(bad: Column, good: Column) -> Column:
