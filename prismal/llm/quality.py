@@ -2,10 +2,9 @@
 
 Each rule looks at a few counts of the whole text and votes bad (0), good (2)
 or abstains (1). Nobody says how far a rule is to be trusted: expectation-
-maximisation over the whole corpus estimates the share of good documents and,
-for each rule, how often it gives each vote to good and to bad documents. A
-document is kept when its posterior probability of being good is at least a
-half; no single rule has to pass.
+maximisation over the whole corpus estimates the share of good documents and
+each rule's accuracy where it votes. A document is kept when its posterior
+probability of being good is at least a half; no single rule has to pass.
 
 Documents with the same votes are one case to the model, so that the corpus
 is first counted by vote pattern. There are at most 3 ** len(RULES) patterns
@@ -31,8 +30,11 @@ MAX_REPEAT_PERCENT = 50
 ROUNDS = 40
 SYMBOLS = "#*$%&|<>"
 
+#: A word of letters, perhaps with one mark of punctuation behind it.
+PLAIN = r"(?<![^\x20\x09-\x0D])\p{L}[\p{L}\p{M}]*(?:['’-][\p{L}\p{M}]+)*[.,;:!?]?(?![^\x20\x09-\x0D])"
+
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-EXTRA = ("n_lines", "n_letters", "n_capitals", "n_shouts", "n_distinct", "n_stops")
+EXTRA = ("n_lines", "n_letters", "n_capitals", "n_shouts", "n_distinct", "n_plain")
 
 
 def with_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -69,31 +71,31 @@ def with_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
         "n_capitals": F.length(F.regexp_replace("_text", r"[^\p{Lu}]+", "")).cast("long"),
         "n_shouts": (F.length("_text") - F.length(F.translate("_text", "!?", ""))).cast("long"),
         "n_distinct": F.size(F.array_distinct("_words")).cast("long"),
-        "n_stops": (F.length("_text") - F.length(F.translate("_text", ".", ""))).cast("long"),
+        "n_plain": F.regexp_count("_text", F.lit(PLAIN)).cast("long"),
     }
     # One element an array: a generator keeps the optimiser from copying these costly expressions into every later filter.
     x = x.select(*docs.columns, F.explode(F.array(F.struct(*(v.alias(k) for k, v in counts.items())))).alias("_counts"))
     return x.select(*docs.columns, "_counts.*")
 
 
-def _rule(bad: Column, good: Column) -> Column:
-    return F.when(bad, F.lit(0)).when(good, F.lit(2)).otherwise(F.lit(1))
+def _bad(defect: Column) -> Column:
+    return F.when(defect, F.lit(0)).otherwise(F.lit(1))
 
 
 def _at_least(a: str, b: str, share: float) -> Column:
     return F.col(a) >= F.col(b) * share
 
 
-#: name -> vote. Shares are of words, of letters or of lines; too little text for a share means abstention.
-RULES: dict[str, Column | object] = {
-    "symbols": lambda: _rule((F.col("n_words") > 0) & _at_least("n_symbols", "n_words", 0.1), (F.col("n_words") > 0) & ~_at_least("n_symbols", "n_words", 0.02)),
-    "repeats": lambda: _rule((F.col("n_words") >= 10) & _at_least("n_repeat_words", "n_words", 0.3), (F.col("n_words") >= 10) & ~_at_least("n_repeat_words", "n_words", 0.1)),
-    "lines": lambda: _rule((F.col("n_lines") >= 3) & _at_least("n_dup_lines", "n_lines", 0.3), (F.col("n_lines") >= 2) & ~_at_least("n_dup_lines", "n_lines", 0.1)),
-    "capitals": lambda: _rule((F.col("n_letters") >= 20) & _at_least("n_capitals", "n_letters", 0.3), (F.col("n_letters") >= 20) & ~_at_least("n_capitals", "n_letters", 0.15)),
-    "shouts": lambda: _rule((F.col("n_words") >= 10) & _at_least("n_shouts", "n_words", 0.2), (F.col("n_words") > 0) & ~_at_least("n_shouts", "n_words", 0.05)),
-    "length": lambda: _rule((F.col("n_words") > 0) & ((F.col("word_chars") < 2 * F.col("n_words")) | (F.col("word_chars") > 15 * F.col("n_words"))), (F.col("n_words") > 0) & F.col("word_chars").between(3 * F.col("n_words"), 12 * F.col("n_words"))),
-    "variety": lambda: _rule((F.col("n_words") >= 20) & (F.col("n_distinct") < F.sqrt("n_words")), (F.col("n_words") >= 20) & (F.col("n_distinct") >= 2 * F.sqrt("n_words"))),
-    "letters": lambda: _rule((F.col("word_chars") >= 20) & ~_at_least("n_letters", "word_chars", 0.6), (F.col("word_chars") >= 20) & _at_least("n_letters", "word_chars", 0.8)),
+#: name -> vote. A rule about one defect has nothing to say about texts without it; the last one also speaks for a text.
+RULES = {
+    "symbols": lambda: _bad((F.col("n_words") > 0) & _at_least("n_symbols", "n_words", 0.1)),
+    "repeats": lambda: _bad((F.col("n_words") >= 10) & _at_least("n_repeat_words", "n_words", 0.3)),
+    "lines": lambda: _bad((F.col("n_lines") >= 4) & _at_least("n_dup_lines", "n_lines", 0.3)),
+    "capitals": lambda: _bad((F.col("n_letters") >= 20) & _at_least("n_capitals", "n_letters", 0.3)),
+    "shouts": lambda: _bad((F.col("n_words") >= 10) & _at_least("n_shouts", "n_words", 0.2)),
+    "length": lambda: _bad((F.col("n_words") > 0) & ~F.col("word_chars").between(2 * F.col("n_words"), 15 * F.col("n_words"))),
+    "variety": lambda: _bad((F.col("n_words") >= 20) & (F.col("n_distinct") < F.sqrt("n_words"))),
+    "wording": lambda: F.when(F.col("n_words") < 10, F.lit(1)).when(_at_least("n_plain", "n_words", 0.85), F.lit(2)).when(_at_least("n_plain", "n_words", 0.6), F.lit(1)).otherwise(F.lit(0)),
 }
 
 
@@ -105,47 +107,46 @@ def votes() -> Column:
 def posteriors(patterns: DataFrame, *, rounds: int = ROUNDS) -> DataFrame:
     """patterns(votes, n) -> (votes, p_good), by expectation-maximisation in a single row.
 
-    The state is an array: the share of good documents, then for each rule and
-    vote the probability among bad and among good documents. It starts from
-    the belief that good documents seldom get a bad vote, and a small count is
-    added to every cell so that no probability becomes 0.
+    The state is an array: the share of good documents, then each rule's
+    accuracy. A round weighs every pattern by its posterior, and takes as a
+    rule's accuracy the share of its votes that agree with the posteriors;
+    ten votes with one mistake are added to each rule, and estimates are kept
+    between 0.55 and 0.99, so that a rare rule still says something.
     """
     m = len(RULES)
-    begin = [0.9] + [p for _ in range(m) for p in (0.3, 0.3, 0.4, 0.02, 0.28, 0.7)]
-    rows = patterns.agg(F.collect_list(F.struct(F.transform(F.split("votes", ""), lambda v: v.cast("int")).alias("v"), F.col("n").cast("double").alias("n"), F.col("votes").alias("votes"))).alias("ps"))
+    rows = patterns.agg(F.collect_list(F.struct(F.transform(F.split("votes", ""), lambda v: v.cast("int") - 1).alias("v"), F.col("n").cast("double").alias("n"), F.col("votes").alias("votes"))).alias("ps"))
 
-    def cell(state: Column, j: int, good: int, vote: Column) -> Column:
-        return F.get(state, F.lit(1 + 6 * j + 3 * good) + vote)
+    def logit(p: Column) -> Column:
+        return F.log(p / (1 - p))
 
     def p_good(state: Column, v: Column) -> Column:
-        odds = F.log(F.get(state, F.lit(0))) - F.log(1 - F.get(state, F.lit(0)))
+        odds = logit(F.get(state, F.lit(0)))
         for j in range(m):
-            vote = F.get(v, F.lit(j))
-            odds = odds + F.log(cell(state, j, 1, vote)) - F.log(cell(state, j, 0, vote))
+            odds = odds + F.get(v, F.lit(j)) * logit(F.get(state, F.lit(j + 1)))
         return 1 / (1 + F.exp(-odds))
 
-    def voted(js: Column, j: int, vote: int, weight) -> Column:
-        return F.aggregate(js, F.lit(0.0), lambda a, p: a + F.when(F.get(p["v"], F.lit(j)) == vote, weight(p)).otherwise(0.0))
+    def total(js: Column, weight) -> Column:
+        return F.aggregate(js, F.lit(0.0), lambda a, p: a + weight(p))
+
+    def accuracy(js: Column, j: int) -> Column:
+        def agreed(p: Column) -> Column:
+            vote = F.get(p["v"], F.lit(j))
+            return F.when(vote == 1, p["g"]).when(vote == -1, p["n"] - p["g"]).otherwise(0.0)
+
+        cast = total(js, lambda p: F.when(F.get(p["v"], F.lit(j)) != 0, p["n"]).otherwise(0.0))
+        return F.least(F.lit(0.99), F.greatest(F.lit(0.55), (total(js, agreed) + 9) / (cast + 10)))
 
     def step(state: Column, _: Column) -> Column:
-        judged = F.transform("ps", lambda p: F.struct(p["v"].alias("v"), (p["n"] * p_good(state, p["v"])).alias("g"), p["n"].alias("n")))
+        weighed = F.transform("ps", lambda p: F.struct(p["v"].alias("v"), (p["n"] * p_good(state, p["v"])).alias("g"), p["n"].alias("n")))
 
         def renewed(js: Column) -> Column:
-            total = F.aggregate(js, F.lit(0.0), lambda a, p: a + p["n"])
-            good = F.aggregate(js, F.lit(0.0), lambda a, p: a + p["g"])
-            cells = []
-            for j in range(m):
-                for is_good in (0, 1):
-                    weight = (lambda p: p["g"]) if is_good else (lambda p: p["n"] - p["g"])
-                    mass = good if is_good else total - good
-                    for vote in range(3):
-                        hit = voted(js, j, vote, weight)
-                        cells.append((hit + 0.01) / (mass + 0.03))
-            return F.array(F.least(F.lit(0.999), F.greatest(F.lit(0.001), good / total)), *cells)
-
-        return F.get(F.transform(F.array(judged), renewed), F.lit(0))
-
-    fitted = rows.where(F.size("ps") > 0).withColumn("state", F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), F.array(*map(F.lit, begin)), step))
+            share = total(js, lambda p: p["g"]) / total(js, lambda p: p["n"])
+            return F.array(F.least(F.lit(0.98), F.greatest(F.lit(0.02), share)), *(accuracy(js, j) for j in range(m)))
+
+        return F.get(F.transform(F.array(weighed), renewed), F.lit(0))
+
+    begin = F.array(F.lit(0.8), *(F.lit(0.95) for _ in range(m)))
+    fitted = rows.where(F.size("ps") > 0).withColumn("state", F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), begin, step))
     return fitted.select("state", F.explode("ps").alias("p")).select(F.col("p")["votes"].alias("votes"), p_good(F.col("state"), F.col("p")["v"]).alias("p_good"))
 
 
