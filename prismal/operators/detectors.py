@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prismal.operators import moments, scoring, windows2d
-from prismal.session import ship
+from prismal.session import cut, ship
 
 KEEP = ["scene_id", "pix", "r", "c"]
 
@@ -39,7 +39,7 @@ def _tiled(px: DataFrame, halo: int, tile: int) -> DataFrame:
     def span(col: str):
         return F.sequence(F.floor((F.col(col) - halo) / tile).cast("long"), F.floor((F.col(col) + halo) / tile).cast("long"))
 
-    return px.select(*KEEP, "spectrum", F.explode(span("r")).alias("_tr"), "*").select(*KEEP, "spectrum", "_tr", F.explode(span("c")).alias("_tc"))
+    return px.select(*KEEP, "spectrum", F.explode(span("r")).alias("_tr")).select(*KEEP, "spectrum", "_tr", F.explode(span("c")).alias("_tc"))
 
 
 def _per_tile(px: DataFrame, halo: int, tile: int, score) -> DataFrame:
@@ -52,7 +52,7 @@ def _per_tile(px: DataFrame, halo: int, tile: int, score) -> DataFrame:
     def run(part: pd.DataFrame) -> pd.DataFrame:
         own = (part["r"] // tile == part["_tr"]) & (part["c"] // tile == part["_tc"])
         if not own.any():
-            return pd.DataFrame({k: [] for k in [*KEEP, "score"]})
+            return pd.DataFrame({"scene_id": [], "pix": [], "r": [], "c": [], "score": []}).astype({"scene_id": object})
         r0, c0 = int(part["r"].min()), int(part["c"].min())
         shape = (int(part["r"].max()) - r0 + 1, int(part["c"].max()) - c0 + 1)
         bands = next((len(s) for s in part["spectrum"] if s is not None), 1)
@@ -61,7 +61,8 @@ def _per_tile(px: DataFrame, halo: int, tile: int, score) -> DataFrame:
             if s is not None:
                 cube[r - r0, c - c0], valid[r - r0, c - c0] = s, True
         rows, cols = part.loc[own, "r"].to_numpy() - r0, part.loc[own, "c"].to_numpy() - c0
-        return part.loc[own, KEEP].assign(score=[score(cube, valid, r, c) for r, c in zip(rows, cols)])
+        mine = part.loc[own, KEEP]
+        return pd.DataFrame({k: mine[k].to_list() for k in KEEP} | {"score": pd.Series([score(cube, valid, r, c) for r, c in zip(rows, cols)], dtype=float)})
 
     return _tiled(px, halo, tile).groupBy("scene_id", "_tr", "_tc").applyInPandas(run, "scene_id string, pix bigint, r bigint, c bigint, score double")
 
@@ -185,7 +186,7 @@ def kernel_rx(px: DataFrame, *, gamma: float | None = None, n_background: int =
 
 def fused(px: DataFrame, *, weights: dict[str, float] = scoring.WEIGHTS) -> DataFrame:
     """Global RX, ACE against its best pixels and the spatial context of RX, fused by rank."""
-    rx = global_rx(px)
+    rx = cut(global_rx(px))
     signature = scoring.target_signature(px, rx)
     parts = rx.withColumnRenamed("score", "rx").join(ace(px, signature).select("scene_id", "pix", F.col("score").alias("ace")), ["scene_id", "pix"])
     spatial = windows2d.spatial_context(rx).select("scene_id", "pix", F.col("context").alias("spatial"))

@@ -378,7 +378,7 @@ def components_8(spark, d) -> DataFrame:
     return regions.connected_components(_mask(spark, d, 90.0)).select("r", "c", F.col("label").cast("long").alias("label"))
 
 
-_ROI = "ro AS (SELECT label, 'orders:anomaly:' || lpad(CAST(label - 1 AS VARCHAR), greatest(4, length(CAST(label - 1 AS VARCHAR))), '0') AS roi_id, min(r) AS r0, min(c) AS c0, max(r) + 1 AS r1, max(c) + 1 AS c1, count(*) AS n_px, avg(score) AS score FROM lb GROUP BY label)"
+_ROI = "ro AS (SELECT label, 'orders:anomaly:' || lpad(CAST(label - 1 AS VARCHAR), CAST(greatest(4, length(CAST(label - 1 AS VARCHAR))) AS INTEGER), '0') AS roi_id, min(r) AS r0, min(c) AS c0, max(r) + 1 AS r1, max(c) + 1 AS c1, count(*) AS n_px, avg(score) AS score FROM lb GROUP BY label)"
 
 
 def _labelled(spark, d):
@@ -411,7 +411,7 @@ def miss_audit(spark, d) -> DataFrame:
     return x.where("hit = 0").select(F.col("label").cast("long").alias("label"), q(F.col("margin")).alias("margin"))
 
 
-_RECT = "rt AS (SELECT 's' || (p_partkey // 500) AS scene_id, p_partkey AS id, 's' || (p_partkey // 500) || ':' || CASE WHEN p_size % 2 = 0 THEN 'anomaly' ELSE 'change' END || ':' || lpad(CAST(p_partkey AS VARCHAR), greatest(4, length(CAST(p_partkey AS VARCHAR))), '0') AS roi_id, CASE WHEN p_partkey % 3 = 0 THEN 'manmade' ELSE 'landcover' END AS target_profile, (p_partkey * 7) % 47 AS r0, (p_partkey * 13) % 43 AS c0, p_size % 6 + 2 AS h, p_size % 5 + 2 AS w, p_retailprice / 1000 AS anomaly_score FROM part), mb AS (SELECT scene_id, roi_id, r0 + i AS r, c0 + j AS c FROM rt, range(8) a(i), range(8) b(j) WHERE i < h AND j < w)"
+_RECT = "rt AS (SELECT 's' || (p_partkey // 500) AS scene_id, p_partkey AS id, 's' || (p_partkey // 500) || ':' || CASE WHEN p_size % 2 = 0 THEN 'anomaly' ELSE 'change' END || ':' || lpad(CAST(p_partkey AS VARCHAR), CAST(greatest(4, length(CAST(p_partkey AS VARCHAR))) AS INTEGER), '0') AS roi_id, CASE WHEN p_partkey % 3 = 0 THEN 'manmade' ELSE 'landcover' END AS target_profile, (p_partkey * 7) % 47 AS r0, (p_partkey * 13) % 43 AS c0, p_size % 6 + 2 AS h, p_size % 5 + 2 AS w, p_retailprice / 1000 AS anomaly_score FROM part), mb AS (SELECT scene_id, roi_id, r0 + i AS r, c0 + j AS c FROM rt, range(8) a(i), range(8) b(j) WHERE i < h AND j < w)"
 
 
 def _rects(spark, d):
@@ -447,7 +447,7 @@ def roi_links(spark, d) -> DataFrame:
 @query(
     f"WITH RECURSIVE {_IOU}, sm AS (SELECT a, b FROM io JOIN rt x ON x.roi_id = a JOIN rt y ON y.roi_id = b WHERE x.target_profile = y.target_profile), e2 AS (SELECT a, b FROM sm UNION SELECT b, a FROM sm), cl(id, k) AS (SELECT roi_id, roi_id FROM rt UNION SELECT e2.b, cl.k FROM cl JOIN e2 ON e2.a = cl.id), gp AS (SELECT id AS roi_id, min(k) AS root FROM cl GROUP BY 1), "
     "ex AS (SELECT root, min(r) AS r0, min(c) AS c0, max(r) + 1 AS r1, max(c) + 1 AS c1, count(*) AS n_px FROM (SELECT DISTINCT root, r, c FROM mb JOIN gp USING (roi_id)) GROUP BY 1), hd AS (SELECT scene_id, root, target_profile, string_agg(roi_id, ',' ORDER BY roi_id) AS parents, max(anomaly_score) AS s FROM rt JOIN gp USING (roi_id) GROUP BY 1, 2, 3) "
-    f"SELECT scene_id || ':fused:' || lpad(CAST(n AS VARCHAR), greatest(4, length(CAST(n AS VARCHAR))), '0') AS roi_id, parents, r0, c0, r1, c1, n_px, {Q('s')} AS anomaly_score FROM (SELECT *, row_number() OVER (PARTITION BY scene_id ORDER BY root) - 1 AS n FROM hd JOIN ex USING (root))"
+    f"SELECT scene_id || ':fused:' || lpad(CAST(n AS VARCHAR), CAST(greatest(4, length(CAST(n AS VARCHAR))) AS INTEGER), '0') AS roi_id, parents, r0, c0, r1, c1, n_px, {Q('s')} AS anomaly_score FROM (SELECT *, row_number() OVER (PARTITION BY scene_id ORDER BY root) - 1 AS n FROM hd JOIN ex USING (root))"
 )
 def roi_fuse(spark, d) -> DataFrame:
     rects = _rects(spark, d)
