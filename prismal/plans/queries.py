@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from prismal import schema
 from prismal.functions import spectral
-from prismal.operators import change, detectors, harmonize, metrics, moments, regions, scoring, windows2d
+from prismal.operators import change, detectors, geo, harmonize, metrics, moments, regions, scoring, windows2d
 from prismal.plans.dialect import BANDS, EP, GR, PB, PX, Q, dot, inverse, q
 from prismal.sources import scenes
 from prismal.streaming import moments as streams
@@ -293,6 +293,14 @@ def temporal_zscore(spark, d) -> DataFrame:
     return x.groupBy("pix").agg(q(F.max(z) / 10).alias("z"))
 
 
+@query()
+def patch_structure(spark, d) -> DataFrame:
+    """Variance, entropy and coherence of the change around each part."""
+    pairs = _pairs(spark, d)
+    x = change.structure(pairs, patch=5).join(change.coherence(pairs, patch=5), ["scene_id", "r", "c"])
+    return x.select("pix", q(F.col("variance")).alias("variance"), q(F.col("entropy")).alias("entropy"), q(F.col("coherence")).alias("coherence"))
+
+
 # --- windows ----------------------------------------------------------------
 
 
@@ -471,6 +479,26 @@ def geojson(spark, d) -> DataFrame:
     return regions.features(regions.rois(_labelled(spark, d)), ["roi_id", "scene_id", "source_branch", "target_profile", "n_px"])
 
 
+
+@query(f"WITH RECURSIVE {_C8} SELECT x.label, count(*) AS n_edges FROM lb x JOIN (VALUES (-1, 0), (1, 0), (0, -1), (0, 1)) o(i, j) ON true LEFT JOIN lb y ON y.r = x.r + o.i AND y.c = x.c + o.j AND y.label = x.label WHERE y.label IS NULL GROUP BY 1")
+def boundary_length(spark, d) -> DataFrame:
+    x = geo.boundary_edges(_labelled(spark, d)).groupBy("label").agg(F.count(F.lit(1)).alias("n_edges"))
+    return x.select(F.col("label").cast("long").alias("label"), "n_edges")
+
+
+@query(f"WITH {GR} SELECT pix, {Q('(10.0::DOUBLE * (c + 0.5::DOUBLE) + 400000) / 1000000')} AS x, {Q('(4000000 - 10.0::DOUBLE * (r + 0.5::DOUBLE)) / 10000000')} AS y FROM gr")
+def pixel_centres(spark, d) -> DataFrame:
+    x, y = geo.world({"a": 10.0, "b": 0.0, "c": 400000.0, "d": 0.0, "e": -10.0, "f": 4000000.0}, F.col("r"), F.col("c"))
+    return scenes.score_map(spark, d).select("pix", q(x / 1000000).alias("x"), q(y / 10000000).alias("y"))
+
+
+@query()
+def pixel_places(spark, d) -> DataFrame:
+    x, y = geo.world({"a": 10.0, "b": 0.0, "c": 400000.0, "d": 0.0, "e": -10.0, "f": 4000000.0}, F.col("r"), F.col("c"))
+    lon, lat = geo.utm_to_wgs84(x, y, 16)
+    return scenes.score_map(spark, d).select("pix", lon.alias("lon"), lat.alias("lat"))
+
+
 # --- metrics ----------------------------------------------------------------
 
 _SC = "sc AS (SELECT l_linestatus, l_extendedprice AS s, l_returnflag = 'R' AS gt FROM lineitem), vl AS (SELECT l_linestatus, s, count(*) FILTER (WHERE gt) AS p, count(*) FILTER (WHERE NOT gt) AS q FROM sc GROUP BY 1, 2)"

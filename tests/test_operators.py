@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from prismal import schema
 from prismal.functions import spectral
-from prismal.operators import change, detectors, harmonize, metrics, regions, scoring, windows2d
+from prismal.operators import change, detectors, geo, harmonize, metrics, regions, scoring, windows2d
 from prismal.plans import queries as plans
 from prismal.streaming import moments as streams
 
@@ -148,6 +148,28 @@ def test_structure(spark):
         assert x.entropy == pytest.approx(-(p[p > 0] * np.log2(p[p > 0])).sum())
 
 
+def test_coherence(spark):
+    a, b = RNG.normal(size=(2, 8, 8, 3))
+    rows = [("s", int(r * 8 + c), int(r), int(c), a[r, c].tolist(), b[r, c].tolist()) for r in range(8) for c in range(8)]
+    d = np.pad(b - a, ((2, 2), (2, 2), (0, 0)), mode="reflect")
+    for x in change.coherence(spark.createDataFrame(rows, "scene_id string, pix long, r long, c long, s1 array<double>, s2 array<double>"), patch=5).collect():
+        corr = np.corrcoef(d[x.r : x.r + 5, x.c : x.c + 5].reshape(-1, 3).T)
+        assert x.coherence == pytest.approx(np.abs(corr[np.triu_indices(3, 1)]).mean())
+
+
+@pytest.mark.parametrize("north", [884000.0, 3874000.0])
+def test_square_kilometre(spark, north):
+    xs, ys = [500000.0, 501000.0, 501000.0, 500000.0, 500000.0], [north, north, north + 1000, north + 1000, north]
+    df = spark.createDataFrame(list(zip(range(5), xs, ys)), "k int, x double, y double")
+    lon, lat = geo.utm_to_wgs84(F.col("x"), F.col("y"), 43)
+    df = df.select("k", lon.alias("lon"), lat.alias("lat")).select("k", "lon", "lat", *(v.alias(n) for v, n in zip(geo.equal_area(F.col("lon"), F.col("lat")), "ab")))
+    ring = df.agg(F.sort_array(F.collect_list(F.struct("k", "lon", "lat", "a", "b"))).alias("p"))
+    ring = ring.select(*(F.col(f"p.{c}").alias(c) for c in ("lon", "lat", "a", "b")))
+    got = geo.perimeter(ring, "lon", "lat").select("perimeter_m", geo.ring_area(F.col("a"), F.col("b")).alias("area"), F.get("lon", F.lit(0)).alias("lon"), F.get("lat", F.lit(0)).alias("lat")).first()
+    assert got.lon == pytest.approx(75.0) and got.lat == pytest.approx(8.0 if north < 1e6 else 35.0, abs=0.02)
+    assert got.perimeter_m == pytest.approx(4000 / 0.9996, rel=1e-4) and got.area == pytest.approx(1e6 / 0.9996**2, rel=1e-4)
+
+
 def test_components_follow_scan_order(spark):
     art = ["#.#", "...", "##.", "..#"]
     mask = spark.createDataFrame([("s", r, c, int(x == "#")) for r, line in enumerate(art) for c, x in enumerate(line)], "scene_id string, r long, c long, m int")
