@@ -15,8 +15,8 @@ The work stays linear in groups of copies:
 2. Each class is compared with the smallest class of its bands: one pair each.
 3. What those links do not connect is compared until nothing is left: in each
    band whose members lie in several components, every member outside of the
-   largest component is compared with the members of other components, a few
-   such pivots of a band at a time. No link between different components
+   largest component is compared with the members of other components, as many
+   such pivots at a time as `pairs` allows. No link between different components
    can be missed, and a group whose members are linked costs no further pair.
 
 Components are found by a fixed point of joins with checkpoints in the shared
@@ -43,8 +43,8 @@ from prismal.session import cut, ship
 WIDTH = 3
 PERCENT = 85
 BANDS, ROWS = 32, 5
-#: Pivots of one band in one round.
-PIVOTS = 8
+#: Pairs that one band may ask for in one round; a band always has one pivot at least.
+PAIRS = 20_000
 
 _SIGNED = "_id bigint, _n bigint, _d1 bigint, _d2 bigint, _bands array<bigint>"
 _SETS = "_id bigint, _set array<bigint>"
@@ -177,7 +177,7 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("_id"), F.col("v").alias("_c"))
 
 
-def linked(docs: DataFrame, *, width: int = WIDTH, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, pivots: int = PIVOTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def linked(docs: DataFrame, *, width: int = WIDTH, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, pairs: int = PAIRS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs."""
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     ship(docs.sparkSession)
@@ -200,28 +200,29 @@ def linked(docs: DataFrame, *, width: int = WIDTH, percent: int = PERCENT, bands
     first = members.where("_id <> _low").groupBy("_id").agg(F.min("_low").alias("a")).select("a", F.col("_id").alias("b"))
     tried = cut(first)
     links = cut(_confirmed(tried, sets, percent).unionByName(ties))
-    # Pivots that have been compared with all of their band.
-    used = None
+    used = None  # pivots that have been compared with all of their band
     members = members.drop("_low")
     while True:
         found = components(links)
         x = members.join(found, "_id", "left").withColumn("_c", F.coalesce("_c", "_id"))
         in_band = x.groupBy("_band", "_key", "_c").agg(F.count(F.lit(1)).alias("_m"))
-        bands_open = in_band.groupBy("_band", "_key").agg(F.count(F.lit(1)).alias("_k"), F.max(F.struct("_m", "_c")).alias("_top")).where("_k > 1").select("_band", "_key", F.col("_top._c").alias("_top"))
+        bands_open = in_band.groupBy("_band", "_key").agg(F.count(F.lit(1)).alias("_k"), F.sum("_m").alias("_size"), F.max(F.struct("_m", "_c")).alias("_top")).where("_k > 1").select("_band", "_key", "_size", F.col("_top._c").alias("_top"))
         x = cut(x.join(bands_open, ["_band", "_key"]))
         outside = x.where("_c <> _top")
         if used is not None:
             outside = outside.join(used, ["_band", "_key", "_id"], "left_anti")
         turn = F.row_number().over(Window.partitionBy("_band", "_key").orderBy("_id"))
-        chosen = cut(outside.withColumn("_turn", turn).where(F.col("_turn") <= pivots).select("_band", "_key", "_id", "_n", "_c"))
-        if chosen.isEmpty():
-            break
+        outside = cut(outside.withColumn("_now", turn <= F.greatest(F.lit(1), F.floor(pairs / F.col("_size")))))
+        chosen = outside.where("_now")
         asked = chosen.select("_band", "_key", F.col("_id").alias("p"), F.col("_c").alias("_pc"), F.col("_n").alias("_pn")).join(x.select("_band", "_key", "_id", "_n", "_c"), ["_band", "_key"]).where("_c <> _pc")
         asked = asked.where(100 * F.least("_n", "_pn") >= percent * F.greatest("_n", "_pn"))  # else the sets can't be alike enough
         asked = asked.select(F.least("p", "_id").alias("a"), F.greatest("p", "_id").alias("b")).distinct()
         asked = cut(asked.join(tried, ["a", "b"], "left_anti"))
-        tried = tried.unionByName(asked)
         links = cut(links.unionByName(_confirmed(asked, sets, percent)))
+        if outside.where(~F.col("_now")).isEmpty():
+            found = components(links)
+            break
+        tried = cut(tried.unionByName(asked))
         now = chosen.select("_band", "_key", "_id")
         used = now if used is None else cut(used.unionByName(now))
         members = x.select("_band", "_key", "_id", "_n")
