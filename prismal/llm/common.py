@@ -30,11 +30,16 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def text_tag(text: Column) -> Column:
+    """32 bits that tell apart the texts of rows that share an id."""
+    return F.hash(F.coalesce(text, F.lit("")))
+
+
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(_id, _th, _text): the id never null, and a hash that tells apart rows sharing an id."""
     return docs.select(
         F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("_id"),
-        F.xxhash64(F.col(text_col)).alias("_th"),
+        text_tag(F.col(text_col)).alias("_th"),
         F.coalesce(F.col(text_col), F.lit("")).alias("_text"),
     )
 

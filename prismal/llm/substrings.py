@@ -12,17 +12,20 @@ CONTEXT words to either side of it, and symbols have at most REACH words. Any
 them; the one with the smallest name stands for the window.
 
 1. Each document gives one row a boundary that stands for some of its windows
-   (about one row for 9 words): the name of the symbols around it.
+   (about one row for 10 words): the name of the symbols around it.
 2. Names that occur once in the whole corpus are out: their windows can't
    repeat. The count has a partial sum before the shuffle.
-3. The windows around the remaining boundaries are verified: each is named by
-   a hash of 96 bits over all its words, and counted. Windows that a document
-   shares with another, or with itself elsewhere, go.
-
-Rows are keyed by window names, never gathered: a passage that is in a third
-of all documents makes many rows in one partition of a join, which Spark
-splits, but no group. The text is shuffled once by document, and that
-exchange serves both the verification and the removal.
+3. The other boundaries' spans, all windows that one stands for, are named by
+   a hash of all their words. Where a span occurs twice, all its windows
+   repeat. What copies share is settled here, in one row for many windows.
+4. Where a boundary's name has several different spans, one of each is taken
+   apart: its windows are named by a hash of 96 bits over all their words and
+   counted. Windows that a span shares with another one go.
+
+Rows are keyed by names, never gathered: a passage that is in a third of all
+documents makes many rows in one partition of a join, which Spark splits, but
+no group. The text is shuffled once by document, compressed, and that exchange
+serves the verification and the removal.
 
 Windows are judged on the input. Words keep their spelling; a window lies in
 one document. Null and empty texts have no words; texts shorter than a window
@@ -38,22 +41,25 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prismal.llm.common import keyed, mixed, shown_id, steps, token_table, word_hashes
+from prismal.llm.common import STEP, keyed, mixed, shown_id, steps, token_table, word_hashes
 from prismal.session import ship
 
 WINDOW = 35
-#: Words to either side on which a boundary depends, and the most words of a symbol. Round 1 merges runs of 2 or 3 words
-#: (a boundary depends on 3 words to either side) and then pairs of up to 4 words (3 more); round 2 merges pairs of up to 8 words (4 more).
-CONTEXT, REACH = 10, 8
+#: Words to either side on which a boundary depends, and the most words of a symbol. Round 1 merges runs of 2 words
+#: (a boundary depends on 2 words to either side) and then pairs of up to 4 words (2 more); round 2 merges pairs of up to 8 words (4 more).
+CONTEXT, REACH = 8, 8
 
 _SALT = np.random.default_rng(7).integers(0, 2**63, (4, 4096), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _LAST = np.uint64(2**64 - 1)
 
-_BOUNDARIES = "_name bigint, _id bigint, _th bigint, _lo int, _hi int"
-_WINDOWS = "_wa bigint, _wb int, _id bigint, _th bigint, _at int"
+_PACKED = "_id bigint, _th int, _z binary"
+_BOUNDARIES = "_name bigint, _id bigint, _th int, _lo int, _hi int"
+_SPANS = "_name bigint, _span bigint, _id bigint, _th int, _lo int, _hi int"
+_WINDOWS = "_wa bigint, _wb int, _open boolean, _id bigint, _th int, _at int"
 _RESULT = "_id bigint, n_words bigint, n_removed bigint, kept_sha256 string"
 
 
@@ -79,8 +85,8 @@ def boundaries(token: np.ndarray, doc: np.ndarray) -> np.ndarray:
     new[1:] = (token[1:] != token[:-1]) | (doc[1:] != doc[:-1])
     start = np.flatnonzero(new)
     run = np.diff(np.append(start, len(token)))
-    # Runs of 2 or 3 become a symbol; longer ones stay single words, so that no symbol outgrows the window.
-    short = run <= 3
+    # Runs of 2 become a symbol; longer ones stay single words, so that no symbol outgrows the window.
+    short = run <= 2
     begin = np.flatnonzero(~np.repeat(short, run) | new)
     owner = np.searchsorted(start, begin, side="right") - 1
     length = np.where(short[owner], run[owner], 1)
@@ -91,7 +97,7 @@ def boundaries(token: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return out
 
 
-def _spans(token: np.ndarray, at: np.ndarray, length: int, row: int) -> np.ndarray:
+def _hashes(token: np.ndarray, at: np.ndarray, length: int, row: int) -> np.ndarray:
     """A hash of the words token[at : at + length]."""
     h = np.full(len(at), length, np.uint64)
     for k in range(length):
@@ -110,7 +116,7 @@ def stands(token: np.ndarray, doc: np.ndarray, offsets: np.ndarray, window: int)
     place = place[(place >= CONTEXT) & (place <= n - CONTEXT)]
     place = place[doc[place - CONTEXT] == doc[np.minimum(place + CONTEXT, n) - 1]]
     best = np.full(n + window, _LAST)
-    best[place] = np.minimum(_spans(token, place - CONTEXT, 2 * CONTEXT, 0), _LAST - np.uint64(1))
+    best[place] = np.minimum(_hashes(token, place - CONTEXT, 2 * CONTEXT, 0), _LAST - np.uint64(1))
     where = np.arange(n + window)
     width, wanted = 1, window - 2 * CONTEXT + 1
     while width < wanted:  # the leftmost smallest name among ever more places
@@ -158,7 +164,7 @@ def _ranges(lists: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, lo, hi) of a column of lists of structs."""
     rows = np.repeat(np.arange(len(lists)), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
     flat = lists.flatten()
-    return rows, flat.field(0).to_numpy(zero_copy_only=False).astype(np.int64), flat.field(1).to_numpy(zero_copy_only=False).astype(np.int64)
+    return rows, flat.field("_lo").to_numpy(zero_copy_only=False).astype(np.int64), flat.field("_hi").to_numpy(zero_copy_only=False).astype(np.int64)
 
 
 def _expanded(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -169,17 +175,64 @@ def _expanded(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return owner, begin[owner] + np.arange(len(owner)) - before[owner]
 
 
+def _pack():
+    def run(batches):
+        squeeze = zstandard.ZstdCompressor(level=1).compress
+        for batch in batches:
+            packed = [squeeze(t.as_buffer()) for t in _column(batch, "_text")]
+            yield pa.RecordBatch.from_arrays([_column(batch, "_id"), _column(batch, "_th"), pa.array(packed, pa.binary())], names=["_id", "_th", "_z"])
+
+    return run
+
+
+def _unpacked(batches):
+    """Batches with the text in place of its packed form, in steps of bounded size."""
+    widen = zstandard.ZstdDecompressor().decompress
+    for batch in batches:
+        at = batch.schema.get_field_index("_z")
+        packed = batch.column(at)
+        start, texts, held = 0, [], 0
+        for i in range(batch.num_rows):
+            texts.append(widen(packed[i].as_py()))
+            held += len(texts[-1])
+            if held > 6 * STEP or i + 1 == batch.num_rows:
+                yield batch.slice(start, len(texts)).set_column(at, "_text", pa.array(texts, pa.binary()).cast(pa.string()))
+                start, texts, held = i + 1, [], 0
+
+
+def _flat(lists: pa.Array, field: str) -> np.ndarray:
+    return lists.flatten().field(field).to_numpy(zero_copy_only=False)
+
+
+def _name_spans(window: int):
+    def run(batches):
+        for batch in _unpacked(batches):
+            offsets, token, _ = _tokens(_column(batch, "_text"))
+            spans = _column(batch, "_spans")
+            row, lo, hi = _ranges(spans)
+            name, begin, length = _flat(spans, "_name"), lo + offsets[row], hi - lo + window
+            span = np.zeros(len(row), np.uint64)
+            for n in np.unique(length):  # as many as a boundary can stand for
+                same = np.flatnonzero(length == n)
+                span[same] = _hashes(token, begin[same], int(n), 1)
+            index = pa.array(row)
+            yield pa.RecordBatch.from_arrays([pa.array(name), pa.array(span.view(np.int64)), _column(batch, "_id").take(index), _column(batch, "_th").take(index), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))], names=["_name", "_span", "_id", "_th", "_lo", "_hi"])
+
+    return run
+
+
 def _name_windows(window: int):
     def run(batches):
-        for whole in batches:
-            for batch in steps(whole):
-                offsets, token, _ = _tokens(_column(batch, "_text"))
-                row, lo, hi = _ranges(_column(batch, "_spans"))
-                owner, at = _expanded(lo + offsets[row], hi + offsets[row])
-                doc = row[owner]
-                index = pa.array(doc)
-                wa, wb = _spans(token, at, window, 1), _spans(token, at, window, 2) >> np.uint64(33)
-                yield pa.RecordBatch.from_arrays([pa.array(wa.view(np.int64)), pa.array(wb.astype(np.int32)), _column(batch, "_id").take(index), _column(batch, "_th").take(index), pa.array((at - offsets[doc]).astype(np.int32))], names=["_wa", "_wb", "_id", "_th", "_at"])
+        for batch in _unpacked(batches):
+            offsets, token, _ = _tokens(_column(batch, "_text"))
+            spans = _column(batch, "_spans")
+            row, lo, hi = _ranges(spans)
+            alone = _flat(spans, "_open").astype(bool)
+            owner, at = _expanded(lo + offsets[row], hi + offsets[row])
+            doc = row[owner]
+            index = pa.array(doc)
+            wa, wb = _hashes(token, at, window, 2), _hashes(token, at, window, 3) >> np.uint64(33)
+            yield pa.RecordBatch.from_arrays([pa.array(wa.view(np.int64)), pa.array(wb.astype(np.int32)), pa.array(alone[owner]), _column(batch, "_id").take(index), _column(batch, "_th").take(index), pa.array((at - offsets[doc]).astype(np.int32))], names=["_wa", "_wb", "_open", "_id", "_th", "_at"])
 
     return run
 
@@ -187,9 +240,8 @@ def _name_windows(window: int):
 def _remove(window: int, keep_text: bool):
     def run(batches):
         for whole in batches:
-            for batch in steps(whole):
-                texts = _column(batch, "_text")
-                offsets, word, distinct = token_table(texts)
+            for batch in _unpacked([whole]):
+                offsets, word, distinct = token_table(_column(batch, "_text"))
                 row, lo, hi = _ranges(_column(batch, "_spans"))
                 edge = np.zeros(len(word) + 1, np.int64)
                 np.add.at(edge, lo + offsets[row], 1)
@@ -220,16 +272,24 @@ def deduplicated(docs: DataFrame, *, window: int = WINDOW, id_col: str = "doc_id
         raise ValueError(f"a window has {2 * CONTEXT + REACH} words at least")
     ship(docs.sparkSession)
     texts = keyed(docs, id_col, text_col)
+    packed = texts.mapInArrow(_pack(), _PACKED)
     boundary = texts.mapInArrow(_name_boundaries(window), _BOUNDARIES)
     again = boundary.groupBy("_name").agg(F.count(F.lit(1)).alias("_k")).where("_k > 1").select("_name")
-    live = boundary.join(again, "_name", "left_semi").groupBy("_id", "_th").agg(F.collect_set(F.struct("_lo", "_hi")).alias("_spans"))
-    # As many rows as documents with a span: identical rows count, so their number goes along.
-    windows = _joined(texts, live, ["_id", "_th"]).mapInArrow(_name_windows(window), _WINDOWS)
+    live = boundary.join(again, "_name", "left_semi").groupBy("_id", "_th").agg(F.collect_set(F.struct("_name", "_lo", "_hi")).alias("_spans"))
+    # Rows that share id and text are joined to the same spans, and each gives its own.
+    spans = _joined(packed, live, ["_id", "_th"]).mapInArrow(_name_spans(window), _SPANS)
+    kinds = spans.groupBy("_name", "_span").agg(F.count(F.lit(1)).alias("_k"), F.min(F.struct("_id", "_th", "_lo", "_hi")).alias("_one"))
+    settled = spans.join(kinds.where("_k > 1").select("_name", "_span"), ["_name", "_span"], "left_semi").select("_id", "_th", "_lo", "_hi")
+    several = kinds.groupBy("_name").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_name")
+    apart = kinds.join(several, "_name", "left_semi").select("_one.*", (F.col("_k") == 1).alias("_open"))
+    apart = apart.groupBy("_id", "_th").agg(F.collect_set(F.struct("_lo", "_hi", "_open")).alias("_spans"))
+    # Rows that share id and text count their windows once each, but none of their spans is open then: they repeat each other.
+    windows = _joined(packed, apart, ["_id", "_th"]).mapInArrow(_name_windows(window), _WINDOWS)
     twice = windows.groupBy("_wa", "_wb").agg(F.count(F.lit(1)).alias("_k")).where("_k > 1").select("_wa", "_wb")
-    gone = windows.join(twice, ["_wa", "_wb"], "left_semi").groupBy("_id", "_th").agg(F.collect_set("_at").alias("_ats"))
-    gone = gone.select("_id", "_th", F.transform("_ats", lambda s: F.struct(s.alias("lo"), s.alias("hi"))).alias("_spans"))
+    shared = windows.where("_open").join(twice, ["_wa", "_wb"], "left_semi").select("_id", "_th", F.col("_at").alias("_lo"), F.col("_at").alias("_hi"))
+    gone = settled.unionByName(shared).groupBy("_id", "_th").agg(F.collect_set(F.struct("_lo", "_hi")).alias("_spans"))
     schema = _RESULT.replace("kept_sha256", "kept") if keep_text else _RESULT
-    return _joined(texts, gone, ["_id", "_th"], "left").select("_id", "_text", "_spans").mapInArrow(_remove(window, keep_text), schema).withColumn("_id", shown_id(F.col("_id"))).withColumnRenamed("_id", "doc_id")
+    return _joined(packed, gone, ["_id", "_th"], "left").select("_id", "_z", "_spans").mapInArrow(_remove(window, keep_text), schema).withColumn("_id", shown_id(F.col("_id"))).withColumnRenamed("_id", "doc_id")
 
 
 def op7_substring_dedup(spark, sf_dir: str) -> DataFrame:
