@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prismal.llm import decontamination, linededup, mixing, neardup, quality
+from prismal.llm.common import NO_ID, text_tag
 from prismal.session import cut, stored
 
 
@@ -35,7 +36,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Documents that hold a benchmark item go."""
     found = decontamination.hits(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     gone = stored(found.select("_id", "_th"), "leaks")
-    key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(decontamination.NO_ID)) == F.col("_id"), F.xxhash64("text") == F.col("_th")]
+    key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)) == F.col("_id"), text_tag(F.col("text")) == F.col("_th")]
     return docs.join(gone, key, "left_anti").select(*docs.columns)
 
 
