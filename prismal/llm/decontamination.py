@@ -14,9 +14,9 @@ An item is found in a document when `enough` of its windows are, or at least
 `share` of them. Items shorter than a window are looked up as a whole; items
 with fewer than `min_literal` literal words anywhere are never found.
 
-The table of benchmark windows is written to the shared folder and read back:
-Catalyst broadcasts it if its true size is under the threshold, and otherwise
-joins by hash. Only hits leave the scan of the documents.
+The keys of the benchmark's windows are written to the shared folder and read
+back: Catalyst broadcasts them if their true size is under the threshold, and
+otherwise joins by hash. Only hits leave the scan of the documents.
 
 Null and empty texts match nothing; a null doc_id is returned with its own
 verdict; repeated rows get equal verdicts; an empty benchmark clears all.
@@ -98,8 +98,10 @@ def hits(docs: DataFrame, items: DataFrame, *, window: int = WINDOW, min_literal
     if not lengths:
         lengths = [window]
     x = keyed(docs, id_col, text_col).select("_id", "_th", canonical(F.col("_text")).alias("_seq")).withColumn("_c", F.col("_seq")["c"])
-    found = _windows(x, lengths, ["_id", "_th", "_seq"]).withColumnsRenamed({"_at": "_where"}).join(bench, ["_len", "_key"])
-    found = found.withColumn("_win", F.slice("_seq", F.col("_where") + 1, F.col("_len")))
+    # The keys alone decide what leaves the scan; the words of the few windows that hit are then compared.
+    keys = stored(bench.select("_len", "_key").distinct(), "keys")
+    found = _windows(x, lengths, ["_id", "_th", "_seq"]).join(keys, ["_len", "_key"], "left_semi")
+    found = found.select("_id", "_th", "_len", "_key", F.slice("_seq", F.col("_at") + 1, F.col("_len")).alias("_win")).join(bench, ["_len", "_key"])
     found = found.where((F.col("_win")["c"] == F.col("_canon")) & (_slots(F.col("_win")) == F.col("_pattern")))
     places = found.groupBy("_id", "_th", "_item", "_n", "_at").agg(F.count(F.lit(1)).alias("_times"))
     matched = places.groupBy("_id", "_th", "_item", "_n").agg(F.count(F.lit(1)).alias("_hit"))
