@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from prismal.llm.common import n_words
+from prismal.session import stored
 
 BLOCK = 16
 SHARD_WORDS = 1 << 22
@@ -90,6 +91,7 @@ def mixed_sizes(docs: DataFrame, *, seed: str = "mix", block: int = BLOCK, shard
     )
     house = F.floor((F.sum("source_size").over(Window.partitionBy(F.lit(0))) + block // 2) / block).cast("long")
     sources = apportioned(targets(sized, weights=weights, cap=cap).withColumn("_house", house), ["_house"], [F.col("source").asc_nulls_last()], vote="target", house="_house", quota="_quota").drop("_house")
+    sources = stored(sources, "sources")  # of known size: broadcast while it is small, so that no source's documents meet in one task
     name = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
     placed = (
         sized.drop("source")
