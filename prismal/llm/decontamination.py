@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prismal.llm.common import NO_ID, keyed, shown_id, words
+from prismal.llm.common import WORD, keyed, shown_id, words
 from prismal.session import stored
 
 WINDOW = 6
@@ -40,14 +40,22 @@ NUMBER, UNIT, NAME = "①", "②", "③"
 UNITS = "km|m|cm|mm|mi|mile|miles|ft|foot|feet|inch|inches|yd|yard|yards|kg|g|mg|lb|lbs|oz|ton|tons|l|ml|litre|litres|liter|liters|gallon|gallons|s|sec|second|seconds|min|minute|minutes|h|hr|hrs|hour|hours|day|days|week|weeks|month|months|year|years|kmh|mph|usd|eur|dollar|dollars|euro|euros|cent|cents|percent"
 
 
+def canonical_text(text: Column, mark: str) -> Column:
+    """The text with typed placeholders, lower case otherwise, each run of punctuation turned into `mark`; white space stays as it is."""
+    blank, end = r"[\x20\x09-\x0D]", r"(?=[^\p{L}\p{N}\x20\x09-\x0D]*(?:[\x20\x09-\x0D]|$))"
+    x = F.regexp_replace(text, rf"{blank}(?<=[^\x20\x09-\x0D.!?:].)\p{{Lu}}[\p{{Ll}}\p{{M}}]*{end}", f" {NAME}")
+    x = F.lower(x)
+    numbered = F.regexp_replace(x, rf"(^|{blank})[^\p{{L}}\p{{N}}{NUMBER}{UNIT}{NAME}\x20\x09-\x0D]*[0-9][0-9.,:/]*{end}", f"$1{NUMBER}")
+    measured = F.regexp_replace(numbered, rf"{NUMBER}[^\p{{L}}\p{{N}}\x20\x09-\x0D]*({blank})(?:{UNITS}){end}", f"{NUMBER}$1{UNIT}")
+    x = F.when(text.rlike("[0-9]"), measured).otherwise(x)
+    return F.regexp_replace(x, rf"[^\p{{L}}\p{{M}}\p{{Nd}}{NUMBER}{UNIT}{NAME}\x20\x09-\x0D]+", mark)
+
+
 def canonical(text: Column) -> Column:
     """Array of structs (c, v): canonical word and the written one; words of punctuation alone are left out."""
-    x = F.regexp_replace(text, r"(?<=[^\x20\x09-\x0D.!?:])[\x20\x09-\x0D]\p{Lu}[\p{Ll}\p{M}]*(?=[^\p{L}\p{N}]*(?:[\x20\x09-\x0D]|$))", f" {NAME}")
-    x = F.regexp_replace(x, r"(?<=[\x20\x09-\x0D]|^)[^\p{L}\p{N}\x20\x09-\x0D]*[0-9][0-9.,:/]*(?=[^\p{L}\p{N}]*(?:[\x20\x09-\x0D]|$))", NUMBER)
-    x = F.regexp_replace(F.lower(x), rf"(?<={NUMBER}[\x20\x09-\x0D])(?:{UNITS})(?=[^\p{{L}}\p{{N}}]*(?:[\x20\x09-\x0D]|$))", UNIT)
-    x = F.regexp_replace(x, rf"[^\p{{L}}\p{{M}}\p{{Nd}}{NUMBER}{UNIT}{NAME}\x20\x09-\x0D]+", "␀")
-    pairs = F.arrays_zip(F.regexp_extract_all(x, F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)).alias("c"), words(text).alias("v"))
-    stripped = F.transform(pairs, lambda p: F.struct(F.translate(p["c"], "␀", "").alias("c"), F.lower(p["v"]).alias("v")))
+    found = F.regexp_extract_all(canonical_text(text, "\u2400"), F.lit(WORD), F.lit(0))
+    pairs = F.arrays_zip(found.alias("c"), words(text).alias("v"))
+    stripped = F.transform(pairs, lambda p: F.struct(F.translate(p["c"], "\u2400", "").alias("c"), F.lower(p["v"]).alias("v")))
     return F.filter(stripped, lambda p: p["c"] != "")
 
 
@@ -61,23 +69,28 @@ def _slots(window: Column) -> Column:
     return F.get(F.transform(F.array(values), lambda vs: F.transform(vs, lambda v: F.array_position(vs, v))), F.lit(0))
 
 
-def _hashed(c: str, i: Column, length: int) -> Column:
-    return F.xxhash64(*(F.get(c, i + k) for k in range(length)))
+def _hashed(i: Column, length: int) -> Column:
+    """The key of `length` words from place i on, given the words' hashes in _h."""
+    return F.xxhash64(*(F.get("_h", i + k) for k in range(length)))
 
 
 def _entry(n: int):
-    return lambda i: F.struct(F.lit(n).alias("_len"), i.alias("_at"), _hashed("_c", i, n).alias("_key"))
+    return lambda i: F.struct(F.lit(n).alias("_len"), i.alias("_at"), _hashed(i, n).alias("_key"))
 
 
 def _windows(x: DataFrame, lengths: list[int], keep: list[str]) -> DataFrame:
-    """x(_seq, _c, ...) -> one row a window: _len, _at, _key; whole sequences only for lengths under the longest."""
+    """x(_h, ...) -> one row a window: _len, _at, _key."""
     each = [
-        F.when(F.size("_c") >= n, F.transform(F.sequence(F.lit(0), F.size("_c") - n), _entry(n))).otherwise(F.array().cast("array<struct<_len:int,_at:int,_key:bigint>>"))
+        F.when(F.size("_h") >= n, F.transform(F.sequence(F.lit(0), F.size("_h") - n), _entry(n))).otherwise(F.array().cast("array<struct<_len:int,_at:int,_key:bigint>>"))
         for n in lengths
     ]
     return x.select(*keep, F.explode(F.concat(*each)).alias("_w")).select(*keep, "_w.*")
 
 
+def _word_hashes(words_: Column) -> Column:
+    return F.transform(words_, lambda w: F.xxhash64(w))
+
+
 def benchmark_windows(items: DataFrame, *, window: int, min_literal: int, item_id: str, text: str) -> DataFrame:
     """(_item, _n, _at, _len, _key, _canon, _pattern) for every window of every item that can be found."""
     x = items.select(F.col(item_id).alias("_item"), F.col(text).alias("_t")).where(F.col("_t").isNotNull()).withColumn("_seq", canonical(F.col("_t")))
@@ -85,7 +98,8 @@ def benchmark_windows(items: DataFrame, *, window: int, min_literal: int, item_i
     x = x.select("_item", "_seq", "_len", F.explode(F.sequence(F.lit(0), F.size("_c") - F.col("_len"))).alias("_at"))
     x = x.withColumn("_win", F.slice("_seq", F.col("_at") + 1, F.col("_len"))).withColumn("_canon", F.col("_win")["c"])
     x = x.where(F.size(F.filter("_canon", lambda c: ~_is_slot(c))) >= min_literal)
-    key = F.coalesce(*(F.when(F.col("_len") == n, _hashed("_canon", F.lit(0), n)) for n in range(1, window + 1)))
+    x = x.withColumn("_h", _word_hashes(F.col("_canon")))
+    key = F.coalesce(*(F.when(F.col("_len") == n, _hashed(F.lit(0), n)) for n in range(1, window + 1)))
     x = x.select("_item", "_at", "_len", key.alias("_key"), "_canon", _slots(F.col("_win")).alias("_pattern"))
     sizes = x.groupBy("_item").agg(F.count(F.lit(1)).alias("_n"))
     return x.join(sizes, "_item")
@@ -97,11 +111,13 @@ def hits(docs: DataFrame, items: DataFrame, *, window: int = WINDOW, min_literal
     lengths = sorted(r["_len"] for r in bench.select("_len").distinct().collect())  # at most `window` numbers
     if not lengths:
         lengths = [window]
-    x = keyed(docs, id_col, text_col).select("_id", "_th", canonical(F.col("_text")).alias("_seq")).withColumn("_c", F.col("_seq")["c"])
-    # The keys alone decide what leaves the scan; the words of the few windows that hit are then compared.
     keys = stored(bench.select("_len", "_key").distinct(), "keys")
-    found = _windows(x, lengths, ["_id", "_th", "_seq"]).join(keys, ["_len", "_key"], "left_semi")
-    found = found.select("_id", "_th", "_len", "_key", F.slice("_seq", F.col("_at") + 1, F.col("_len")).alias("_win")).join(bench, ["_len", "_key"])
+    texts = keyed(docs, id_col, text_col)
+    # All documents are scanned for keys alone; words and slots are compared in the few documents with a hit.
+    scan = texts.select("_id", "_th", _word_hashes(F.regexp_extract_all(canonical_text(F.col("_text"), ""), F.lit(WORD), F.lit(0))).alias("_h"))
+    near = stored(_windows(scan, lengths, ["_id", "_th"]).join(keys, ["_len", "_key"], "left_semi").select("_id", "_th").distinct(), "candidates")
+    x = texts.join(near, ["_id", "_th"], "left_semi").select("_id", "_th", canonical(F.col("_text")).alias("_seq")).withColumn("_h", _word_hashes(F.col("_seq")["c"]))
+    found = _windows(x, lengths, ["_id", "_th", "_seq"]).select("_id", "_th", "_len", "_key", F.slice("_seq", F.col("_at") + 1, F.col("_len")).alias("_win")).join(bench, ["_len", "_key"])
     found = found.where((F.col("_win")["c"] == F.col("_canon")) & (_slots(F.col("_win")) == F.col("_pattern")))
     places = found.groupBy("_id", "_th", "_item", "_n", "_at").agg(F.count(F.lit(1)).alias("_times"))
     matched = places.groupBy("_id", "_th", "_item", "_n").agg(F.count(F.lit(1)).alias("_hit"))

@@ -8,6 +8,7 @@ from collections import Counter
 import pytest
 
 from prismal.llm import decontamination, htmltext, licenses, linededup, mixing, neardup, quality, substrings, tokencount, urlfilter
+from prismal.llm.common import NO_ID
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars int, _id int, _text string"
@@ -259,7 +260,7 @@ def test_decontamination(tables, spark, sf_dir):
     got = found(docs, bench)
     keys = {(r._id, r._th): r._text for r in decontamination.keyed(docs, "doc_id", "text").collect()}
     for i, x, want in cases:
-        hit = next(v for k, v in ((k, got.get(k, [])) for k, t in keys.items() if k[0] == (decontamination.NO_ID if i is None else i) and t == (x or "")))
+        hit = next(v for k, v in ((k, got.get(k, [])) for k, t in keys.items() if k[0] == (NO_ID if i is None else i) and t == (x or "")))
         assert hit == want, (i, x, hit)
     assert not found(docs, bench.limit(0)) and not found(docs.limit(0), bench)
     # Verbatim passages of the tables: exactly the documents that hold a whole item, or a fifth of its windows.
