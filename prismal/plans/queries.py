@@ -331,7 +331,7 @@ _SHAPE = "sh AS (SELECT max(r) + 1 AS h, max(c) + 1 AS w FROM gr)"
 
 
 @query(
-    f"WITH {GR}, {_SHAPE}, nb AS (SELECT x.r, x.c, x.score, y.score AS v FROM gr x, sh, range(-3, 4) a(i), range(-3, 4) b(j), gr y WHERE y.r = CASE WHEN (x.r + i + 2 * h) % (2 * h) < h THEN (x.r + i + 2 * h) % (2 * h) ELSE 2 * h - 1 - (x.r + i + 2 * h) % (2 * h) END AND y.c = CASE WHEN (x.c + j + 2 * w) % (2 * w) < w THEN (x.c + j + 2 * w) % (2 * w) ELSE 2 * w - 1 - (x.c + j + 2 * w) % (2 * w) END) "
+    f"WITH {GR}, {_SHAPE}, wn AS (SELECT r, c, score, (r + i + 2 * h) % (2 * h) AS fr, (c + j + 2 * w) % (2 * w) AS fc, h, w FROM gr, sh, range(-3, 4) a(i), range(-3, 4) b(j)), fo AS (SELECT r, c, score, CASE WHEN fr < h THEN fr ELSE 2 * h - 1 - fr END AS yr, CASE WHEN fc < w THEN fc ELSE 2 * w - 1 - fc END AS yc FROM wn), nb AS (SELECT fo.r, fo.c, fo.score, y.score AS v FROM fo JOIN gr y ON y.r = fo.yr AND y.c = fo.yc) "
     f"SELECT r, c, {Q('greatest(0, any_value(score) - quantile_cont(v, 0.5))')} AS context FROM nb GROUP BY r, c"
 )
 def spatial_context(spark, d) -> DataFrame:
