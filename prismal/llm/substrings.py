@@ -57,8 +57,10 @@ _SALT = np.random.default_rng(7).integers(0, 2**63, (4, 4096), dtype=np.uint64)
 _LAST = np.uint64(2**64 - 1)
 
 _PACKED = "_id bigint, _th int, _z binary"
-_BOUNDARIES = "_name bigint, _id bigint, _th int, _lo int, _hi int"
-_SPANS = "_name bigint, _span bigint, _id bigint, _th int, _lo int, _hi int"
+#: A range of windows travels as one number: the first one, and how many more, below SPAN.
+SPAN = 64
+_BOUNDARIES = "_name bigint, _id bigint, _th int, _range bigint"
+_SPANS = "_name bigint, _span bigint, _id bigint, _th int, _range bigint"
 _WINDOWS = "_wa bigint, _wb int, _open boolean, _id bigint, _th int, _at int"
 _RESULT = "_id bigint, n_words bigint, n_removed bigint, kept_sha256 string"
 
@@ -155,7 +157,7 @@ def _name_boundaries(window: int):
                 name, owner, lo, hi = stands(token, doc, offsets, window)
                 base = offsets[owner]
                 owner_index = pa.array(owner)
-                yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), _column(batch, "_id").take(owner_index), _column(batch, "_th").take(owner_index), pa.array((lo - base).astype(np.int32)), pa.array((hi - base).astype(np.int32))], names=["_name", "_id", "_th", "_lo", "_hi"])
+                yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), _column(batch, "_id").take(owner_index), _column(batch, "_th").take(owner_index), pa.array((lo - base) * SPAN + hi - lo)], names=["_name", "_id", "_th", "_range"])
 
     return run
 
@@ -163,8 +165,8 @@ def _name_boundaries(window: int):
 def _ranges(lists: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, lo, hi) of a column of lists of structs."""
     rows = np.repeat(np.arange(len(lists)), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
-    flat = lists.flatten()
-    return rows, flat.field("_lo").to_numpy(zero_copy_only=False).astype(np.int64), flat.field("_hi").to_numpy(zero_copy_only=False).astype(np.int64)
+    both = lists.flatten().field("_range").to_numpy(zero_copy_only=False).astype(np.int64)
+    return rows, both // SPAN, both // SPAN + both % SPAN
 
 
 def _expanded(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -177,7 +179,7 @@ def _expanded(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def _pack():
     def run(batches):
-        squeeze = zstandard.ZstdCompressor(level=1).compress
+        squeeze = zstandard.ZstdCompressor(level=5).compress
         for batch in batches:
             packed = [squeeze(t.as_buffer()) for t in _column(batch, "_text")]
             yield pa.RecordBatch.from_arrays([_column(batch, "_id"), _column(batch, "_th"), pa.array(packed, pa.binary())], names=["_id", "_th", "_z"])
@@ -216,7 +218,7 @@ def _name_spans(window: int):
                 same = np.flatnonzero(length == n)
                 span[same] = _hashes(token, begin[same], int(n), 1)
             index = pa.array(row)
-            yield pa.RecordBatch.from_arrays([pa.array(name), pa.array(span.view(np.int64)), _column(batch, "_id").take(index), _column(batch, "_th").take(index), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))], names=["_name", "_span", "_id", "_th", "_lo", "_hi"])
+            yield pa.RecordBatch.from_arrays([pa.array(name), pa.array(span.view(np.int64)), _column(batch, "_id").take(index), _column(batch, "_th").take(index), pa.array(lo * SPAN + hi - lo)], names=["_name", "_span", "_id", "_th", "_range"])
 
     return run
 
@@ -268,26 +270,26 @@ def _joined(a: DataFrame, b: DataFrame, on: list[str], how: str = "inner") -> Da
 
 def deduplicated(docs: DataFrame, *, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, and kept (the words left, joined by one blank) or its kept_sha256."""
-    if window < 2 * CONTEXT + REACH:
-        raise ValueError(f"a window has {2 * CONTEXT + REACH} words at least")
+    if not 2 * CONTEXT + REACH <= window < 2 * CONTEXT + SPAN:
+        raise ValueError(f"a window has {2 * CONTEXT + REACH} to {2 * CONTEXT + SPAN - 1} words")
     ship(docs.sparkSession)
     texts = keyed(docs, id_col, text_col)
     packed = texts.mapInArrow(_pack(), _PACKED)
     boundary = texts.mapInArrow(_name_boundaries(window), _BOUNDARIES)
     again = boundary.groupBy("_name").agg(F.count(F.lit(1)).alias("_k")).where("_k > 1").select("_name")
-    live = boundary.join(again, "_name", "left_semi").groupBy("_id", "_th").agg(F.collect_set(F.struct("_name", "_lo", "_hi")).alias("_spans"))
+    live = boundary.join(again, "_name", "left_semi").groupBy("_id", "_th").agg(F.collect_set(F.struct("_name", "_range")).alias("_spans"))
     # Rows that share id and text are joined to the same spans, and each gives its own.
     spans = _joined(packed, live, ["_id", "_th"]).mapInArrow(_name_spans(window), _SPANS)
-    kinds = spans.groupBy("_name", "_span").agg(F.count(F.lit(1)).alias("_k"), F.min(F.struct("_id", "_th", "_lo", "_hi")).alias("_one"))
-    settled = spans.join(kinds.where("_k > 1").select("_name", "_span"), ["_name", "_span"], "left_semi").select("_id", "_th", "_lo", "_hi")
+    kinds = spans.groupBy("_name", "_span").agg(F.count(F.lit(1)).alias("_k"), F.min(F.struct("_id", "_th", "_range")).alias("_one"))
+    settled = spans.join(kinds.where("_k > 1").select("_name", "_span"), ["_name", "_span"], "left_semi").select("_id", "_th", "_range")
     several = kinds.groupBy("_name").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_name")
     apart = kinds.join(several, "_name", "left_semi").select("_one.*", (F.col("_k") == 1).alias("_open"))
-    apart = apart.groupBy("_id", "_th").agg(F.collect_set(F.struct("_lo", "_hi", "_open")).alias("_spans"))
+    apart = apart.groupBy("_id", "_th").agg(F.collect_set(F.struct("_range", "_open")).alias("_spans"))
     # Rows that share id and text count their windows once each, but none of their spans is open then: they repeat each other.
     windows = _joined(packed, apart, ["_id", "_th"]).mapInArrow(_name_windows(window), _WINDOWS)
     twice = windows.groupBy("_wa", "_wb").agg(F.count(F.lit(1)).alias("_k")).where("_k > 1").select("_wa", "_wb")
-    shared = windows.where("_open").join(twice, ["_wa", "_wb"], "left_semi").select("_id", "_th", F.col("_at").alias("_lo"), F.col("_at").alias("_hi"))
-    gone = settled.unionByName(shared).groupBy("_id", "_th").agg(F.collect_set(F.struct("_lo", "_hi")).alias("_spans"))
+    shared = windows.where("_open").join(twice, ["_wa", "_wb"], "left_semi").select("_id", "_th", (F.col("_at").cast("long") * SPAN).alias("_range"))
+    gone = settled.unionByName(shared).groupBy("_id", "_th").agg(F.collect_set(F.struct("_range")).alias("_spans"))
     schema = _RESULT.replace("kept_sha256", "kept") if keep_text else _RESULT
     return _joined(packed, gone, ["_id", "_th"], "left").select("_id", "_z", "_spans").mapInArrow(_remove(window, keep_text), schema).withColumn("_id", shown_id(F.col("_id"))).withColumnRenamed("_id", "doc_id")
 
