@@ -131,7 +131,7 @@ def test_quality(tables, spark, sf_dir):
         same(got, want)
 
 
-def test_quality_agrees_with_held_out_labels(spark):
+def test_quality_agrees_with_labels(spark):
     d = "/root/testdata/sf0.01"
     judged = quality.op4_quality(spark, d).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").where("not base_failed")
     table = {(r.quality, r.kept): r["count"] for r in judged.groupBy("quality", "kept").count().collect()}
