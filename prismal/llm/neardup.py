@@ -8,7 +8,9 @@ candidates, and every link is confirmed on the full sets. At the threshold the
 chance that a pair shares no band is (1 - s ** rows) ** bands: 7e-9 for the
 default of 32 bands of 5 at 0.85, and smaller above.
 
-The work stays linear in groups of copies:
+The work stays linear in groups of copies that are linked to their smallest
+member; large groups of texts that are alike, but under the threshold, still
+cost pairs in step 3:
 
 1. Documents with equal sets are one class, found by a 128-bit digest, and only
    one of a class takes part in the search. The others join it at the end.
