@@ -5,12 +5,16 @@ contain a line is divided by the number of its pages; a line that exceeds
 `max_share`, on at least `min_pages` pages, is boilerplate of that host and
 goes from all of its pages. Lines are compared without surrounding blanks.
 
-A page counts once for a line however often it repeats it. The count by
-(host, line) has a partial sum before the shuffle, so that neither a host with
-most pages nor a line that is on all of them makes a large group. What comes
-out is small: a host has at most (mean lines a page) / max_share such lines.
-It is written to the shared folder, and Catalyst broadcasts it if its true
-size allows; otherwise it joins by host, and a hot host's pages are split.
+A page counts once for a line however often it repeats it. With `copies_once`
+pages of one host with the same text count as one, in the share's numerator
+and denominator alike, so that a much copied page isn't taken for boilerplate.
+
+The count by (host, line) has a partial sum before the shuffle, so that neither
+a host with most pages nor a line that is on all of them makes a large group.
+What comes out is small: a host has at most (mean lines a page) / max_share
+such lines. It is written to the shared folder, and Catalyst broadcasts it if
+its true size allows; otherwise it joins by host, and a hot host's pages are
+split.
 
 Null hosts are a host of their own; blank lines are never boilerplate and
 stay; null texts stay null with no lines; repeated rows are separate pages;
@@ -36,12 +40,15 @@ def _trimmed(line: Column) -> Column:
     return F.regexp_replace(line, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")
 
 
-def boilerplate(pages: DataFrame, *, host: str, text: str, max_share: float = MAX_SHARE, min_pages: int = MIN_PAGES) -> DataFrame:
+def boilerplate(pages: DataFrame, *, host: str, text: str, max_share: float = MAX_SHARE, min_pages: int = MIN_PAGES, copies_once: bool = False) -> DataFrame:
     """(_host, _drop): the 64-bit hashes of each host's boilerplate lines."""
     x = pages.select(F.coalesce(F.concat(F.lit("="), F.col(host)), F.lit("")).alias("_host"), F.col(text).alias("_t"))
     hashes = F.array_distinct(F.transform(F.filter(F.transform(_lines(F.col("_t")), _trimmed), lambda s: s != ""), lambda s: F.xxhash64(s)))
+    x = x.select("_host", F.xxhash64("_t").alias("_text"), F.coalesce(hashes, F.array().cast("array<bigint>")).alias("_lines"))
+    if copies_once:
+        x = x.groupBy("_host", "_text").agg(F.first("_lines").alias("_lines"))
     # The page itself is a "line" with no hash: one aggregate gives both counts.
-    seen = x.select("_host", F.explode(F.concat(F.array(F.lit(None).cast("long")), F.coalesce(hashes, F.array().cast("array<bigint>")))).alias("_line"))
+    seen = x.select("_host", F.explode(F.concat(F.array(F.lit(None).cast("long")), "_lines")).alias("_line"))
     counts = seen.groupBy("_host", "_line").agg(F.count(F.lit(1)).alias("_n")).where((F.col("_n") >= min_pages) | F.col("_line").isNull())
     counts = stored(counts, "lines")
     total = counts.where(F.col("_line").isNull()).select("_host", F.col("_n").alias("_pages"))
@@ -54,9 +61,9 @@ def boilerplate(pages: DataFrame, *, host: str, text: str, max_share: float = MA
     )
 
 
-def cleaned(pages: DataFrame, *, host: str = "source", text: str = "text", max_share: float = MAX_SHARE, min_pages: int = MIN_PAGES) -> DataFrame:
+def cleaned(pages: DataFrame, *, host: str = "source", text: str = "text", max_share: float = MAX_SHARE, min_pages: int = MIN_PAGES, copies_once: bool = False) -> DataFrame:
     """`pages` with `text` rid of its host's boilerplate lines, and the counts n_lines and n_dropped."""
-    drop = stored(boilerplate(pages, host=host, text=text, max_share=max_share, min_pages=min_pages), "boilerplate")
+    drop = stored(boilerplate(pages, host=host, text=text, max_share=max_share, min_pages=min_pages, copies_once=copies_once), "boilerplate")
     x = pages.withColumn("_host", F.coalesce(F.concat(F.lit("="), F.col(host)), F.lit(""))).join(drop, "_host", "left")
     x = x.withColumn("_all", _lines(F.col(text)))
     kept = F.when(F.col("_drop").isNull(), F.col("_all")).otherwise(F.filter("_all", lambda s: ~F.array_contains(F.col("_drop"), F.xxhash64(_trimmed(s)))))

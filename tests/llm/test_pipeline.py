@@ -93,3 +93,13 @@ def test_repeated_and_missing_rows(spark, sf_dir):
     for df in (docs, docs.limit(0)):
         for _, stage in cp.STAGES:
             assert stage(spark, df, sf_dir).count() <= df.count()
+
+
+def test_line_dedup_keeps_a_copied_document(spark, sf_dir):
+    copied = "\n".join(f"line {k} of a clean document about subject number {k * k}" for k in range(8))
+    texts = [copied] * 30 + [f"page {i} has its own words {i * i}\nread more on our site" for i in range(60)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars int")
+    after = stored(cp.line_dedup(spark, docs, sf_dir), "test")
+    kept = as_dict(cp.near_dedup(spark, after, sf_dir))
+    assert [i for i, r in kept.items() if r.text == copied] == [0] and not set(kept) & set(range(1, 30))
+    assert all(r.text == texts[i].split("\n")[0] for i, r in kept.items() if i)  # boilerplate still goes
