@@ -15,6 +15,8 @@ from prismal.operators import moments, scoring, windows2d
 from prismal.session import cut, ship
 
 KEEP = ["scene_id", "pix", "r", "c"]
+#: Pixels that one task of kernel_rx scores against the background at most, roughly.
+CHUNK = 8192
 
 
 def global_rx(px: DataFrame, *, reg: float = 1e-6) -> DataFrame:
@@ -146,41 +148,51 @@ def kernel_rx(px: DataFrame, *, gamma: float | None = None, n_background: int =
     """RX in the feature space of an RBF kernel, over a bounded background sample of each scene.
 
     The sample is the `n_background` valid pixels with the smallest seeded
-    hashes; its centred kernel matrix is factored once a scene. gamma defaults
-    to one over twice the median squared distance inside the sample.
+    hashes. A scene is scored in chunks of pixels, each of which factors the
+    sample's centred kernel matrix once. gamma defaults to one over twice the
+    median squared distance inside the sample.
     """
     from pyspark.sql import Window
 
     ship(px.sparkSession)
     valid = px.where(F.col("spectrum").isNotNull())
-    turn = F.row_number().over(Window.partitionBy("scene_id").orderBy(F.xxhash64("pix", F.lit(seed)), "pix"))
-    sample = valid.select("scene_id", "pix", "spectrum").withColumn("_i", turn).where(F.col("_i") <= n_background)
-    rows = sample.groupBy("scene_id").agg(F.sort_array(F.collect_list(F.struct("pix", "spectrum"))).alias("bg"))  # n_background rows at most
-
-    @F.pandas_udf("double")
-    def score(spectrum: pd.Series, bg: pd.Series) -> pd.Series:
-        out, fitted = np.zeros(len(spectrum)), {}
-        x = np.stack(spectrum.to_list())
-        for k, background in enumerate(bg):
-            key = background[0]["pix"], len(background), background[-1]["pix"]
-            if key not in fitted:
-                b = np.stack([e["spectrum"] for e in background])
-                gaps = ((b[:, None] - b[None]) ** 2).sum(2) if len(b) <= 200 else np.maximum(0, (b * b).sum(1)[:, None] + (b * b).sum(1) - 2 * b @ b.T)
-                above = gaps[np.triu_indices(len(b), 1)]
-                median = np.median(above[above > 0]) if (above > 0).any() else 1.0
-                g = gamma or 1 / (2 * median)
-                kernel = np.exp(-g * gaps)
-                means = kernel.mean(0)
-                centred = kernel - means - means[:, None] + means.mean()
-                n = len(b)
-                fitted[key] = b, g, means, np.linalg.inv(np.linalg.cholesky(centred @ centred / n + reg * np.eye(n) * np.trace(centred) / n))
-            b, g, means, factor = fitted[key]
-            row = np.exp(-g * ((b - x[k]) ** 2).sum(1))
-            gap = row - row.mean() - means + means.mean()
-            out[k] = ((factor @ gap) ** 2).sum()
-        return pd.Series(out)
-
-    scored = valid.join(rows, "scene_id").select(*KEEP, score("spectrum", "bg").alias("score"))
+    number = F.xxhash64("pix", F.lit(seed))
+    sizes = valid.groupBy("scene_id").agg(F.count(F.lit(1)).alias("_size")).withColumn("_chunks", F.ceil(F.col("_size") / F.lit(CHUNK)))
+    sized = valid.join(sizes, "scene_id")
+    # Twice the pixels that are needed, and 100, lie under this bound, whatever the scene's size: only they are sorted.
+    low = sized.where(number.cast("double") <= F.lit(-(2.0**63)) + F.lit(2.0**64 * (2 * n_background + 100)) / F.col("_size"))
+    turn = F.row_number().over(Window.partitionBy("scene_id").orderBy(number, "pix"))
+    sample = low.select("scene_id", "pix", "spectrum", "_chunks").withColumn("_i", turn).where(F.col("_i") <= n_background)  # n_background rows a scene at most
+    dealt = sized.select(*KEEP, "spectrum", F.pmod(F.xxhash64("pix", F.lit(~seed)), "_chunks").alias("_chunk"))
+    backgrounds = sample.select(F.col("scene_id").alias("_scene"), F.col("pix").alias("_pix"), F.col("spectrum").alias("_spectrum"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("_chunks") - 1)).alias("_of"))
+
+    def gaps(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        size = (a * a).sum(1)[:, None] + (b * b).sum(1)
+        found = size - 2 * a @ b.T
+        return np.where(found > 1e-12 * size, found, 0)
+
+    def run(part: pd.DataFrame, background: pd.DataFrame) -> pd.DataFrame:
+        mine = part[KEEP]
+        if not len(part):
+            return mine.assign(score=pd.Series(dtype=float))
+        b = np.stack(background.sort_values("_pix")["_spectrum"].to_list())
+        n, squared = len(b), gaps(b, b)
+        above = squared[np.triu_indices(n, 1)]
+        above = above[above > 0]
+        g = gamma or 1 / (2 * (np.median(above) if len(above) else 1.0))
+        kernel = np.exp(-g * squared)
+        means = kernel.mean(0)
+        centred = kernel - means - means[:, None] + means.mean()
+        factor = np.linalg.inv(np.linalg.cholesky(centred @ centred / n + reg * np.eye(n) * np.trace(centred) / n))
+        score = np.zeros(len(part))
+        for k in range(0, len(part), 512):
+            x = np.stack(part["spectrum"].iloc[k : k + 512].to_list())
+            row = np.exp(-g * gaps(x, b))
+            gap = row - row.mean(1)[:, None] - means + means.mean()
+            score[k : k + 512] = ((gap @ factor.T) ** 2).sum(1)
+        return mine.assign(score=score)
+
+    scored = dealt.groupBy("scene_id", "_chunk").cogroup(backgrounds.groupBy("_scene", "_of")).applyInPandas(run, "scene_id string, pix bigint, r bigint, c bigint, score double")
     return scored.unionByName(px.where(F.col("spectrum").isNull()).select(*KEEP, F.lit(None).cast("double").alias("score")))
 
 

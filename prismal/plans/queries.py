@@ -636,17 +636,18 @@ def stream_moments(spark, d) -> DataFrame:
 
 @query()
 def local_rx(spark, d) -> DataFrame:
-    return detectors.local_rx(scenes.pixels(spark, d), inner=3, outer=15, components=8).select("pix", "score")
+    """The scene is 25 pixels wide: the reference's window and components for scenes of up to 64."""
+    return detectors.local_rx(scenes.pixels(spark, d), inner=3, outer=15, components=12).select("pix", "score")
 
 
 @query()
 def crd(spark, d) -> DataFrame:
-    return detectors.crd(scenes.pixels(spark, d), inner=3, outer=9).select("pix", "score")
+    return detectors.crd(scenes.pixels(spark, d)).select("pix", "score")
 
 
 @query()
 def kernel_rx(spark, d) -> DataFrame:
-    return detectors.kernel_rx(scenes.pixels(spark, d), n_background=200).select("pix", "score")
+    return detectors.kernel_rx(scenes.pixels(spark, d)).select("pix", "score")
 
 
 @query()

@@ -100,6 +100,40 @@ def test_kernel_rx(px):
     same(got, as_map(detectors.kernel_rx(px.repartition(5), n_background=1000)))
 
 
+def test_heavy_queries_have_the_reference_settings(spark, sf_dir):
+    from prismal.sources import scenes
+
+    scene = scenes.pixels(spark, sf_dir)
+    score = lambda df: {r.pix: r.score for r in df.collect()}
+    x = {r.pix: np.array(r.spectrum) for r in scene.collect()}
+    b = np.stack([x[i] for i in sorted(x)])
+    assert 200 < len(b) <= 2000  # all pixels are background
+    squared = ((b[:, None] - b[None]) ** 2).sum(2)
+    above = squared[np.triu_indices(len(b), 1)]
+    k = np.exp(-squared / (2 * np.median(above[above > 0])))
+    k = k - k.mean(0) - k.mean(1)[:, None] + k.mean()
+    model = k @ k / len(b) + 1e-2 * np.eye(len(b)) * np.trace(k) / len(b)
+    want = dict(zip(sorted(x), np.einsum("ij,jk,ik->i", k, np.linalg.inv(model), k)))
+    for name, want in {"kernel_rx": want, "crd": score(detectors.crd(scene, inner=5, outer=15)), "local_rx": score(detectors.local_rx(scene, inner=3, outer=15, components=12))}.items():
+        got = score(plans.QUERIES[name](spark, sf_dir))
+        assert got.keys() == want.keys() and got == pytest.approx(want, rel=1e-6), name
+
+
+def test_kernel_rx_chunks(px, monkeypatch):
+    whole = as_map(detectors.kernel_rx(px))
+    monkeypatch.setattr(detectors, "CHUNK", 20)
+    same(as_map(detectors.kernel_rx(px)), whole)
+
+
+def test_kernel_rx_sample(spark):
+    """The background is the pixels with the smallest hashes, also where only a part of the scene is sorted for it."""
+    x = spark.range(2000).select(F.lit("s").alias("scene_id"), F.col("id").alias("pix"), F.expr("id div 50").alias("r"), (F.col("id") % 50).alias("c"), F.array(F.sin("id"), F.cos(F.col("id") * 1.7)).alias("spectrum"))
+    low = x.orderBy(F.xxhash64("pix", F.lit(0)), "pix").limit(30)
+    want = {r.pix: r.score for r in detectors.kernel_rx(low).collect()}
+    got = {r.pix: r.score for r in detectors.kernel_rx(x, n_background=30).collect()}
+    assert len(got) == 2000 and {i: got[i] for i in want} == pytest.approx(want, rel=1e-6)
+
+
 def test_fused_and_registry(px):
     got = as_map(detectors.detect("fused", px))
     assert np.nanargmax(got) == 4 * W + 5 and np.nanmax(got) <= 1
