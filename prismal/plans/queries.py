@@ -531,11 +531,25 @@ def macro_micro_pool(spark, d) -> DataFrame:
     return x.select("o_orderstatus", "o_orderpriority", q(F.col("macro")).alias("macro"), q(F.col("micro")).alias("micro"), "n_ok", "n_failed")
 
 
+_WEIGHTS_SQL = f"WITH {PX}, w AS (SELECT a / 10.0::DOUBLE AS a, b / 10.0::DOUBLE AS b, c / 10.0::DOUBLE AS c FROM range(9) x(a), range(9) y(b), range(9) z(c) WHERE a + b + c > 0), sc AS (SELECT w.a, w.b, w.c, floor((w.a * s[1] + w.b * s[2] + w.c * s[3]) / (w.a + w.b + w.c) * 100000 + 0.3217) AS v, gt FROM px, w), vl AS (SELECT a, b, c, v, count(*) FILTER (WHERE gt) AS p, count(*) FILTER (WHERE NOT gt) AS q FROM sc GROUP BY 1, 2, 3, 4) SELECT a, b, c, {Q('sum(p * (below + q / 2.0::DOUBLE)) / CAST(sum(p) * sum(q) AS DOUBLE)')} AS auc FROM (SELECT *, sum(q) OVER (PARTITION BY a, b, c ORDER BY v) - q AS below FROM vl) GROUP BY 1, 2, 3"
+
+
 @query(f"WITH {PX}, w AS (SELECT a / 2.0::DOUBLE AS a, b / 2.0::DOUBLE AS b, c / 2.0::DOUBLE AS c FROM range(3) x(a), range(3) y(b), range(3) z(c) WHERE a + b + c > 0), sc AS (SELECT w.a, w.b, w.c, floor((w.a * s[1] + w.b * s[2] + w.c * s[3]) / (w.a + w.b + w.c) * 100000 + 0.3217) AS v, gt FROM px, w), vl AS (SELECT a, b, c, v, count(*) FILTER (WHERE gt) AS p, count(*) FILTER (WHERE NOT gt) AS q FROM sc GROUP BY 1, 2, 3, 4) SELECT a, b, c, {Q('sum(p * (below + q / 2.0::DOUBLE)) / CAST(sum(p) * sum(q) AS DOUBLE)')} AS auc FROM (SELECT *, sum(q) OVER (PARTITION BY a, b, c ORDER BY v) - q AS below FROM vl) GROUP BY 1, 2, 3")
 def weight_grid(spark, d) -> DataFrame:
-    """AUC of every weighting of three components; the grid is an array of 26 constants."""
-    grid = [(a / 2, b / 2, c / 2) for a in range(3) for b in range(3) for c in range(3) if a + b + c]
-    x = scenes.pixels(spark, d).select("gt", "spectrum", F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(c).alias("c")) for a, b, c in grid))).alias("w")).select("gt", "spectrum", "w.*")
+    """AUC of every weighting of three components in steps of a half; the grid is an array of 26 constants."""
+    return _weighted_auc(spark, d, [k / 2 for k in range(3)])
+
+
+@query(_WEIGHTS_SQL)
+def weight_search(spark, d) -> DataFrame:
+    """AUC of each of the reference's 728 weightings of three components: nine levels each, 0 to 0.8."""
+    return _weighted_auc(spark, d, [k / 10 for k in range(9)])
+
+
+def _weighted_auc(spark, d, levels: list[float]) -> DataFrame:
+    grid = [(a, b, c) for a in levels for b in levels for c in levels if a + b + c]
+    weights = spark.createDataFrame(grid, "a double, b double, c double")
+    x = scenes.pixels(spark, d).select("gt", "spectrum").crossJoin(F.broadcast(weights))  # at most 728 rows
     v = sum((F.col(n) * F.get("spectrum", F.lit(k)) for k, n in enumerate("abc")), F.lit(0.0)) / (F.col("a") + F.col("b") + F.col("c"))
     x = x.withColumn("score", F.floor(v * 100000 + 0.3217))
     return metrics.roc_auc(x, by=["a", "b", "c"]).select("a", "b", "c", q(F.col("roc_auc")).alias("auc"))

@@ -134,6 +134,11 @@ def test_kernel_rx_sample(spark):
     assert len(got) == 2000 and {i: got[i] for i in want} == pytest.approx(want, rel=1e-6)
 
 
+def test_weight_search_has_the_reference_levels(spark, sf_dir):
+    rows = plans.QUERIES["weight_search"](spark, sf_dir).collect()
+    assert {(r.a, r.b, r.c) for r in rows} == {(a / 10, b / 10, c / 10) for a in range(9) for b in range(9) for c in range(9)} - {(0, 0, 0)} and len(rows) == 728
+
+
 def test_fused_and_registry(px):
     got = as_map(detectors.detect("fused", px))
     assert np.nanargmax(got) == 4 * W + 5 and np.nanmax(got) <= 1
