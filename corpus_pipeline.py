@@ -25,11 +25,20 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return linededup.cleaned(docs, copies_once=True).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
+def with_rows(docs: DataFrame) -> DataFrame:
+    """docs, stored with a key _row for each row: ids repeat and can be null."""
+    return stored(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: five-word shingles, similarity of 0.8 or more."""
-    judged = neardup.linked(docs, width=5, percent=80, bands=40, rows=4)
-    gone = stored(judged.where(~F.col("kept")).select("doc_id").distinct(), "copies")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group of near copies stays, that of the smallest id: five-word shingles, similarity of 0.8 or more."""
+    rows = with_rows(docs)
+    judged = neardup.linked(rows, width=5, percent=80, bands=40, rows=4, id_col="_row").select(F.col("doc_id").alias("_row"), "component_id")
+    judged = stored(judged.join(rows.select("_row", F.col("doc_id").alias("_id")), "_row"), "judged")
+    first = F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_row"))  # a null id comes last
+    groups = stored(judged.groupBy("component_id").agg(F.count(F.lit(1)).alias("_n"), first.alias("_first")).where("_n > 1").select("component_id", F.col("_first._row").alias("_stays")), "groups")
+    gone = stored(judged.join(groups, "component_id").where("_row <> _stays").select("_row"), "copies")
+    return rows.join(gone, "_row", "left_anti").select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,10 +51,10 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document left, with the number of its words that the mix takes."""
-    sizes = mixing.mixed_sizes(docs.select("doc_id", "source", "text"))
-    sizes = sizes.withColumnsRenamed({"doc_id": "_id", "source": "_source", "size": "_size"}).dropDuplicates(["_id", "_source", "_size"])
-    key = [F.col("doc_id").eqNullSafe(F.col("_id")), F.col("source").eqNullSafe(F.col("_source")), mixing.n_words(F.col("text")) == F.col("_size")]
-    return docs.join(cut(sizes), key).drop("_id", "_source").withColumnRenamed("_size", "size")
+    rows = with_rows(docs)
+    sizes = mixing.mixed_sizes(rows, row_col="_row").drop("doc_id", "source")
+    taken = ["size", "source_size", "target", "taken"]
+    return rows.join(cut(sizes), "_row").select(*docs.columns, *taken)
 
 
 STAGES = [

@@ -81,9 +81,11 @@ def targets(sized: DataFrame, *, weights=WEIGHTS, cap=CAP) -> DataFrame:
     )
 
 
-def mixed_sizes(docs: DataFrame, *, seed: str = "mix", block: int = BLOCK, shard_words: int = SHARD_WORDS, weights=WEIGHTS, cap: int = CAP, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """One row a document: doc_id, source, size, source_size, target, taken."""
+def mixed_sizes(docs: DataFrame, *, seed: str = "mix", block: int = BLOCK, shard_words: int = SHARD_WORDS, weights=WEIGHTS, cap: int = CAP, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """One row a document: doc_id, source, size, source_size, target, taken, and row_col, which tells apart rows that repeat an id."""
+    row = [row_col] if row_col else []
     sized = docs.select(
+        *row,
         F.col(id_col).alias("doc_id"),
         F.col(source_col).alias("source"),
         F.coalesce(F.concat(F.lit("="), F.col(source_col)), F.lit("")).alias("_src"),
@@ -105,7 +107,7 @@ def mixed_sizes(docs: DataFrame, *, seed: str = "mix", block: int = BLOCK, shard
         quotas.drop("_quota", "_shard_size")
         .withColumnsRenamed({"_src": "_src2", "_shard": "_shard2"})
     )
-    line = Window.partitionBy("_src", "_shard").orderBy("_turn", "doc_id", "size")
+    line = Window.partitionBy("_src", "_shard").orderBy("_turn", "doc_id", "size", *row)
     laid = placed.withColumn("_end", F.sum("size").over(line.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_total", F.sum("size").over(Window.partitionBy("_src", "_shard")))
     x = (
         laid.join(quotas, (F.col("_src") == F.col("_src2")) & (F.col("_shard") == F.col("_shard2")))
@@ -123,7 +125,7 @@ def mixed_sizes(docs: DataFrame, *, seed: str = "mix", block: int = BLOCK, shard
         return (drawn(j) - drawn(F.lit(0))) * block + (drawn(j + 1) - drawn(j)) * inside
 
     taken = F.col("_base") * F.col("size") + words_before(F.col("_end")) - words_before(F.col("_end") - F.col("size"))
-    return x.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return x.select(*row, "doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
 
 
 def op2_mixing(spark, sf_dir: str) -> DataFrame:

@@ -103,3 +103,21 @@ def test_line_dedup_keeps_a_copied_document(spark, sf_dir):
     kept = as_dict(cp.near_dedup(spark, after, sf_dir))
     assert [i for i, r in kept.items() if r.text == copied] == [0] and not set(kept) & set(range(1, 30))
     assert all(r.text == texts[i].split("\n")[0] for i, r in kept.items() if i)  # boilerplate still goes
+
+
+def test_repeated_rows_are_rows(spark, sf_dir):
+    text = " ".join(f"w{k}" for k in range(40))
+    short = [(None, f"only {i} here again", "en", "t", 1) for i in range(3)]
+    docs = spark.createDataFrame([(i, text, "en", "s", 1) for i in (None, 7, 7, 5, 5, None)] + [(None, text + " " + text[::-1], "en", "s", 1)] * 3 + short, "doc_id long, text string, lang string, source string, n_chars int")
+    after = [(r.doc_id, r.text) for r in cp.near_dedup(spark, docs, sf_dir).collect()]
+    assert sorted(after, key=str) == sorted([(5, text), (None, text + " " + text[::-1])] + [(None, r[1]) for r in short], key=str)
+
+
+def test_mix_of_repeated_rows(spark, sf_dir):
+    rows = [(1, "a " * 8, "en", s, 1) for s in "stu" for _ in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int")
+    got = cp.mix(spark, docs, sf_dir).collect()
+    assert sorted((r.doc_id, r.source) for r in got) == sorted((r[0], r[3]) for r in rows)
+    for source in "stu":
+        own = [r for r in got if r.source == source]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 64, source
