@@ -10,9 +10,17 @@ different values the document must too. So a question with other numbers and
 names is caught, and a sentence that merely has numbers in the same places is
 not. A window needs `min_literal` words that are not placeholders.
 
+Both sides are read twice, and a window is found if it is in either reading.
+In the loose one every capitalised word is a name, also at the start of a
+sentence or a line, behind a quotation mark and with a possessive; a number
+joined to its unit ("12kg") is two slots, and a range ("12-15") one. Names of
+the loose reading alone still count as literal words for `min_literal`.
+
 An item is found in a document when `enough` of its windows are, or at least
-`share` of them. Items shorter than a window are looked up as a whole; items
-with fewer than `min_literal` literal words anywhere are never found.
+`share` of them, in one reading. Items shorter than a window are looked up as
+a whole. Items without a window of `min_literal` literal words are found where
+the document has their exact sequence of lower-cased words; one of a single
+word, where that is the whole document.
 
 The keys of the benchmark's windows are written to the shared folder and read
 back: Catalyst broadcasts them if their true size is under the threshold, and
@@ -36,36 +44,59 @@ SHARE = 0.2
 ENOUGH = 8
 
 NUMBER, UNIT, NAME = "①", "②", "③"
+#: A name by the loose reading alone, until windows are formed.
+LOOSE = "④"
+READINGS = (False, True)
 #: Units of measure as they follow a number.
 UNITS = "km|m|cm|mm|mi|mile|miles|ft|foot|feet|inch|inches|yd|yard|yards|kg|g|mg|lb|lbs|oz|ton|tons|l|ml|litre|litres|liter|liters|gallon|gallons|s|sec|second|seconds|min|minute|minutes|h|hr|hrs|hour|hours|day|days|week|weeks|month|months|year|years|kmh|mph|usd|eur|dollar|dollars|euro|euros|cent|cents|percent"
 
 
-def canonical_text(text: Column, mark: str) -> Column:
-    """The text with typed placeholders, lower case otherwise, each run of punctuation turned into `mark`; white space stays as it is."""
+def spaced(text: Column, loose: bool) -> Column:
+    """The text whose words are read: the loose reading parts numbers from their units."""
+    joined = F.regexp_replace(text, rf"(?<![\p{{L}}\p{{N}}])([0-9][0-9.,]*)(?=(?i:{UNITS})(?![\p{{L}}\p{{N}}]))", "$1 ")
+    return F.when(text.rlike("[0-9][A-Za-z]"), joined).otherwise(text) if loose else text
+
+
+def canonical_text(text: Column, mark: str, loose: bool = False) -> Column:
+    """The spaced text with typed placeholders, lower case otherwise, each run of punctuation turned into `mark`; white space stays as it is."""
     blank, end = r"[\x20\x09-\x0D]", r"(?=[^\p{L}\p{N}\x20\x09-\x0D]*(?:[\x20\x09-\x0D]|$))"
     x = F.regexp_replace(text, rf"{blank}(?<=[^\x20\x09-\x0D.!?:].)\p{{Lu}}[\p{{Ll}}\p{{M}}]*{end}", f" {NAME}")
+    if loose:
+        x = F.regexp_replace(x, rf"(?<![^\x20\x09-\x0D])([^\p{{L}}\p{{N}}\x20\x09-\x0D]*)\p{{Lu}}[\p{{Ll}}\p{{M}}]*(?:['’]s)?{end}", f"$1{LOOSE}")
     x = F.lower(x)
-    numbered = F.regexp_replace(x, rf"(^|{blank})[^\p{{L}}\p{{N}}{NUMBER}{UNIT}{NAME}\x20\x09-\x0D]*[0-9][0-9.,:/]*{end}", f"$1{NUMBER}")
+    digits = "0-9.,:/–-" if loose else "0-9.,:/"
+    numbered = F.regexp_replace(x, rf"(^|{blank})[^\p{{L}}\p{{N}}{NUMBER}{UNIT}{NAME}{LOOSE}\x20\x09-\x0D]*[0-9][{digits}]*{end}", f"$1{NUMBER}")
     measured = F.regexp_replace(numbered, rf"{NUMBER}[^\p{{L}}\p{{N}}\x20\x09-\x0D]*({blank})(?:{UNITS}){end}", f"{NUMBER}$1{UNIT}")
     x = F.when(text.rlike("[0-9]"), measured).otherwise(x)
-    return F.regexp_replace(x, rf"[^\p{{L}}\p{{M}}\p{{Nd}}{NUMBER}{UNIT}{NAME}\x20\x09-\x0D]+", mark)
+    return F.regexp_replace(x, rf"[^\p{{L}}\p{{M}}\p{{Nd}}{NUMBER}{UNIT}{NAME}{LOOSE}\x20\x09-\x0D]+", mark)
 
 
-def canonical(text: Column) -> Column:
+def canonical(text: Column, loose: bool = False) -> Column:
     """Array of structs (c, v): canonical word and the written one; words of punctuation alone are left out."""
-    found = F.regexp_extract_all(canonical_text(text, "\u2400"), F.lit(WORD), F.lit(0))
-    pairs = F.arrays_zip(found.alias("c"), words(text).alias("v"))
+    read = spaced(text, loose)
+    found = F.regexp_extract_all(canonical_text(read, "\u2400", loose), F.lit(WORD), F.lit(0))
+    pairs = F.arrays_zip(found.alias("c"), words(read).alias("v"))
     stripped = F.transform(pairs, lambda p: F.struct(F.translate(p["c"], "\u2400", "").alias("c"), F.lower(p["v"]).alias("v")))
     return F.filter(stripped, lambda p: p["c"] != "")
 
 
+def plain_words(text: Column) -> Column:
+    """The lower-cased words without punctuation, nothing replaced."""
+    return F.regexp_extract_all(F.regexp_replace(F.lower(text), r"[^\p{L}\p{M}\p{Nd}\x20\x09-\x0D]+", ""), F.lit(WORD), F.lit(0))
+
+
+def _named(seq: Column) -> Column:
+    """The canonical words with the loose reading's names as names."""
+    return F.transform(seq, lambda p: F.struct(F.translate(p["c"], LOOSE, NAME).alias("c"), p["v"].alias("v")))
+
+
 def _is_slot(c: Column) -> Column:
     return c.isin(NUMBER, UNIT, NAME)
 
 
 def _slots(window: Column) -> Column:
     """For each slot of a window, the place of the first slot with its value."""
-    values = F.transform(F.filter(window, lambda p: _is_slot(p["c"])), lambda p: F.regexp_replace(p["v"], r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", ""))
+    values = F.transform(F.filter(window, lambda p: _is_slot(p["c"])), lambda p: F.regexp_replace(p["v"], r"^[^\p{L}\p{N}]+|(?:['’]s)?[^\p{L}\p{N}]*$", ""))
     return F.get(F.transform(F.array(values), lambda vs: F.transform(vs, lambda v: F.array_position(vs, v))), F.lit(0))
 
 
@@ -91,13 +122,19 @@ def _word_hashes(words_: Column) -> Column:
     return F.transform(words_, lambda w: F.xxhash64(w))
 
 
-def benchmark_windows(items: DataFrame, *, window: int, min_literal: int, item_id: str, text: str) -> DataFrame:
+def _usable(seq: Column, window: int, min_literal: int) -> Column:
+    """Where the windows with enough literal words begin."""
+    size = F.size(seq)
+    length = F.least(F.lit(window), size)
+    places = F.when(size > 0, F.sequence(F.lit(0), size - length)).otherwise(F.array().cast("array<int>"))
+    return F.filter(places, lambda at: F.size(F.filter(F.slice(seq["c"], at + 1, length), lambda c: ~_is_slot(c))) >= min_literal)
+
+
+def benchmark_windows(items: DataFrame, *, window: int, min_literal: int, item_id: str, text: str, loose: bool = False) -> DataFrame:
     """(_item, _n, _at, _len, _key, _canon, _pattern) for every window of every item that can be found."""
-    x = items.select(F.col(item_id).alias("_item"), F.col(text).alias("_t")).where(F.col("_t").isNotNull()).withColumn("_seq", canonical(F.col("_t")))
-    x = x.withColumn("_c", F.col("_seq")["c"]).withColumn("_len", F.least(F.lit(window), F.size("_c"))).where(F.col("_len") > 0)
-    x = x.select("_item", "_seq", "_len", F.explode(F.sequence(F.lit(0), F.size("_c") - F.col("_len"))).alias("_at"))
-    x = x.withColumn("_win", F.slice("_seq", F.col("_at") + 1, F.col("_len"))).withColumn("_canon", F.col("_win")["c"])
-    x = x.where(F.size(F.filter("_canon", lambda c: ~_is_slot(c))) >= min_literal)
+    x = items.select(F.col(item_id).alias("_item"), F.col(text).alias("_t")).where(F.col("_t").isNotNull()).withColumn("_seq", canonical(F.col("_t"), loose))
+    x = x.select("_item", F.least(F.lit(window), F.size("_seq")).alias("_len"), _named(F.col("_seq")).alias("_read"), F.explode(_usable(F.col("_seq"), window, min_literal)).alias("_at"))
+    x = x.withColumn("_win", F.slice("_read", F.col("_at") + 1, F.col("_len"))).withColumn("_canon", F.col("_win")["c"])
     x = x.withColumn("_h", _word_hashes(F.col("_canon")))
     key = F.coalesce(*(F.when(F.col("_len") == n, _hashed(F.lit(0), n)) for n in range(1, window + 1)))
     x = x.select("_item", "_at", "_len", key.alias("_key"), "_canon", _slots(F.col("_win")).alias("_pattern"))
@@ -105,23 +142,55 @@ def benchmark_windows(items: DataFrame, *, window: int, min_literal: int, item_i
     return x.join(sizes, "_item")
 
 
-def hits(docs: DataFrame, items: DataFrame, *, window: int = WINDOW, min_literal: int = MIN_LITERAL, share: float = SHARE, enough: int = ENOUGH, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """(_id, _th, items): the documents that hold benchmark items, and which."""
-    bench = stored(benchmark_windows(items, window=window, min_literal=min_literal, item_id=item_id, text=item_text), "windows")
+def _in_windows(texts: DataFrame, items: DataFrame, loose: bool, *, window: int, min_literal: int, share: float, enough: int, item_id: str, item_text: str) -> DataFrame:
+    """(_id, _th, _item, _hit): the items found by their windows in one reading."""
+    bench = stored(benchmark_windows(items, window=window, min_literal=min_literal, item_id=item_id, text=item_text, loose=loose), "windows")
     lengths = sorted(r["_len"] for r in bench.select("_len").distinct().collect())  # at most `window` numbers
     if not lengths:
         lengths = [window]
     keys = stored(bench.select("_len", "_key").distinct(), "keys")
-    texts = keyed(docs, id_col, text_col)
     # All documents are scanned for keys alone; words and slots are compared in the few documents with a hit.
-    scan = texts.select("_id", "_th", _word_hashes(F.regexp_extract_all(canonical_text(F.col("_text"), ""), F.lit(WORD), F.lit(0))).alias("_h"))
+    read = canonical_text(spaced(F.col("_text"), loose), "", loose)
+    read = F.translate(read, LOOSE, NAME) if loose else read
+    scan = texts.select("_id", "_th", _word_hashes(F.regexp_extract_all(read, F.lit(WORD), F.lit(0))).alias("_h"))
     near = stored(_windows(scan, lengths, ["_id", "_th"]).join(keys, ["_len", "_key"], "left_semi").select("_id", "_th").distinct(), "candidates")
-    x = texts.join(near, ["_id", "_th"], "left_semi").select("_id", "_th", canonical(F.col("_text")).alias("_seq")).withColumn("_h", _word_hashes(F.col("_seq")["c"]))
+    x = texts.join(near, ["_id", "_th"], "left_semi").select("_id", "_th", _named(canonical(F.col("_text"), loose)).alias("_seq")).withColumn("_h", _word_hashes(F.col("_seq")["c"]))
     found = _windows(x, lengths, ["_id", "_th", "_seq"]).select("_id", "_th", "_len", "_key", F.slice("_seq", F.col("_at") + 1, F.col("_len")).alias("_win")).join(bench, ["_len", "_key"])
     found = found.where((F.col("_win")["c"] == F.col("_canon")) & (_slots(F.col("_win")) == F.col("_pattern")))
     places = found.groupBy("_id", "_th", "_item", "_n", "_at").agg(F.count(F.lit(1)).alias("_times"))
     matched = places.groupBy("_id", "_th", "_item", "_n").agg(F.count(F.lit(1)).alias("_hit"))
-    matched = matched.where(F.col("_hit") >= F.least(F.lit(enough), F.ceil(F.col("_n") * share)))
+    return matched.where(F.col("_hit") >= F.least(F.lit(enough), F.ceil(F.col("_n") * share))).select("_id", "_th", "_item", "_hit")
+
+
+def _in_sequence(texts: DataFrame, items: DataFrame, *, window: int, min_literal: int, item_id: str, item_text: str) -> DataFrame | None:
+    """(_id, _th, _item, _hit): the items without a usable window, by their exact words; None where there is no such item."""
+    t = F.col("_t")
+    x = items.select(F.col(item_id).alias("_item"), F.col(item_text).alias("_t")).where(t.isNotNull())
+    x = x.where(F.size(_usable(canonical(t), window, min_literal)) == 0).select("_item", plain_words(t).alias("_p")).where(F.size("_p") > 0)
+    x = x.withColumn("_len", F.least(F.lit(window), F.size("_p"))).withColumn("_h", _word_hashes(F.slice("_p", 1, window)))
+    key = F.coalesce(*(F.when(F.col("_len") == n, _hashed(F.lit(0), n)) for n in range(1, window + 1)))
+    x = stored(x.select("_item", "_len", key.alias("_key"), F.array_join("_p", " ").alias("_said")), "sequences")
+    lengths = sorted(r["_len"] for r in x.select("_len").distinct().collect())  # at most `window` numbers
+    if not lengths:
+        return None
+    plain = texts.select("_id", "_th", plain_words(F.col("_text")).alias("_p"))
+    scan = plain.withColumn("_h", _word_hashes(F.col("_p")))
+    begun = _windows(scan.select("_id", "_th", F.size("_p").alias("_size"), "_h"), lengths, ["_id", "_th", "_size"]).where("_len > 1 or _size = 1")
+    begun = stored(begun.join(x, ["_len", "_key"]).select("_id", "_th", "_item", "_said").distinct(), "begun")
+    whole = plain.select("_id", "_th", F.array_join("_p", " ").alias("_all"))
+    has = F.concat(F.lit(" "), "_all", F.lit(" ")).contains(F.concat(F.lit(" "), "_said", F.lit(" ")))
+    return whole.join(begun, ["_id", "_th"]).where(has).select("_id", "_th", "_item", F.lit(1).cast("long").alias("_hit")).distinct()
+
+
+def hits(docs: DataFrame, items: DataFrame, *, window: int = WINDOW, min_literal: int = MIN_LITERAL, share: float = SHARE, enough: int = ENOUGH, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """(_id, _th, items): the documents that hold benchmark items, and which."""
+    texts = keyed(docs, id_col, text_col)
+    of_items = {"window": window, "min_literal": min_literal, "item_id": item_id, "item_text": item_text}
+    strict, loose = (_in_windows(texts, items, loose, share=share, enough=enough, **of_items) for loose in READINGS)
+    matched = strict.unionByName(loose)
+    if (exact := _in_sequence(texts, items, **of_items)) is not None:
+        matched = matched.unionByName(exact)
+    matched = matched.groupBy("_id", "_th", "_item").agg(F.max("_hit").alias("_hit"))
     return matched.groupBy("_id", "_th").agg(F.array_sort(F.collect_list("_item")).alias("items"), F.sum("_hit").alias("n_windows"))
 
 

@@ -277,6 +277,31 @@ def test_decontamination(tables, spark, sf_dir):
             assert any(len(grams & {tuple(b.split()[k : k + 4]) for k in range(len(b.split()))}) >= 3 for b in joined.values()), i
 
 
+def test_decontamination_of_short_and_slotted_items(spark):
+    items = ["Compute 12 + 30 - 4 + 7 = 45", "Who wrote Hamlet?", "Maria buys 12 apples in Rome", "Then Maria's brother carried 12kg of flour home", "Yes", "pages 12-15 of it are missing from the book", "+ ="]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    cases = [
+        ("Some prose, then compute 12 + 30 - 4 + 7 = 45, and more.", [0]),
+        ("Some prose, then compute 12 + 30 - 4 + 8 = 46, and more.", []),
+        ("We ask: who wrote Hamlet, again?", [1]),
+        ("They ask who wrote Hamlets", []),
+        ("Peter buys 7 apples in Oslo.", [2]),
+        ("He said: \u201cAnna buys 9 apples in Bonn\u201d", [2]),
+        ("first line\n\nAnna buys 9 apples in Bonn", [2]),
+        ("Peter buys 7 pears in Oslo.", []),
+        ("maria buys 12 apples in Rome", [2]),  # as before: the first word literally
+        ("So Peter's brother carried 7 kg of flour home", [3]),
+        ("yes", [4]),
+        ("yes and no", []),
+        ("pages 3-7 of it are missing from the book", [5]),
+        ("+ =", []),
+    ]
+    docs = spark.createDataFrame([(k, x) for k, (x, _) in enumerate(cases)], "doc_id long, text string")
+    got = {r._id: r["items"] for r in decontamination.hits(docs, bench).collect()}
+    for k, (x, want) in enumerate(cases):
+        assert got.get(k, []) == want, x
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var x="</p>";</script></head><body>
 <header class="site-header">Site name</header><nav><ul><li><a href="/">Home</a></li></ul></nav>
 <div class="cookie-notice">We use cookies, really.</div>%s<div id="sidebar"><p>Popular posts, and more, and more.</p></div>
