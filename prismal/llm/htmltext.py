@@ -3,7 +3,10 @@
 One pass over the markup builds a light tree: scripts, styles, comments, page
 heads, navigation, page headers and footers, asides, forms and whatever is
 marked as an advert, a notice, a menu or reader comments by its class, id or
-role are cut out as they open. Paragraphs then pass points to their ancestors
+role are cut out as they open. A class or id doesn't cut out what holds all of
+the page's article and main elements, nor, where it also has a word for
+content, what holds half of the page's text or more; where nothing is left, the
+page is read again without that rule. Paragraphs then pass points to their ancestors
 (one, one for each comma, and one for each 100 characters up to three; the
 parent gets all of them, the grandparent a half, others less), and containers
 are marked up or down by what their tag and class say. Points are discounted
@@ -23,6 +26,7 @@ or url; other columns are left alone.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from html import unescape
 
 import pyarrow as pa
@@ -71,12 +75,56 @@ def _unwanted(tag: str, attributes: dict[str, str], in_article: bool) -> bool:
         return False
     if "hidden" in attributes or attributes.get("aria-hidden") == "true" or attributes.get("role") in ROLES or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attributes.get("style", "")):
         return True
-    said = f"{attributes.get('class', '')} {attributes.get('id', '')}"
-    return len(said) > 1 and bool(UNWANTED.search(said))
+    return False
 
 
-def parsed(html: str) -> Node:
+def _said(attributes: dict[str, str]) -> str:
+    return f"{attributes.get('class', '')} {attributes.get('id', '')}"
+
+
+class Spans:
+    """Where the elements of a page end, its article and main elements begin, and how much text is before each tag."""
+
+    def __init__(self, html: str) -> None:
+        self.ends: dict[int, int] = {}
+        self.places, self.sizes, self.articles = [], [], []
+        opened: dict[str, list[int]] = {}
+        total, end, self.last = 0, 0, len(html)
+        for m in TOKEN.finditer(html):
+            start = m.start()
+            if start < end:
+                continue
+            total += len(" ".join(html[end:start].split()))
+            end = m.end()
+            self.places.append(start)
+            self.sizes.append(total)
+            if m[2] is None:
+                continue
+            tag = m[2].lower()
+            if m[1]:
+                if opened.get(tag):
+                    self.ends[opened[tag].pop()] = start
+            elif tag in RAW:
+                found = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, end)
+                end = found.end() if found else len(html)
+            elif tag not in VOID and not m[3].endswith("/"):
+                opened.setdefault(tag, []).append(start)
+                if tag in ARTICLE:
+                    self.articles.append(start)
+        self.places.append(self.last)
+        self.sizes.append(total + len(" ".join(html[end:].split())))
+
+    def holds_page(self, start: int, good: bool) -> bool:
+        end = self.ends.get(start, self.last)
+        if self.articles and start < self.articles[0] and self.articles[-1] < end:
+            return True
+        inside = self.sizes[bisect_left(self.places, end)] - self.sizes[bisect_left(self.places, start)]
+        return good and 2 * inside >= self.sizes[-1]
+
+
+def parsed(html: str, by_class: bool = True) -> Node:
     root = Node("html", None)
+    spans: Spans | None = None
     at, articles, end = root, 0, 0
     skip, depth = "", 0  # inside an element that is cut out
     raw_end: re.Pattern | None = None
@@ -127,7 +175,11 @@ def parsed(html: str) -> Node:
                 at.children.append("\n")
             continue
         attributes = _attributes(m[3]) if "=" in m[3] or "hidden" in m[3] else {}
-        if _unwanted(tag, attributes, articles > 0):
+        cut = _unwanted(tag, attributes, articles > 0)
+        if not cut and by_class and attributes and tag not in ARTICLE and UNWANTED.search(said := _said(attributes)):
+            spans = spans or Spans(html)
+            cut = not spans.holds_page(start, bool(GOOD.search(said)))
+        if cut:
             if not m[3].endswith("/"):
                 skip, depth = tag, 1
             at.children.append("\n")
@@ -138,7 +190,7 @@ def parsed(html: str) -> Node:
                 if node.tag == "p" or tag in CLOSED_BY.get(node.tag, ()):
                     at = node.parent
                 node = node.parent
-        weight = (5.0 if tag == "div" else 25.0 if tag in ARTICLE else 3.0 if tag in ("pre", "td", "blockquote") else 0.0) + (25.0 if attributes and GOOD.search(f"{attributes.get('class', '')} {attributes.get('id', '')}") else 0.0)
+        weight = (5.0 if tag == "div" else 25.0 if tag in ARTICLE else 3.0 if tag in ("pre", "td", "blockquote") else 0.0) + (25.0 if attributes and GOOD.search(_said(attributes)) else 0.0)
         node = Node(tag, at, weight)
         at.children.append(node)
         if m[3].endswith("/") and tag not in INLINE and tag not in PARAGRAPH:
@@ -178,7 +230,10 @@ def extracted(html: str | None) -> str:
     """The main text of one page."""
     if not html:
         return ""
-    root = parsed(html)
+    return _best(parsed(html)) or _best(parsed(html, by_class=False))
+
+
+def _best(root: Node) -> str:
     nodes = _walk(root)
     own: dict[int, int] = {}
     for node in nodes:

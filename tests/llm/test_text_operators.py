@@ -324,6 +324,15 @@ def test_html(body, text):
         assert htmltext.extracted(PAGE % body) == text
 
 
+@pytest.mark.parametrize("opening", ["<div class='content-sidebar-wrap'>", "<div class='has-sidebar content'>", "<div class='social'><article>", "<div class='tags'>"])
+def test_html_article_inside_an_unwanted_class(opening):
+    said = "A long article, with commas, and much to say about one thing or another. " * 8
+    page = f"<body><div class='sidebar'><p>Popular, posts.</p></div>{opening}<p>{said}</p>{'</article>' if 'article' in opening else ''}</div></body>"
+    assert said.strip() in htmltext.extracted(page)
+    if "tags" not in opening:
+        assert htmltext.extracted(page) == said.strip()
+
+
 def test_html_table(spark, sf_dir):
     from html import unescape
 
