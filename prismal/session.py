@@ -52,11 +52,21 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Write `df` to the shared scratch folder and read it back.
 
     This cuts the lineage and gives Catalyst the table's true size, so that
-    it broadcasts only what is small and shuffles the rest.
+    it broadcasts only what is small and shuffles the rest. Unlike checkpoint(),
+    it computes `df` once.
     """
     path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete what stored() wrote for these; nothing that is still to be computed may read them."""
+    for df in tables:
+        path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df._stored_at)
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut(df: DataFrame) -> DataFrame:
