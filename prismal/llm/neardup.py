@@ -8,28 +8,37 @@ candidates, and every link is confirmed on the full sets. At the threshold the
 chance that a pair shares no band is (1 - s ** rows) ** bands: 7e-9 for the
 default of 32 bands of 5 at 0.85, and smaller above.
 
-The work stays linear in groups of copies that are linked to their smallest
-member; large groups of texts that are alike, but under the threshold, still
-cost pairs in step 3:
+Candidates are confirmed in a fixed number of rounds, so that large groups of
+copies and large groups of texts that are merely alike cost no pairs of all
+their members:
 
 1. Documents with equal sets are one class, found by a 128-bit digest, and only
    one of a class takes part in the search. The others join it at the end.
-2. Each class is compared with the smallest class of its bands: one pair each.
-3. What those links do not connect is compared until nothing is left: in each
-   band whose members lie in several components, every member outside of the
-   largest component is compared with the members of other components, as many
-   such pivots at a time as `pairs` allows. No link between different components
-   can be missed, and a group whose members are linked costs no further pair.
-
-Components are found by a fixed point of joins with checkpoints in the shared
-folder. Nothing but counts of rows comes to the driver.
-
-Texts without words have an empty set: they are linked with nothing. Texts of
-fewer than `width` words have their whole sequence as their one shingle. Rows
-that share a doc_id are one document, linked by what any of them links, though
-each row counts its own shingles. Null
-doc_ids are returned as they are, with no component and kept. Ties need no
-rule, for every comparison is an exact count; an empty table gives no rows.
+2. Each class is compared with the smallest class of each of its bands. A band
+   of two, or one whose members these links connect, is done with.
+3. The classes of the bands that are left list their shingles from the rarest
+   to the commonest among them. Two sets that are alike enough share one of the
+   first n - ceil(t * n) + 1 of their n, and from their first common one on there
+   must be enough left on both sides for the overlap that the threshold asks
+   for. Texts of a group that have more words of their own than the threshold
+   allows therefore meet nobody, however large the group is.
+   a) Of those with a common shingle in these heads, each is compared with the
+      one that has the smallest share of shingles of its own.
+   b) What is still in different components is compared if the places allow it.
+   No link between different components can be missed.
+
+Components are found by a fixed point of joins with tables in the shared
+folder, each deleted when the next one stands. Nothing but counts of rows comes
+to the driver.
+
+Null texts and texts without words have an empty set: they are linked with
+nothing. Texts of fewer than `width` words have their whole sequence as their
+one shingle. A very long text is one row of an Arrow batch and one array of its
+shingles; nothing is cut. Rows that share a doc_id are one document, linked by
+what any of them links, though each row counts its own shingles. Null doc_ids
+are returned as they are, with no component and kept. Ties need no rule, for
+every comparison is an exact count; an empty table gives no rows. Only the two
+columns that are named are read, so that others can't clash.
 """
 
 from __future__ import annotations
@@ -40,16 +49,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from prismal.llm.common import NO_ID, mixed, shown_id, steps, token_table, word_hashes
-from prismal.session import cut, ship
+from prismal.session import forget, ship, stored
 
 WIDTH = 3
 PERCENT = 85
 BANDS, ROWS = 32, 5
-#: Pairs that one band may ask for in one round; a band always has one pivot at least.
-PAIRS = 20_000
 
-_SIGNED = "_id bigint, _n bigint, _d1 bigint, _d2 bigint, _bands array<bigint>"
-_SETS = "_id bigint, _set array<bigint>"
+_SIGNED = "_id bigint, _th bigint, _n bigint, _d1 bigint, _d2 bigint, _bands array<bigint>"
+_SETS = "_k bigint, _set array<bigint>"
 
 
 def _lowered(texts: pa.Array) -> pa.Array:
@@ -124,7 +131,7 @@ def _sign(width: int, bands: int, rows: int):
     def run(batches):
         for whole in batches:
             for batch in steps(whole):
-                sizes, grams = shingle_sets(batch.column(1), width)
+                sizes, grams = shingle_sets(batch.column(2), width)
                 has = np.flatnonzero(sizes)
                 keys = signatures(sizes, grams, bands, rows)
                 d = np.zeros((2, len(sizes)), np.uint64)
@@ -134,7 +141,7 @@ def _sign(width: int, bands: int, rows: int):
                     d[0, has] = np.add.reduceat(mixed(grams + M3), starts)
                     d[1, has] = np.add.reduceat(mixed(mixed(grams) * M3 + np.uint64(7)), starts)
                 per_doc = np.where(sizes > 0, bands, 0)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes.astype(np.int64)), pa.array(d[0].view(np.int64)), pa.array(d[1].view(np.int64)), _lists(per_doc, keys.ravel())], names=["_id", "_n", "_d1", "_d2", "_bands"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes.astype(np.int64)), pa.array(d[0].view(np.int64)), pa.array(d[1].view(np.int64)), _lists(per_doc, keys.ravel())], names=["_id", "_th", "_n", "_d1", "_d2", "_bands"])
 
     return run
 
@@ -144,26 +151,26 @@ def _shingle(width: int):
         for whole in batches:
             for batch in steps(whole):
                 sizes, grams = shingle_sets(batch.column(1), width)
-                yield pa.RecordBatch.from_arrays([batch.column(0), _lists(sizes, grams)], names=["_id", "_set"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), _lists(sizes, grams)], names=["_k", "_set"])
 
     return run
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are alike enough."""
-    x = pairs.join(sets.select(F.col("_id").alias("b"), F.col("_set").alias("_sb")), "b")
-    x = x.join(sets.select(F.col("_id").alias("a"), F.col("_set").alias("_sa")), "a")
+    x = pairs.join(sets.select(F.col("_k").alias("b"), F.col("_set").alias("_sb")), "b")
+    x = x.join(sets.select(F.col("_k").alias("a"), F.col("_set").alias("_sa")), "a")
     x = x.withColumn("_both", F.size(F.array_intersect("_sa", "_sb")))
     return x.where(100 * F.col("_both") >= percent * (F.size("_sa") + F.size("_sb") - F.col("_both"))).select("a", "b")
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(_id, _c): the smallest id that each end of edges(a, b) reaches.
+    """(_k, _c), stored: the smallest key that each end of edges(a, b) reaches, for all but the smallest ones themselves.
 
     Alternates large stars and small stars, which halves what is left of every
     path and keeps as many edges as there are nodes at most; ends when a round changes nothing.
     """
-    edges = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    edges = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     state = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -171,66 +178,103 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(least.select("u", F.col("m").alias("v")))
-        edges = cut(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+        last, edges = edges, stored(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+        forget(last)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
             break
         state = now
-    return edges.select(F.col("u").alias("_id"), F.col("v").alias("_c"))
+    out = edges.select(F.col("u").alias("_k"), F.col("v").alias("_c"))
+    out._stored_at = edges._stored_at
+    return out
+
+
+def _joined(found: DataFrame, links: DataFrame) -> DataFrame:
+    """components() of what is found and more links."""
+    return components(links.unionByName(found.select(F.col("_c").alias("a"), F.col("_k").alias("b"))))
+
+
+def _in_component(x: DataFrame, found: DataFrame) -> DataFrame:
+    return x.join(found, "_k", "left").withColumn("_c", F.coalesce("_c", "_k"))
+
+
+def _fits(n: Column, i: Column, m: Column, j: Column, percent: int) -> Column:
+    """Whether sets of n and m shingles whose first common one is at places i and j can be alike enough."""
+    return F.least(n - i, m - j) * (100 + percent) >= percent * (n + m)
 
 
-def linked(docs: DataFrame, *, width: int = WIDTH, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, pairs: int = PAIRS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _heads(sets: DataFrame, left: DataFrame, percent: int) -> DataFrame:
+    """(_w, _k, _n, _i, _own): the shingles at the head of each set of `left` that others of them have, their places, the set's share of shingles of its own."""
+    each = sets.join(left, "_k", "left_semi").select("_k", F.size("_set").cast("long").alias("_n"), F.explode("_set").alias("_w"))
+    counts = each.groupBy("_w").agg(F.count(F.lit(1)).alias("_df")).where("_df > 1")
+    of_set = Window.partitionBy("_k")
+    own = F.col("_n") - F.count(F.lit(1)).over(of_set)
+    x = each.join(counts, "_w").withColumn("_alone", own).withColumn("_i", F.col("_alone") + F.row_number().over(of_set.orderBy("_df", "_w")) - 1)
+    return x.where(100 * (F.col("_n") - F.col("_i")) >= percent * F.col("_n")).select("_w", "_k", "_n", "_i", (F.col("_alone") / F.col("_n")).alias("_own"))
+
+
+def _with_hubs(heads: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b): each set with the one of its shingle's sets that has the least of its own."""
+    x = _in_component(heads, found)
+    hubs = x.groupBy("_w").agg(F.min(F.struct("_own", "_k", "_n", "_i", "_c")).alias("_hub"), F.min("_c").alias("_lo"), F.max("_c").alias("_hi")).where("_lo <> _hi").select("_w", "_hub")
+    x = x.join(hubs, "_w").where((F.col("_c") != F.col("_hub._c")) & _fits(F.col("_n"), F.col("_i"), F.col("_hub._n"), F.col("_hub._i"), percent))
+    return x.select(F.least("_k", "_hub._k").alias("a"), F.greatest("_k", "_hub._k").alias("b")).distinct()
+
+
+def _across(heads: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components with a common shingle at places that fit. A shingle's largest component isn't compared with itself."""
+    x = _in_component(heads, found)
+    each = x.groupBy("_w", "_c").agg(F.count(F.lit(1)).alias("_m"), F.min("_n").alias("_least"))
+    groups = each.groupBy("_w").agg(F.max(F.struct("_m", "_c")).alias("_top"), F.min("_least").alias("_least"), F.count(F.lit(1)).alias("_parts")).where("_parts > 1").select("_w", "_least", F.col("_top._c").alias("_most"))
+    # A set whose place allows only partners smaller than all of the group's has none.
+    x = x.join(groups, "_w").where((F.col("_n") - F.col("_i")) * (100 + percent) >= percent * (F.col("_n") + F.col("_least")))
+    one = x.where("_c <> _most").select("_w", F.col("_k").alias("a"), F.col("_n").alias("_na"), F.col("_i").alias("_ia"), F.col("_c").alias("_ca"))
+    other = x.select("_w", F.col("_k").alias("b"), F.col("_n").alias("_nb"), F.col("_i").alias("_ib"), F.col("_c").alias("_cb"), "_most")
+    met = one.join(other, "_w").where((F.col("_ca") != F.col("_cb")) & ((F.col("a") < F.col("b")) | (F.col("_cb") == F.col("_most"))) & _fits(F.col("_na"), F.col("_ia"), F.col("_nb"), F.col("_ib"), percent))
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def linked(docs: DataFrame, *, width: int = WIDTH, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs."""
-    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("_id"), F.xxhash64(text).alias("_th"), text.alias("_text"))
     ship(docs.sparkSession)
-    signed = cut(texts.mapInArrow(_sign(width, bands, rows), _SIGNED))
+    signed = stored(texts.mapInArrow(_sign(width, bands, rows), _SIGNED), "signed")
     known = signed.where((F.col("_n") > 0) & (F.col("_id") != NO_ID))
     class_of = ["_n", "_d1", "_d2"]
-    classes = cut(known.groupBy(*class_of).agg(F.min(F.struct("_id", "_bands")).alias("_r")).select(*class_of, F.col("_r._id").alias("_id"), F.col("_r._bands").alias("_bands")))
+    classes = known.groupBy(*class_of).agg(F.min(F.struct("_id", "_th", "_bands")).alias("_r"))
+    classes = stored(classes.select(*class_of, "_r.*").withColumn("_k", F.monotonically_increasing_id()), "classes")
+    of_row = known.select("_id", *class_of).join(classes.select(F.col("_k"), F.col("_id").alias("_first"), *class_of), class_of)
 
     # Bands with two classes or more; a row a member.
-    spread = classes.select("_id", "_n", F.posexplode("_bands").alias("_band", "_key"))
-    shared = spread.groupBy("_band", "_key").agg(F.count(F.lit(1)).alias("_m"), F.min("_id").alias("_low")).where("_m > 1")
-    members = cut(spread.join(shared, ["_band", "_key"]).select("_band", "_key", "_id", "_n", "_low"))
-    candidates = members.select("_id").distinct()
-    sets = cut(texts.join(candidates, "_id", "left_semi").mapInArrow(_shingle(width), _SETS))
+    spread = classes.select("_k", F.explode("_bands").alias("_key"))
+    shared = spread.groupBy("_key").agg(F.count(F.lit(1)).alias("_m"), F.min("_k").alias("_low")).where("_m > 1")
+    members = stored(spread.join(shared, "_key"), "members")
+    wanted = classes.join(members.select("_k").distinct(), "_k", "left_semi").select("_k", "_id", "_th")
+    sets = stored(texts.join(wanted, ["_id", "_th"]).select("_k", "_text").mapInArrow(_shingle(width), _SETS).dropDuplicates(["_k"]), "sets")
 
     # A document whose rows have different sets ties the classes of all of them together.
-    torn = known.groupBy("_id").agg(F.min(F.struct(*class_of)).alias("_x"), F.max(F.struct(*class_of)).alias("_y")).where("_x <> _y").select("_id")
-    ties = known.join(torn, "_id").select(F.col("_id").alias("b"), *class_of).join(classes.select(*class_of, F.col("_id").alias("a")), class_of).where("a <> b").select("a", "b")
-
-    first = members.where("_id <> _low").groupBy("_id").agg(F.min("_low").alias("a")).select("a", F.col("_id").alias("b"))
-    tried = cut(first)
-    links = cut(_confirmed(tried, sets, percent).unionByName(ties))
-    used = None  # pivots that have been compared with all of their band
-    members = members.drop("_low")
-    while True:
-        found = components(links)
-        x = members.join(found, "_id", "left").withColumn("_c", F.coalesce("_c", "_id"))
-        in_band = x.groupBy("_band", "_key", "_c").agg(F.count(F.lit(1)).alias("_m"))
-        bands_open = in_band.groupBy("_band", "_key").agg(F.count(F.lit(1)).alias("_k"), F.sum("_m").alias("_size"), F.max(F.struct("_m", "_c")).alias("_top")).where("_k > 1").select("_band", "_key", "_size", F.col("_top._c").alias("_top"))
-        x = cut(x.join(bands_open, ["_band", "_key"]))
-        outside = x.where("_c <> _top")
-        if used is not None:
-            outside = outside.join(used, ["_band", "_key", "_id"], "left_anti")
-        turn = F.row_number().over(Window.partitionBy("_band", "_key").orderBy("_id"))
-        outside = cut(outside.withColumn("_now", turn <= F.greatest(F.lit(1), F.floor(pairs / F.col("_size")))))
-        chosen = outside.where("_now")
-        asked = chosen.select("_band", "_key", F.col("_id").alias("p"), F.col("_c").alias("_pc"), F.col("_n").alias("_pn")).join(x.select("_band", "_key", "_id", "_n", "_c"), ["_band", "_key"]).where("_c <> _pc")
-        asked = asked.where(100 * F.least("_n", "_pn") >= percent * F.greatest("_n", "_pn"))  # else the sets can't be alike enough
-        asked = asked.select(F.least("p", "_id").alias("a"), F.greatest("p", "_id").alias("b")).distinct()
-        asked = cut(asked.join(tried, ["a", "b"], "left_anti"))
-        links = cut(links.unionByName(_confirmed(asked, sets, percent)))
-        if outside.where(~F.col("_now")).isEmpty():
-            found = components(links)
-            break
-        tried = cut(tried.unionByName(asked))
-        now = chosen.select("_band", "_key", "_id")
-        used = now if used is None else cut(used.unionByName(now))
-        members = x.select("_band", "_key", "_id", "_n")
-    named = classes.drop("_bands").join(found, "_id", "left").select(*class_of, F.coalesce("_c", "_id").alias("_c"))
-    of_row = signed.drop("_bands").join(named.withColumnsRenamed({c: f"{c}r" for c in class_of}), [F.col(c) == F.col(f"{c}r") for c in class_of], "left")
-    return _answers(of_row)
+    torn = of_row.groupBy("_id").agg(F.min("_k").alias("a"), F.max("_k").alias("_z")).where("a <> _z").select("_id", "a")
+    ties = of_row.join(torn, "_id").select("a", F.col("_k").alias("b"))
+
+    stars = members.where("_k <> _low").select(F.col("_low").alias("a"), F.col("_k").alias("b")).distinct()
+    found = components(_confirmed(stars, sets, percent).unionByName(ties))
+    x = _in_component(members.where("_m > 2"), found)
+    opened = x.groupBy("_key").agg(F.min("_c").alias("_lo"), F.max("_c").alias("_hi")).where("_lo <> _hi").select("_key")
+    left = x.join(opened, "_key", "left_semi").select("_k").distinct()
+    heads = stored(_heads(sets, left, percent), "heads")
+    for compared in (_with_hubs, _across):
+        last, found = found, _joined(found, _confirmed(compared(heads, found, percent), sets, percent))
+        forget(last)
+    forget(members, sets, heads)
+
+    inside = found.unionByName(found.select(F.col("_c").alias("_k"), "_c").distinct())
+    lows = inside.join(classes.select("_k", "_id"), "_k").groupBy("_c").agg(F.min("_id").alias("_label"))
+    labels = stored(inside.join(lows, "_c").select("_k", "_label"), "labels")
+    forget(found)
+    named = classes.join(labels, "_k", "left").select(*class_of, F.coalesce("_label", "_id").alias("_c"))
+    rows_ = signed.select("_id", *class_of).join(named.withColumnsRenamed({c: f"{c}r" for c in class_of}), [F.col(c) == F.col(f"{c}r") for c in class_of], "left")
+    return _answers(rows_)
 
 
 def _answers(x: DataFrame) -> DataFrame:

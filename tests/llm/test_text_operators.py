@@ -227,6 +227,28 @@ def test_near_duplicates(tables, width, percent):
         same(rows(neardup.linked(t, width=width, percent=percent, **bands), "doc_id", "n_shingles", "component_id", "kept"), want)
 
 
+def test_near_duplicates_in_a_group_of_alike_texts(spark):
+    """Copies with more and more changes, some above and some under the threshold, in one group."""
+    rng = random.Random(8)
+    base = [f"b{k}" for k in range(150)]
+    docs = []
+    for i in range(120):
+        copy = list(docs[rng.randrange(len(docs))] if docs and i % 3 == 0 else base)
+        for _ in range(rng.randrange(8)):
+            copy[rng.randrange(len(copy))] = f"z{rng.randrange(10**6)}"
+        docs.append(copy[rng.randrange(6) :])
+    sets = [shingles(" ".join(d), 3) for d in docs]
+    root = list(range(len(docs)))
+    for i in range(len(docs)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]):
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    table = spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id bigint, text string")
+    assert len(set(root)) > 5
+    same(rows(neardup.linked(table), "doc_id", "component_id"), list(enumerate(root)))
+
+
 def test_licenses(tables, spark):
     mit = next(x for n, x in licenses.KNOWN if n == "MIT")
     odd = [(1, mit, "MIT", "MIT"), (2, "Copyright (c) 2020 A. Person\n\n" + mit.upper().replace(",", " ,"), "MIT", "MIT"), (3, "prose\nlicenced under the Apache Licence, version 2.0\nmore", "Apache-2.0", None), (4, "the MIT License is nice", None, None), (5, None, None, None), (6, "", None, None), (6, "Licensed under CC BY-NC 4.0.", "CC-BY-NC-4.0", "CC-BY-NC-4.0")]
