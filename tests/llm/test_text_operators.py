@@ -1,11 +1,14 @@
 """Each operator against a plain brute-force version, on the small tables and on awkward rows."""
 
 import hashlib
+import math
 import random
 import re
+import time
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from prismal.llm import decontamination, htmltext, licenses, linededup, mixing, neardup, quality, substrings, tokencount, urlfilter
 from prismal.llm.common import NO_ID
@@ -131,6 +134,55 @@ def test_quality(tables, spark, sf_dir):
         same(got, want)
 
 
+def test_quality_of_hostile_words(spark):
+    """Words without end and words of thousands of parts are counted like others."""
+    texts = ["a-" * 200_000, "x" * 1_000_000, "a-a-a-a " * 60_000, "'" * 50_000, "ab " * 100 + "a’b " * 100, None, ""]
+    got = rows(quality.judged(quality.with_counts(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"))), "doc_id", *quality.BASE)
+    same(got, [(i, *base_counts(t)) for i, t in enumerate(texts)])
+
+
+CLASH = ["_row", "_counts", "_verdict", "_votes", "_words", "_lines", "_text", "_p", "_host", "_drop", "_all", "_here", "_kept", "votes", "n_words", "p_good", "kept", "base_failed", "n_lines", "n_dropped", "_hit", "h"]
+
+
+def test_clashing_columns(spark, tables):
+    """Columns that bear the operators' own names change nothing, and stay unless a result has their name."""
+    plain = tables[0]
+    dressed = plain.selectExpr("*", *(f"'other' AS `{c}`" for c in CLASH if c not in plain.columns)).withColumn("_text", F.lit("other"))
+    for run, own in ((lambda t: quality.judged(quality.with_counts(t)), (*quality.BASE, *quality.EXTRA, "base_failed", "kept", "p_good")), (linededup.cleaned, ("text", "n_lines", "n_dropped"))):
+        got = run(dressed)
+        same(rows(got, "doc_id", *own), rows(run(plain), "doc_id", *own))
+        assert {c for c in CLASH if c not in own} <= set(got.columns) and all(r[0] == "other" for r in rows(got, "_row"))
+
+
+def fitted(patterns, rounds):
+    """Expectation-maximisation by plain loops: votes -> posterior."""
+    m = len(quality.RULES)
+    share, right = 0.8, [0.95] * m
+    def posterior(v):
+        odds = math.log(share / (1 - share)) + sum((int(c) - 1) * math.log(right[j] / (1 - right[j])) for j, c in enumerate(v))
+        return 1 / (1 + math.exp(-odds))
+    for _ in range(rounds):
+        good = {v: n * posterior(v) for v, n in patterns.items()}
+        agreed, cast = [0.0] * m, [0.0] * m
+        for v, n in patterns.items():
+            for j, c in enumerate(v):
+                if c != "1":
+                    cast[j] += n
+                    agreed[j] += good[v] if c == "2" else n - good[v]
+        share = min(0.98, max(0.02, sum(good.values()) / sum(patterns.values())))
+        right = [min(0.99, max(0.55, (a + 9) / (c + 10))) for a, c in zip(agreed, cast)]
+    return {v: posterior(v) for v in patterns}
+
+
+def test_estimation_against_plain_loops(spark):
+    rng = random.Random(5)
+    patterns = {"".join(rng.choice("0112") for _ in quality.RULES): rng.randrange(1, 900) for _ in range(60)}
+    got = quality.posteriors(spark.createDataFrame(list(patterns.items()), "votes string, n bigint"))
+    want = fitted(patterns, quality.ROUNDS)
+    found = {r.votes: r.p_good for r in got.collect()}
+    assert set(found) == set(want) and all(abs(found[v] - want[v]) < 1e-9 for v in want)
+
+
 def test_quality_agrees_with_labels(spark):
     d = "/root/testdata/sf0.01"
     judged = quality.op4_quality(spark, d).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").where("not base_failed")
@@ -355,6 +407,43 @@ def test_html_article_inside_an_unwanted_class(opening):
         assert htmltext.extracted(page) == said.strip()
 
 
+PROSE = "".join(f"<p>Paragraph {k} has prose, with commas, and it goes on for more than a hundred characters, as those of articles do.</p>" for k in "abcd")
+SAID = " ".join(re.findall("<p>(.*?)</p>", PROSE))
+SHARED = "This paragraph about sharing is prose, and it goes on for long enough to be one of them, surely."
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f"<div class='content-area no-sidebar'>{PROSE}</div>", SAID),
+        (f"<div class='post comments-open'>{PROSE}</div>", SAID),
+        (f"<form id='aspnetForm'><div>{PROSE}</div><input></form>", SAID),
+        (f"<article><div class='legal'>{PROSE}</div></article>", SAID),
+        (f"<article><h1 class='entry-header'>Title</h1>{PROSE}<p class='share'>{SHARED}</p></article>", f"Title {SAID} {SHARED}"),
+        (f"<h1>Title</h1><div class='content'>{PROSE}</div>", f"Title {SAID}"),
+        (f"<div><section><h2>One</h2><p>Short.</p></section><section>{PROSE}</section><section><p>End.</p></section></div>", f"One Short. {SAID} End."),
+        (f"<div>Loose text here <div>{PROSE}</div> and behind.</div>", f"Loose text here {SAID} and behind."),
+        (f"<div><div class='menu'><a>Home</a></div><div>{PROSE}</div><div class='comments'><p>{'Nice one, thanks, really. ' * 40}</p></div></div><div class='sidebar'><p>{'Side text, blah. ' * 10}</p></div>", SAID),
+        (f"<ul><li><a>Home</a></li><li><a>News</a></li></ul><div>{PROSE}</div><ul><li><a>One</a></li><li><a>Two</a></li></ul>", SAID),
+        ("<div class='ad'>A long advert, with many words, on a page of hardly any.</div><article><h1>Ah.</h1></article>", "Ah."),
+        (f"<div class='sidebar'>{PROSE}</div>", SAID),
+    ],
+)
+def test_html_marks_against_the_page(page, text):
+    assert htmltext.extracted(f"<body><nav><a>x</a></nav>{page}</body>") == text
+
+
+def test_html_of_hostile_markup():
+    """A megabyte of markup that never closes takes seconds, not hours."""
+    began = time.time()
+    for piece in ("<a ", '<a "', "<div><p>", "<span>", "<!--", "<", "<script>", "<a \"><b'", "<ul><li>", "<i></b>", "<div class=ad>", "<p>x"):
+        htmltext.extracted(piece * (200_000 // len(piece)))
+    assert time.time() - began < 30
+    assert htmltext.extracted("<div>" * 20_000 + "deep") == "deep"
+    assert htmltext.extracted("<i>" * 20_000 + "deep" + "</b>" * 20_000) == "deep"
+    assert htmltext.extracted("<p>One <a title=\"never closed>two</a> three<p>four") == "One two three four"
+
+
 def test_html_table(spark, sf_dir):
     from html import unescape
 
@@ -366,5 +455,5 @@ def test_html_table(spark, sf_dir):
         assert got[i] == (want, len(want)), i
     odd = spark.createDataFrame([(1, None, "u", "x"), (2, "", None, "x"), (2, "", None, "x"), (None, "<p>a", "u", "x"), (3, "no tags, at &bogus; all <", "u", "x"), (4, "<" * 3000 + "<div>" * 3000 + "deep", "u", "x")], "page_id long, html string, url string, text string")
     got = [(r.page_id, r.text) for r in htmltext.main_text(odd).collect()]
-    same([g for g in got if g[0] != 4], [(1, ""), (2, ""), (2, ""), (None, "a"), (3, "no tags, at &bogus; all <")])
+    same(got, [(1, ""), (2, ""), (2, ""), (None, "a"), (3, "no tags, at &bogus; all <"), (4, "<" * 3000 + " deep")])
     assert htmltext.main_text(odd.limit(0)).count() == 0
