@@ -48,6 +48,16 @@ def shown_id(col: Column) -> Column:
     return F.when(col != F.lit(NO_ID), col)
 
 
+def packed(df: DataFrame) -> Column:
+    """All columns of `df` in one struct, so that an operator's own columns clash with none of them."""
+    return F.struct(*(F.col(f"`{c}`") for c in df.columns))
+
+
+def unpacked(row: str, columns: list[str], own: dict[str, Column]) -> list[Column]:
+    """`columns` out of the struct `row`, those named like a result being replaced by it in their place, and the other results behind."""
+    return [own[c].alias(c) if c in own else F.col(row)[c].alias(c) for c in columns] + [v.alias(k) for k, v in own.items() if k not in columns]
+
+
 # --- Arrow side -------------------------------------------------------------
 
 #: Tokens that one vectorised step handles at most, but for a single longer document.

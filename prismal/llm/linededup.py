@@ -17,8 +17,11 @@ its true size allows; otherwise it joins by host, and a hot host's pages are
 split.
 
 Null hosts are a host of their own; blank lines are never boilerplate and
-stay; null texts stay null with no lines; repeated rows are separate pages;
-other columns are left alone.
+stay; null texts stay null with no lines; repeated rows are separate pages; a
+line on exactly `max_share` of the pages stays; an empty table gives no rows.
+A very long text is one array of its lines. All columns of the input travel in
+one struct, whatever their names; those named n_lines and n_dropped are
+replaced by the results.
 """
 
 from __future__ import annotations
@@ -26,6 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from prismal.llm.common import packed, unpacked
 from prismal.session import stored
 
 MAX_SHARE = 0.1
@@ -64,17 +68,18 @@ def boilerplate(pages: DataFrame, *, host: str, text: str, max_share: float = MA
 def cleaned(pages: DataFrame, *, host: str = "source", text: str = "text", max_share: float = MAX_SHARE, min_pages: int = MIN_PAGES, copies_once: bool = False) -> DataFrame:
     """`pages` with `text` rid of its host's boilerplate lines, and the counts n_lines and n_dropped."""
     drop = stored(boilerplate(pages, host=host, text=text, max_share=max_share, min_pages=min_pages, copies_once=copies_once), "boilerplate")
-    x = pages.withColumn("_host", F.coalesce(F.concat(F.lit("="), F.col(host)), F.lit(""))).join(drop, "_host", "left")
-    x = x.withColumn("_all", _lines(F.col(text)))
-    kept = F.when(F.col("_drop").isNull(), F.col("_all")).otherwise(F.filter("_all", lambda s: ~F.array_contains(F.col("_drop"), F.xxhash64(_trimmed(s)))))
+    x = pages.select(F.coalesce(F.concat(F.lit("="), F.col(host)), F.lit("")).alias("_host"), F.col(text).alias("_text"), packed(pages).alias("_row"))
+    x = x.join(drop, "_host", "left").withColumn("_all", F.transform(_lines(F.col("_text")), lambda s: F.struct(s.alias("line"), F.xxhash64(_trimmed(s)).alias("h"))))
+    # The few of the host's lines that the page has: one hashed pass over both lists.
+    x = x.withColumn("_here", F.array_intersect("_drop", F.col("_all")["h"]))
+    kept = F.when(F.size("_here") > 0, F.filter("_all", lambda s: ~F.array_contains(F.col("_here"), s["h"]))).otherwise(F.col("_all"))
     x = x.withColumn("_kept", kept)
-    return x.withColumns(
-        {
-            text: F.array_join("_kept", "\n"),
-            "n_lines": F.coalesce(F.size("_all"), F.lit(0)).cast("long"),
-            "n_dropped": F.coalesce(F.size("_all") - F.size("_kept"), F.lit(0)).cast("long"),
-        }
-    ).drop("_host", "_drop", "_all", "_kept")
+    own = {
+        text: F.array_join(F.col("_kept")["line"], "\n"),
+        "n_lines": F.coalesce(F.when(F.col("_all").isNotNull(), F.size("_all")), F.lit(0)).cast("long"),
+        "n_dropped": F.coalesce(F.when(F.col("_all").isNotNull(), F.size("_all") - F.size("_kept")), F.lit(0)).cast("long"),
+    }
+    return x.select(*unpacked("_row", pages.columns, own))
 
 
 def op6_line_dedup(spark, sf_dir: str) -> DataFrame:

@@ -13,8 +13,11 @@ in one row, and the table of posteriors is broadcast under that bound.
 
 `base_failed` (fewer than 50 words, or more than half of the words inside
 repeated 3-word windows) always rejects. Null and empty texts have no words
-and fail it. Rows are judged one by one: repeated rows get equal verdicts,
-an empty table gives no rows, other columns are left alone.
+and fail it. Rows are judged one by one: repeated rows get equal verdicts, and
+a tie (a posterior of exactly a half) is kept; an empty table gives no rows.
+A very long text is counted like any other, by expressions whose depth doesn't
+depend on it. All columns of the input travel in one struct, whatever their
+names; those named like a result of `judged` are replaced by it there.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prismal.llm.common import SPACE, words
+from prismal.llm.common import SPACE, packed, unpacked, words
 from prismal.session import stored
 
 MIN_WORDS = 50
@@ -30,18 +33,18 @@ MAX_REPEAT_PERCENT = 50
 ROUNDS = 40
 SYMBOLS = "#*$%&|<>"
 
-#: A word of letters, perhaps with one mark of punctuation behind it.
-PLAIN = r"(?<![^\x20\x09-\x0D])\p{L}[\p{L}\p{M}]*(?:['’-][\p{L}\p{M}]+)*[.,;:!?]?(?![^\x20\x09-\x0D])"
+#: A word of letters, apostrophes and hyphens, perhaps with one mark of punctuation behind it; no group repeats, for the engine would recurse.
+PLAIN = r"(?<![^\x20\x09-\x0D])\p{L}[\p{L}\p{M}'’-]*+[.,;:!?]?+(?![^\x20\x09-\x0D])"
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 EXTRA = ("n_lines", "n_letters", "n_capitals", "n_shouts", "n_distinct", "n_plain")
 
 
 def with_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with the columns BASE and EXTRA, each a long."""
+    """(_row, _counts): the columns of docs, and the counts BASE and EXTRA, each a long."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    x = docs.withColumns({"_text": text, "_words": words(F.col(text_col)), "_lines": lines})
+    x = docs.select(packed(docs).alias("_row"), text.alias("_text"), words(F.col(text_col)).alias("_words"), lines.alias("_lines"))
     x = x.withColumn(
         "_grams",
         F.when(F.size("_words") >= 3, F.transform(F.sequence(F.lit(0), F.size("_words") - 3), lambda i: F.xxhash64(F.get("_words", i), F.get("_words", i + 1), F.get("_words", i + 2)))).otherwise(F.array().cast("array<bigint>")),
@@ -74,8 +77,11 @@ def with_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
         "n_plain": F.regexp_count("_text", F.lit(PLAIN)).cast("long"),
     }
     # One element an array: a generator keeps the optimiser from copying these costly expressions into every later filter.
-    x = x.select(*docs.columns, F.explode(F.array(F.struct(*(v.alias(k) for k, v in counts.items())))).alias("_counts"))
-    return x.select(*docs.columns, "_counts.*")
+    return x.select("_row", F.explode(F.array(F.struct(*(v.alias(k) for k, v in counts.items())))).alias("_counts"))
+
+
+def _n(name: str) -> Column:
+    return F.col("_counts")[name]
 
 
 def _bad(defect: Column) -> Column:
@@ -83,19 +89,19 @@ def _bad(defect: Column) -> Column:
 
 
 def _at_least(a: str, b: str, share: float) -> Column:
-    return F.col(a) >= F.col(b) * share
+    return _n(a) >= _n(b) * share
 
 
 #: name -> vote. A rule about one defect has nothing to say about texts without it; the last one also speaks for a text.
 RULES = {
-    "symbols": lambda: _bad((F.col("n_words") > 0) & _at_least("n_symbols", "n_words", 0.1)),
-    "repeats": lambda: _bad((F.col("n_words") >= 10) & _at_least("n_repeat_words", "n_words", 0.3)),
-    "lines": lambda: _bad((F.col("n_lines") >= 4) & _at_least("n_dup_lines", "n_lines", 0.3)),
-    "capitals": lambda: _bad((F.col("n_letters") >= 20) & _at_least("n_capitals", "n_letters", 0.3)),
-    "shouts": lambda: _bad((F.col("n_words") >= 10) & _at_least("n_shouts", "n_words", 0.2)),
-    "length": lambda: _bad((F.col("n_words") > 0) & ~F.col("word_chars").between(2 * F.col("n_words"), 15 * F.col("n_words"))),
-    "variety": lambda: _bad((F.col("n_words") >= 20) & (F.col("n_distinct") < F.sqrt("n_words"))),
-    "wording": lambda: F.when(F.col("n_words") < 10, F.lit(1)).when(_at_least("n_plain", "n_words", 0.85), F.lit(2)).when(_at_least("n_plain", "n_words", 0.6), F.lit(1)).otherwise(F.lit(0)),
+    "symbols": lambda: _bad((_n("n_words") > 0) & _at_least("n_symbols", "n_words", 0.1)),
+    "repeats": lambda: _bad((_n("n_words") >= 10) & _at_least("n_repeat_words", "n_words", 0.3)),
+    "lines": lambda: _bad((_n("n_lines") >= 4) & _at_least("n_dup_lines", "n_lines", 0.3)),
+    "capitals": lambda: _bad((_n("n_letters") >= 20) & _at_least("n_capitals", "n_letters", 0.3)),
+    "shouts": lambda: _bad((_n("n_words") >= 10) & _at_least("n_shouts", "n_words", 0.2)),
+    "length": lambda: _bad((_n("n_words") > 0) & ~_n("word_chars").between(2 * _n("n_words"), 15 * _n("n_words"))),
+    "variety": lambda: _bad((_n("n_words") >= 20) & (_n("n_distinct") < F.sqrt(_n("n_words")))),
+    "wording": lambda: F.when(_n("n_words") < 10, F.lit(1)).when(_at_least("n_plain", "n_words", 0.85), F.lit(2)).when(_at_least("n_plain", "n_words", 0.6), F.lit(1)).otherwise(F.lit(0)),
 }
 
 
@@ -150,20 +156,23 @@ def posteriors(patterns: DataFrame, *, rounds: int = ROUNDS) -> DataFrame:
     return fitted.select("state", F.explode("ps").alias("p")).select(F.col("p")["votes"].alias("votes"), p_good(F.col("state"), F.col("p")["v"]).alias("p_good"))
 
 
+def verdicts(counted: DataFrame) -> DataFrame:
+    """with_counts() -> (_row, _counts, _verdict), the last with base_failed, p_good and kept. It is read twice, so `counted` should be stored."""
+    x = counted.withColumn("_votes", votes())
+    model = posteriors(x.groupBy("_votes").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("_votes", "votes"))
+    model = stored(model.select(F.col("votes").alias("_votes"), F.col("p_good").alias("_p")), "posteriors")
+    failed = (_n("n_words") < MIN_WORDS) | (100 * _n("n_repeat_words") > MAX_REPEAT_PERCENT * _n("n_words"))
+    verdict = F.struct(failed.alias("base_failed"), (~failed & (F.col("_p") >= 0.5)).alias("kept"), F.col("_p").alias("p_good"))
+    return x.join(F.broadcast(model), "_votes").select("_row", "_counts", verdict.alias("_verdict"))  # at most 3 ** len(RULES) rows
+
+
 def judged(counted: DataFrame) -> DataFrame:
-    """Rows of with_counts(), with base_failed, p_good and kept."""
-    x = counted.withColumn("votes", votes())
-    model = stored(posteriors(x.groupBy("votes").agg(F.count(F.lit(1)).alias("n"))), "posteriors")
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    return (
-        x.join(F.broadcast(model), "votes")  # at most 3 ** len(RULES) rows
-        .withColumn("base_failed", failed)
-        .withColumn("kept", ~failed & (F.col("p_good") >= 0.5))
-        .drop("votes")
-    )
+    """The rows of with_counts() with BASE, EXTRA, base_failed, p_good and kept."""
+    own = {c: _n(c) for c in (*BASE, *EXTRA)} | {c: F.col("_verdict")[c] for c in ("base_failed", "kept", "p_good")}
+    return verdicts(counted).select(*unpacked("_row", counted.schema["_row"].dataType.names, own))
 
 
 def op4_quality(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    counted = stored(with_counts(docs).drop("text"), "counts")
+    counted = stored(with_counts(docs).select(F.col("_row").dropFields("text").alias("_row"), "_counts"), "counts")
     return judged(counted).select("doc_id", *BASE, "base_failed", "kept", "p_good")
