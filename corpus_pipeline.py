@@ -16,8 +16,13 @@ from prismal.session import cut, stored
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality model rejects go."""
-    return quality.judged(quality.with_counts(docs)).where("kept").select(*docs.columns)
+    """Documents that the quality model rejects go.
+
+    Null and empty texts fail the base rule; repeated rows have one verdict; a
+    posterior of exactly a half stays; an empty table gives no rows.
+    """
+    counted = stored(quality.with_counts(docs), "counts")  # the votes are counted, then looked up
+    return quality.verdicts(counted).where("_verdict.kept").select("_row.*")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
