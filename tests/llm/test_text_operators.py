@@ -312,6 +312,31 @@ def test_licenses(tables, spark):
         same(rows(licenses.scanned(t), "doc_id", "licenses"), want)
 
 
+def test_licenses_in_runs_of_lines(spark):
+    """Full texts of the folder, wrapped anew, behind and before other lines; and what isn't an entire text."""
+    known = dict(licenses.known_texts())
+    rng = random.Random(2)
+
+    def wrapped(text):
+        out, line = [], []
+        for w in text.split():
+            line.append(w)
+            if rng.random() < 0.12:
+                out.append(" ".join(line))
+                line = []
+        return "\n".join([*out, " ".join(line)])
+
+    # Copyright lines are known by their lines: only texts without them can be wrapped anew.
+    cases = [("# A read-me\n\nSome words about it.\n\n" + known["MIT"].replace(". ", ".\n\n"), ["MIT"], None)]
+    cases += [("A line.\n" + known[n] + "\nA line behind.", [n], None) for n in ("GPL-3.0", "LGPL-2.1", "MPL-2.0", "CC0-1.0")]
+    full = (licenses.Path(licenses.__file__).parent / "known" / "Apache-2.0.txt").read_text()
+    cases += [(full, ["Apache-2.0"], "Apache-2.0"), (full.partition("END OF TERMS")[0], ["Apache-2.0"], "Apache-2.0"), (full.replace("perpetual", "eternal"), ["Apache-2.0"], None), (full.partition("END OF TERMS")[0].replace("perpetual", "eternal"), [], None)]
+    cases += [(wrapped(known["Zlib"]), ["Zlib"], "Zlib"), (wrapped(known["BSD-2-Clause"]).upper(), ["BSD-2-Clause"], "BSD-2-Clause"), ("x " + known["Zlib"], [], None), (known["Zlib"] + "\n\n" + known["ISC"], ["ISC", "Zlib"], None)]
+    cases += [("licence " * 200_000, [], None), ("\n" * 50_000 + "license", [], None), ("x y\n" * 200_000 + "Licensed under CC0 1.0.", ["CC0-1.0"], None)]
+    df = spark.createDataFrame([(k, x, "clash") for k, (x, _, _) in enumerate(cases)], "doc_id long, text string, anchor string")
+    same(rows(licenses.scanned(df), "doc_id", "licenses", "whole"), [(k, n, w) for k, (_, n, w) in enumerate(cases)])
+
+
 def test_decontamination(tables, spark, sf_dir):
     items = [(1, "If Maria walks 12 km in 3 hours and then 12 km more in 4 hours how far does she go each hour on the way"), (2, "short one"), (3, None), (4, ""), (5, "seven words stand here without any slot")]
     bench = spark.createDataFrame([(i, x, 9) for i, x in items], "item_id long, text string, doc_id int")
