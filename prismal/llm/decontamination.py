@@ -10,11 +10,13 @@ different values the document must too. So a question with other numbers and
 names is caught, and a sentence that merely has numbers in the same places is
 not. A window needs `min_literal` words that are not placeholders.
 
-Both sides are read twice, and a window is found if it is in either reading.
-In the loose one every capitalised word is a name, also at the start of a
-sentence or a line, behind a quotation mark and with a possessive; a number
-joined to its unit ("12kg") is two slots, and a range ("12-15") one. Names of
-the loose reading alone still count as literal words for `min_literal`.
+Both sides are read in two ways, and a window is found if it is in either. In
+the strict reading a name is a capitalised word inside a sentence. In the loose
+one every capitalised word is a name, also at the start of a sentence or a
+line, behind a quotation mark and with a possessive, and number words are
+numbers. In both, a number joined to its unit ("12kg") is two slots and a range
+("12-15") one. Names of the loose reading alone still count as literal words
+for `min_literal`. One scan of the text gives the keys of both readings.
 
 An item is found in a document when `enough` of its windows are, or at least
 `share` of them, in one reading. Items shorter than a window are looked up as
@@ -26,8 +28,11 @@ The keys of the benchmark's windows are written to the shared folder and read
 back: Catalyst broadcasts them if their true size is under the threshold, and
 otherwise joins by hash. Only hits leave the scan of the documents.
 
-Null and empty texts match nothing; a null doc_id is returned with its own
-verdict; repeated rows get equal verdicts; an empty benchmark clears all.
+Null and empty texts match nothing, nor does an empty table; a null doc_id is
+returned with its own verdict; repeated rows get equal verdicts; an item on the
+very limit of `enough` or `share` is found; an empty benchmark clears all. A
+very long text is one array of its words. Only the columns that are named are
+read, so that others can't clash.
 """
 
 from __future__ import annotations
@@ -44,50 +49,66 @@ SHARE = 0.2
 ENOUGH = 8
 
 NUMBER, UNIT, NAME = "①", "②", "③"
-#: A name by the loose reading alone, until windows are formed.
+#: Before a word that is a name by the loose reading alone.
 LOOSE = "④"
 READINGS = (False, True)
-#: Units of measure as they follow a number.
+#: Units of measure as they follow a number, and number words.
 UNITS = "km|m|cm|mm|mi|mile|miles|ft|foot|feet|inch|inches|yd|yard|yards|kg|g|mg|lb|lbs|oz|ton|tons|l|ml|litre|litres|liter|liters|gallon|gallons|s|sec|second|seconds|min|minute|minutes|h|hr|hrs|hour|hours|day|days|week|weeks|month|months|year|years|kmh|mph|usd|eur|dollar|dollars|euro|euros|cent|cents|percent"
+NUMBER_WORDS = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion".split()
 
 
-def spaced(text: Column, loose: bool) -> Column:
-    """The text whose words are read: the loose reading parts numbers from their units."""
+def spaced(text: Column) -> Column:
+    """The text whose words are read: numbers are parted from their units."""
     joined = F.regexp_replace(text, rf"(?<![\p{{L}}\p{{N}}])([0-9][0-9.,]*)(?=(?i:{UNITS})(?![\p{{L}}\p{{N}}]))", "$1 ")
-    return F.when(text.rlike("[0-9][A-Za-z]"), joined).otherwise(text) if loose else text
+    return F.when(text.rlike("[0-9][A-Za-z]"), joined).otherwise(text)
 
 
-def canonical_text(text: Column, mark: str, loose: bool = False) -> Column:
-    """The spaced text with typed placeholders, lower case otherwise, each run of punctuation turned into `mark`; white space stays as it is."""
+def canonical_text(text: Column, mark: str) -> Column:
+    """The spaced text with typed placeholders, LOOSE before names of the loose reading, lower case otherwise, each run of punctuation turned into `mark`; white space stays as it is."""
     blank, end = r"[\x20\x09-\x0D]", r"(?=[^\p{L}\p{N}\x20\x09-\x0D]*(?:[\x20\x09-\x0D]|$))"
     x = F.regexp_replace(text, rf"{blank}(?<=[^\x20\x09-\x0D.!?:].)\p{{Lu}}[\p{{Ll}}\p{{M}}]*{end}", f" {NAME}")
-    if loose:
-        x = F.regexp_replace(x, rf"(?<![^\x20\x09-\x0D])([^\p{{L}}\p{{N}}\x20\x09-\x0D]*)\p{{Lu}}[\p{{Ll}}\p{{M}}]*(?:['’]s)?{end}", f"$1{LOOSE}")
+    x = F.regexp_replace(x, rf"(^|{blank})([^\p{{L}}\p{{N}}\x20\x09-\x0D]*)(\p{{Lu}}[\p{{Ll}}\p{{M}}]*(?:['’]s)?){end}", f"$1$2{LOOSE}$3")
     x = F.lower(x)
-    digits = "0-9.,:/–-" if loose else "0-9.,:/"
-    numbered = F.regexp_replace(x, rf"(^|{blank})[^\p{{L}}\p{{N}}{NUMBER}{UNIT}{NAME}{LOOSE}\x20\x09-\x0D]*[0-9][{digits}]*{end}", f"$1{NUMBER}")
+    numbered = F.regexp_replace(x, rf"(^|{blank})[^\p{{L}}\p{{N}}{NUMBER}{UNIT}{NAME}{LOOSE}\x20\x09-\x0D]*[0-9][0-9.,:/–-]*{end}", f"$1{NUMBER}")
     measured = F.regexp_replace(numbered, rf"{NUMBER}[^\p{{L}}\p{{N}}\x20\x09-\x0D]*({blank})(?:{UNITS}){end}", f"{NUMBER}$1{UNIT}")
     x = F.when(text.rlike("[0-9]"), measured).otherwise(x)
     return F.regexp_replace(x, rf"[^\p{{L}}\p{{M}}\p{{Nd}}{NUMBER}{UNIT}{NAME}{LOOSE}\x20\x09-\x0D]+", mark)
 
 
-def canonical(text: Column, loose: bool = False) -> Column:
+def canonical(text: Column) -> Column:
     """Array of structs (c, v): canonical word and the written one; words of punctuation alone are left out."""
-    read = spaced(text, loose)
-    found = F.regexp_extract_all(canonical_text(read, "\u2400", loose), F.lit(WORD), F.lit(0))
+    read = spaced(text)
+    found = F.regexp_extract_all(canonical_text(read, "\u2400"), F.lit(WORD), F.lit(0))
     pairs = F.arrays_zip(found.alias("c"), words(read).alias("v"))
     stripped = F.transform(pairs, lambda p: F.struct(F.translate(p["c"], "\u2400", "").alias("c"), F.lower(p["v"]).alias("v")))
     return F.filter(stripped, lambda p: p["c"] != "")
 
 
+def _is_number_word(c: Column) -> Column:
+    return c.isin(NUMBER_WORDS)
+
+
+def read_as(seq: Column, loose: bool) -> Column:
+    """The canonical words in one reading."""
+    if not loose:
+        return F.transform(seq, lambda c: F.translate(c, LOOSE, ""))
+    units = UNITS.split("|")
+
+    def one(c: Column, i: Column) -> Column:
+        measures = c.isin(units) & (i > 0) & _is_number_word(F.coalesce(F.get(seq, i - 1), F.lit("")))
+        return F.when(c.startswith(LOOSE), F.lit(NAME)).when(_is_number_word(c), F.lit(NUMBER)).when(measures, F.lit(UNIT)).otherwise(c)
+
+    return F.transform(seq, one)
+
+
 def plain_words(text: Column) -> Column:
     """The lower-cased words without punctuation, nothing replaced."""
     return F.regexp_extract_all(F.regexp_replace(F.lower(text), r"[^\p{L}\p{M}\p{Nd}\x20\x09-\x0D]+", ""), F.lit(WORD), F.lit(0))
 
 
-def _named(seq: Column) -> Column:
-    """The canonical words with the loose reading's names as names."""
-    return F.transform(seq, lambda p: F.struct(F.translate(p["c"], LOOSE, NAME).alias("c"), p["v"].alias("v")))
+def _read(seq: Column, loose: bool) -> Column:
+    """The array of canonical() in one reading."""
+    return F.zip_with(read_as(seq["c"], loose), seq["v"], lambda c, v: F.struct(c.alias("c"), v.alias("v")))
 
 
 def _is_slot(c: Column) -> Column:
@@ -132,8 +153,8 @@ def _usable(seq: Column, window: int, min_literal: int) -> Column:
 
 def benchmark_windows(items: DataFrame, *, window: int, min_literal: int, item_id: str, text: str, loose: bool = False) -> DataFrame:
     """(_item, _n, _at, _len, _key, _canon, _pattern) for every window of every item that can be found."""
-    x = items.select(F.col(item_id).alias("_item"), F.col(text).alias("_t")).where(F.col("_t").isNotNull()).withColumn("_seq", canonical(F.col("_t"), loose))
-    x = x.select("_item", F.least(F.lit(window), F.size("_seq")).alias("_len"), _named(F.col("_seq")).alias("_read"), F.explode(_usable(F.col("_seq"), window, min_literal)).alias("_at"))
+    x = items.select(F.col(item_id).alias("_item"), F.col(text).alias("_t")).where(F.col("_t").isNotNull()).withColumn("_seq", canonical(F.col("_t")))
+    x = x.select("_item", F.least(F.lit(window), F.size("_seq")).alias("_len"), _read(F.col("_seq"), loose).alias("_read"), F.explode(_usable(F.col("_seq"), window, min_literal)).alias("_at"))
     x = x.withColumn("_win", F.slice("_read", F.col("_at") + 1, F.col("_len"))).withColumn("_canon", F.col("_win")["c"])
     x = x.withColumn("_h", _word_hashes(F.col("_canon")))
     key = F.coalesce(*(F.when(F.col("_len") == n, _hashed(F.lit(0), n)) for n in range(1, window + 1)))
@@ -142,23 +163,27 @@ def benchmark_windows(items: DataFrame, *, window: int, min_literal: int, item_i
     return x.join(sizes, "_item")
 
 
-def _in_windows(texts: DataFrame, items: DataFrame, loose: bool, *, window: int, min_literal: int, share: float, enough: int, item_id: str, item_text: str) -> DataFrame:
-    """(_id, _th, _item, _hit): the items found by their windows in one reading."""
-    bench = stored(benchmark_windows(items, window=window, min_literal=min_literal, item_id=item_id, text=item_text, loose=loose), "windows")
+def _in_windows(texts: DataFrame, items: DataFrame, *, window: int, min_literal: int, share: float, enough: int, item_id: str, item_text: str) -> DataFrame:
+    """(_id, _th, _item, _hit): the items found by their windows."""
+    of_items = {"window": window, "min_literal": min_literal, "item_id": item_id, "text": item_text}
+    both = [benchmark_windows(items, loose=loose, **of_items).withColumn("_loose", F.lit(loose)) for loose in READINGS]
+    bench = stored(both[0].unionByName(both[1]), "windows")
     lengths = sorted(r["_len"] for r in bench.select("_len").distinct().collect())  # at most `window` numbers
     if not lengths:
         lengths = [window]
     keys = stored(bench.select("_len", "_key").distinct(), "keys")
-    # All documents are scanned for keys alone; words and slots are compared in the few documents with a hit.
-    read = canonical_text(spaced(F.col("_text"), loose), "", loose)
-    read = F.translate(read, LOOSE, NAME) if loose else read
-    scan = texts.select("_id", "_th", _word_hashes(F.regexp_extract_all(read, F.lit(WORD), F.lit(0))).alias("_h"))
+    # All documents are scanned for keys alone, of both readings at once; words and slots are compared in the few documents with a hit.
+    seq = F.regexp_extract_all(canonical_text(spaced(F.col("_text")), ""), F.lit(WORD), F.lit(0))
+    scan = texts.select("_id", "_th", F.explode(F.array(seq)).alias("_c"))  # a generator: read_as() reads the words several times
+    scan = scan.select("_id", "_th", F.explode(F.array(*(_word_hashes(read_as(F.col("_c"), loose)) for loose in READINGS))).alias("_h"))
     near = stored(_windows(scan, lengths, ["_id", "_th"]).join(keys, ["_len", "_key"], "left_semi").select("_id", "_th").distinct(), "candidates")
-    x = texts.join(near, ["_id", "_th"], "left_semi").select("_id", "_th", _named(canonical(F.col("_text"), loose)).alias("_seq")).withColumn("_h", _word_hashes(F.col("_seq")["c"]))
-    found = _windows(x, lengths, ["_id", "_th", "_seq"]).select("_id", "_th", "_len", "_key", F.slice("_seq", F.col("_at") + 1, F.col("_len")).alias("_win")).join(bench, ["_len", "_key"])
+    x = texts.join(near, ["_id", "_th"], "left_semi").select("_id", "_th", canonical(F.col("_text")).alias("_seq"))
+    x = x.select("_id", "_th", F.explode(F.array(*(F.struct(F.lit(loose).alias("_loose"), _read(F.col("_seq"), loose).alias("_seq")) for loose in READINGS))).alias("_r"))
+    x = x.select("_id", "_th", "_r.*").withColumn("_h", _word_hashes(F.col("_seq")["c"]))
+    found = _windows(x, lengths, ["_id", "_th", "_loose", "_seq"]).select("_id", "_th", "_loose", "_len", "_key", F.slice("_seq", F.col("_at") + 1, F.col("_len")).alias("_win")).join(bench, ["_loose", "_len", "_key"])
     found = found.where((F.col("_win")["c"] == F.col("_canon")) & (_slots(F.col("_win")) == F.col("_pattern")))
-    places = found.groupBy("_id", "_th", "_item", "_n", "_at").agg(F.count(F.lit(1)).alias("_times"))
-    matched = places.groupBy("_id", "_th", "_item", "_n").agg(F.count(F.lit(1)).alias("_hit"))
+    places = found.groupBy("_id", "_th", "_loose", "_item", "_n", "_at").agg(F.count(F.lit(1)).alias("_times"))
+    matched = places.groupBy("_id", "_th", "_loose", "_item", "_n").agg(F.count(F.lit(1)).alias("_hit"))
     return matched.where(F.col("_hit") >= F.least(F.lit(enough), F.ceil(F.col("_n") * share))).select("_id", "_th", "_item", "_hit")
 
 
@@ -186,8 +211,7 @@ def hits(docs: DataFrame, items: DataFrame, *, window: int = WINDOW, min_literal
     """(_id, _th, items): the documents that hold benchmark items, and which."""
     texts = keyed(docs, id_col, text_col)
     of_items = {"window": window, "min_literal": min_literal, "item_id": item_id, "item_text": item_text}
-    strict, loose = (_in_windows(texts, items, loose, share=share, enough=enough, **of_items) for loose in READINGS)
-    matched = strict.unionByName(loose)
+    matched = _in_windows(texts, items, share=share, enough=enough, **of_items)
     if (exact := _in_sequence(texts, items, **of_items)) is not None:
         matched = matched.unionByName(exact)
     matched = matched.groupBy("_id", "_th", "_item").agg(F.max("_hit").alias("_hit"))
