@@ -46,3 +46,27 @@ def coverage(bands: DataFrame, targets: DataFrame) -> DataFrame:
     middle = axis.select(F.explode(step).alias("s")).agg(F.percentile("s", F.lit(0.5)).alias("step"))
     gaps = targets.join(F.broadcast(axis), F.lit(True)).select(F.array_min(F.transform("axis", lambda w: F.abs(w - F.col("wl")))).alias("gap")).agg(F.max("gap").alias("worst"))
     return gaps.join(F.broadcast(middle), F.lit(True)).select("step", "worst", (F.col("worst") <= F.col("step")).alias("ok"))
+
+
+def selected_bands(bands: DataFrame, targets: DataFrame, *, tolerance: float = 15.0) -> DataFrame:
+    """nearest_bands(), all or nothing: a target without a band within the tolerance raises."""
+    x = nearest_bands(bands, targets, tolerance=tolerance)
+    found = F.when(F.col("b").isNotNull(), F.col("b")).otherwise(F.raise_error(F.concat(F.lit("no band near "), F.col("target").cast("string"))))
+    return x.withColumn("b", found)
+
+
+def sorted_axis(px: DataFrame, bands: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(px, bands) in ascending wavelengths; bands of the same wavelength become one, their mean, and a missing value stays missing."""
+    groups = bands.groupBy("wl").agg(F.array_sort(F.collect_list("b")).alias("of"))
+    order = groups.agg(F.array_sort(F.collect_list(F.struct("wl", "of"))).alias("_axis"))  # one row of some hundreds of elements
+    mean = lambda e: F.aggregate(F.transform(e["of"], lambda b: F.get("spectrum", b)), F.lit(0.0), lambda t, v: t + v) / F.size(e["of"])
+    out = px.join(F.broadcast(order), F.lit(True)).withColumn("spectrum", F.when(F.col("spectrum").isNotNull(), F.transform("_axis", mean))).drop("_axis")
+    return out, order.select(F.posexplode("_axis").alias("b", "_e")).select("b", F.col("_e.wl").alias("wl"))
+
+
+def harmonized(px: DataFrame, bands: DataFrame, targets: DataFrame) -> DataFrame:
+    """px on the target axis t, wl: axis sorted, water bands out of the targets, coverage checked (a gap raises), then interpolated."""
+    sorted_px, axis = sorted_axis(px, bands)
+    dry = without_water(targets)
+    gate = coverage(axis, dry).select(F.when(F.col("ok"), F.lit(True)).otherwise(F.raise_error(F.lit("a target lies beyond the median step of the axis"))).alias("_ok"))
+    return interpolated(sorted_px, plan(axis, dry)).join(F.broadcast(gate), F.lit(True)).where("_ok").drop("_ok")  # one row

@@ -6,24 +6,29 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _by_value(scored: DataFrame, by: list[str], score: str, positive: str) -> DataFrame:
+def _by_value(scored: DataFrame, by: list[str], score: str, positive: str, weight: str | None = None) -> DataFrame:
+    """Positives p and negatives q of every different score, counted or weighed."""
     x = scored.where(F.col(score).isNotNull() & F.col(positive).isNotNull())
-    return x.groupBy(*by, F.col(score).alias("_s")).agg(F.count_if(positive).alias("p"), F.count_if(~F.col(positive)).alias("q"))
+    if weight is None:
+        counts = F.count_if(positive), F.count_if(~F.col(positive))
+    else:
+        counts = (F.sum(F.when(side, F.col(weight)).otherwise(0.0)) for side in (F.col(positive), ~F.col(positive)))
+    return x.groupBy(*by, F.col(score).alias("_s")).agg(*(c.alias(n) for c, n in zip(counts, "pq")))
 
 
-def roc_auc(scored: DataFrame, *, by: list[str] = ("scene_id",), score: str = "score", positive: str = "gt") -> DataFrame:
+def roc_auc(scored: DataFrame, *, by: list[str] = ("scene_id",), score: str = "score", positive: str = "gt", weight: str | None = None) -> DataFrame:
     """Chance that a positive outscores a negative, ties counting a half; NULL if one of both is absent."""
     by = list(by)
     below = F.sum("q").over(Window.partitionBy(*by).orderBy("_s")) - F.col("q")
-    x = _by_value(scored, by, score, positive).withColumn("_won", F.col("p") * (below + F.col("q") / 2))
+    x = _by_value(scored, by, score, positive, weight).withColumn("_won", F.col("p") * (below + F.col("q") / 2))
     return x.groupBy(*by).agg(F.try_divide(F.sum("_won"), (F.sum("p") * F.sum("q")).cast("double")).alias("roc_auc"))
 
 
-def average_precision(scored: DataFrame, *, by: list[str] = ("scene_id",), score: str = "score", positive: str = "gt") -> DataFrame:
+def average_precision(scored: DataFrame, *, by: list[str] = ("scene_id",), score: str = "score", positive: str = "gt", weight: str | None = None) -> DataFrame:
     """Sum over different thresholds of the gain in recall times the precision."""
     by = list(by)
     down = Window.partitionBy(*by).orderBy(F.col("_s").desc())
-    x = _by_value(scored, by, score, positive)
+    x = _by_value(scored, by, score, positive, weight)
     x = x.withColumn("_tp", F.sum("p").over(down)).withColumn("_all", F.sum(F.col("p") + F.col("q")).over(down))
     return x.groupBy(*by).agg(F.try_divide(F.sum(F.col("p") * F.col("_tp") / F.col("_all")), F.sum("p").cast("double")).alias("pr_auc"))
 

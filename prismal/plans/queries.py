@@ -9,23 +9,10 @@ from prismal import schema
 from prismal.functions import spectral
 from prismal.operators import change, detectors, geo, harmonize, metrics, moments, regions, scoring, windows2d
 from prismal.plans.dialect import BANDS, EP, GR, PB, PX, Q, dot, inverse, q
+from prismal.plans.registry import query
 from prismal.sources import scenes
 from prismal.streaming import moments as streams
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
 def _table(spark, d, name):
     return scenes.table(spark, d, name)
 
