@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prismal.operators import moments, scoring, windows2d
-from prismal.session import cut, ship
+from prismal.session import ship, stored
 
 KEEP = ["scene_id", "pix", "r", "c"]
 #: Pixels that one task of kernel_rx scores against the background at most, roughly.
@@ -150,7 +150,8 @@ def kernel_rx(px: DataFrame, *, gamma: float | None = None, n_background: int =
     The sample is the `n_background` valid pixels with the smallest seeded
     hashes. A scene is scored in chunks of pixels, each of which factors the
     sample's centred kernel matrix once. gamma defaults to one over twice the
-    median squared distance inside the sample.
+    median squared distance inside the sample, equal pixels included, and to 1
+    where that is 0.
     """
     from pyspark.sql import Window
 
@@ -177,32 +178,44 @@ def kernel_rx(px: DataFrame, *, gamma: float | None = None, n_background: int =
             return mine.assign(score=pd.Series(dtype=float))
         b = np.stack(background.sort_values("_pix")["_spectrum"].to_list())
         n, squared = len(b), gaps(b, b)
-        above = squared[np.triu_indices(n, 1)]
-        above = above[above > 0]
-        g = gamma or 1 / (2 * (np.median(above) if len(above) else 1.0))
+        middle = float(np.median(squared[np.triu_indices(n, 1)])) if n > 1 else 0.0
+        g = gamma or (1 / (2 * middle) if middle > 0 else 1.0)
         kernel = np.exp(-g * squared)
         means = kernel.mean(0)
-        centred = kernel - means - means[:, None] + means.mean()
-        factor = np.linalg.inv(np.linalg.cholesky(centred @ centred / n + reg * np.eye(n) * np.trace(centred) / n))
+        # Of (covariance + reg) in feature space only the sample's kernel matrix has to be factored (Woodbury).
+        factor = np.linalg.inv(np.linalg.cholesky(kernel - means - means[:, None] + means.mean() + n * reg * np.eye(n)))
         score = np.zeros(len(part))
         for k in range(0, len(part), 512):
             x = np.stack(part["spectrum"].iloc[k : k + 512].to_list())
             row = np.exp(-g * gaps(x, b))
-            gap = row - row.mean(1)[:, None] - means + means.mean()
-            score[k : k + 512] = ((gap @ factor.T) ** 2).sum(1)
+            own = row.mean(1)
+            length = 1 - 2 * own + means.mean()  # of the pixel less the mean, in feature space
+            explained = (((row - own[:, None] - means + means.mean()) @ factor.T) ** 2).sum(1)
+            score[k : k + 512] = (length - explained) / reg
         return mine.assign(score=score)
 
     scored = dealt.groupBy("scene_id", "_chunk").cogroup(backgrounds.groupBy("_scene", "_of")).applyInPandas(run, "scene_id string, pix bigint, r bigint, c bigint, score double")
     return scored.unionByName(px.where(F.col("spectrum").isNull()).select(*KEEP, F.lit(None).cast("double").alias("score")))
 
 
-def fused(px: DataFrame, *, weights: dict[str, float] = scoring.WEIGHTS) -> DataFrame:
-    """Global RX, ACE against its best pixels and the spatial context of RX, fused by rank."""
-    rx = cut(global_rx(px))
-    signature = scoring.target_signature(px, rx)
-    parts = rx.withColumnRenamed("score", "rx").join(ace(px, signature).select("scene_id", "pix", F.col("score").alias("ace")), ["scene_id", "pix"])
-    spatial = windows2d.spatial_context(rx).select("scene_id", "pix", F.col("context").alias("spatial"))
-    return scoring.fused(parts.join(spatial, ["scene_id", "pix"]), ["ace", "rx", "spatial"], weights=weights).select(*KEEP, "score")
+def ring_params(h: int, w: int) -> dict:
+    """Ring and components of local RX for a scene of this size: small scenes would starve the wide ring."""
+    return {"inner": 3, "outer": 15, "components": 12} if min(h, w) <= 64 else {}
+
+
+def fused(px: DataFrame, *, local: dict | None = None, top: float = 0.001, k: int = 7, index: DataFrame | None = None, weights: dict[str, float] = scoring.WEIGHTS) -> DataFrame:
+    """Local RX, ACE against the best pixels of global RX, and the spatial context of global RX, fused by rank.
+
+    index(scene_id, pix, index) joins in where the scene has wavelengths; a component that is absent is left out, never filled.
+    """
+    base = stored(global_rx(px), "base")
+    parts = base.select(*KEEP).join(local_rx(px, **(local or {})).select("scene_id", "pix", F.col("score").alias("rx")), ["scene_id", "pix"])
+    parts = parts.join(ace(px, scoring.target_signature(px, base, top=top)).select("scene_id", "pix", F.col("score").alias("ace")), ["scene_id", "pix"])
+    parts = parts.join(windows2d.spatial_context(base, k=k).select("scene_id", "pix", F.col("context").alias("spatial")), ["scene_id", "pix"])
+    names = ["ace", "rx", "spatial"]
+    if index is not None:
+        parts, names = parts.join(index, ["scene_id", "pix"]), ["ace", "index", "rx", "spatial"]
+    return scoring.fused(stored(parts, "components"), names, weights=weights).select(*KEEP, "score")
 
 
 #: name -> pixels to scores.

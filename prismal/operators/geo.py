@@ -92,3 +92,56 @@ def boundary_edges(labelled: DataFrame) -> DataFrame:
     other = labelled.select(F.col("scene_id").alias("_s"), F.col("label").alias("_l"), F.col("r").alias("_r2"), F.col("c").alias("_c2"))
     x = x.join(other, (F.col("scene_id") == F.col("_s")) & (F.col("label") == F.col("_l")) & (F.col("_r") == F.col("_r2")) & (F.col("_c") == F.col("_c2")), "left_anti")
     return x.select("scene_id", "label", (F.col("c") + F.col("s.a")).alias("x0"), (F.col("r") + F.col("s.b")).alias("y0"), (F.col("c") + F.col("s.c")).alias("x1"), (F.col("r") + F.col("s.d")).alias("y1"))
+
+
+def centroid(rings: Column) -> tuple[Column, Column]:
+    """(x, y) of the centre of area of a polygon: an array of closed rings of [x, y], the outer one first, then holes."""
+
+    def sums(ring: Column) -> Column:
+        n = F.size(ring)
+        pairs = F.arrays_zip(F.slice(ring, 1, n - 1).alias("p"), F.slice(ring, 2, n - 1).alias("q"))
+        origin = F.get(F.get(rings, F.lit(0)), F.lit(0))
+        at = lambda p, k: F.get(p, F.lit(k)) - F.get(origin, F.lit(k))
+        zero = F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
+
+        def step(t, e):
+            cross = at(e["p"], 0) * at(e["q"], 1) - at(e["q"], 0) * at(e["p"], 1)
+            return F.struct((t["a"] + cross).alias("a"), (t["x"] + (at(e["p"], 0) + at(e["q"], 0)) * cross).alias("x"), (t["y"] + (at(e["p"], 1) + at(e["q"], 1)) * cross).alias("y"))
+
+        return F.aggregate(pairs, zero, step)
+
+    # The outer ring counts, holes count against it, whichever way they turn.
+    signed = F.transform(rings, lambda ring, i: F.get(F.transform(F.array(sums(ring)), lambda t: F.struct((t["a"] * _turn(t["a"], i)).alias("a"), (t["x"] * _turn(t["a"], i)).alias("x"), (t["y"] * _turn(t["a"], i)).alias("y"))), F.lit(0)))
+    total = lambda k: F.aggregate(signed, F.lit(0.0), lambda t, e: t + e[k])
+    origin = F.get(F.get(rings, F.lit(0)), F.lit(0))
+    return F.get(origin, F.lit(0)) + total("x") / (3 * total("a")), F.get(origin, F.lit(1)) + total("y") / (3 * total("a"))
+
+
+def _turn(area: Column, i: Column) -> Column:
+    return F.when((area > 0) == (i == 0), 1.0).otherwise(-1.0)
+
+
+def polygon_area(rings: Column) -> Column:
+    """Area of a polygon: its outer ring less its holes."""
+    size = lambda ring: ring_area(F.transform(ring, lambda p: F.get(p, F.lit(0))), F.transform(ring, lambda p: F.get(p, F.lit(1))))
+    return F.aggregate(F.transform(rings, lambda ring, i: F.when(i == 0, size(ring)).otherwise(-size(ring))), F.lit(0.0), lambda t, v: t + v)
+
+
+def placed(outlines: DataFrame, transform: dict[str, float], zone: int | None, *, north: bool = True) -> DataFrame:
+    """outlines(rings in pixels) with the polygon in degrees, its size in square metres, its geodesic perimeter and its centre.
+
+    With a zone the grid is in UTM metres, without one in degrees.
+    """
+    def moved(ring: Column, to) -> Column:
+        return F.transform(ring, lambda p: F.array(*to(F.get(p, F.lit(0)), F.get(p, F.lit(1)))))
+
+    def degrees(col: Column, row: Column) -> tuple[Column, Column]:
+        x, y = world(transform, row, col, centre=False)
+        return (x, y) if zone is None else utm_to_wgs84(x, y, zone, north=north)
+
+    x = outlines.withColumn("polygon", F.transform("rings", lambda ring: moved(ring, degrees)))
+    equal = F.transform("polygon", lambda ring: moved(ring, equal_area))
+    lon, lat = centroid(F.col("polygon"))
+    outer = F.get("polygon", F.lit(0))
+    x = x.withColumns({"area": polygon_area(equal), "lon": lon, "lat": lat, "_x": F.transform(outer, lambda p: F.get(p, F.lit(0))), "_y": F.transform(outer, lambda p: F.get(p, F.lit(1)))})
+    return perimeter(x, "_x", "_y").withColumnRenamed("perimeter_m", "perimeter").drop("_x", "_y")

@@ -104,3 +104,13 @@ def whitened(px: DataFrame, fitted: DataFrame, score, *, extra: list[str] = (),
     scored = x.mapInArrow(run, f"scene_id string, pix bigint, r bigint, c bigint, {out} double")
     missing = px.where(F.col("spectrum").isNull()).select(*keep, F.lit(None).cast("double").alias(out))
     return scored.unionByName(missing)
+
+
+def standardized(px: DataFrame) -> DataFrame:
+    """Each band less its mean over its deviation, by scene; a flat band is divided by 1."""
+    x = px.where(F.col("spectrum").isNotNull()).select("scene_id", F.posexplode("spectrum").alias("b", "v"))
+    x = x.groupBy("scene_id", "b").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("sd"))
+    spread = F.when(F.col("sd") == 0, 1.0).otherwise(F.col("sd"))
+    stats = x.groupBy(F.col("scene_id").alias("_scene")).agg(F.array_sort(F.collect_list(F.struct("b", "m", spread.alias("sd")))).alias("_stats"))  # one row a scene
+    scaled = F.zip_with("spectrum", "_stats", lambda v, e: (v - e["m"]) / e["sd"])
+    return px.join(stats, F.col("scene_id") == F.col("_scene"), "left").withColumn("spectrum", scaled).drop("_scene", "_stats")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from prismal.operators.windows2d import neighbours
-from prismal.session import cut
+from prismal.schema import FEATURE_KEYS
+from prismal.session import cut, ship
 
 EIGHT = [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1) if (i, j) != (0, 0)]
 FOUR = [(-1, 0), (1, 0), (0, -1), (0, 1)]
@@ -38,7 +41,9 @@ def connected_components(mask: DataFrame, *, connectivity: int = 8, width: int =
     """scene_id, r, c, label for pixels with m = 1; labels 1, 2, ... follow each component's first pixel in row order."""
     if connectivity not in (4, 8):
         raise ValueError("connectivity is 4 or 8")
-    on = mask.where("m = 1").select("scene_id", "r", "c")
+    outside = (F.col("r") < 0) | (F.col("r") >= width) | (F.col("c") < 0) | (F.col("c") >= width)
+    checked = F.when(outside, F.raise_error(F.lit("a pixel lies outside of the width"))).otherwise(F.col("r"))
+    on = mask.where("m = 1").select("scene_id", checked.alias("r"), "c")
     scene = F.dense_rank().over(Window.partitionBy(F.lit(0)).orderBy("scene_id")) - 1
     scenes = on.select("scene_id").distinct().withColumn("_k", scene)  # one row a scene
     on = on.join(scenes, "scene_id").withColumn("id", (F.col("_k") * width + F.col("r")) * width + F.col("c"))
@@ -50,7 +55,7 @@ def connected_components(mask: DataFrame, *, connectivity: int = 8, width: int =
     return found.join(order, ["scene_id", "first"]).select("scene_id", "r", "c", "label")
 
 
-def rois(labelled: DataFrame, *, branch: str = "anomaly", profile: str = "manmade") -> DataFrame:
+def rois(labelled: DataFrame, *, branch: str = "anomaly", profile: str = "object") -> DataFrame:
     """One row a component: id by scan order, half-open box, pixel count."""
     x = labelled.groupBy("scene_id", "label").agg(F.min("r").alias("r0"), F.min("c").alias("c0"), (F.max("r") + 1).alias("r1"), (F.max("c") + 1).alias("c1"), F.count(F.lit(1)).alias("n_px"))
     return x.select(F.format_string("%s:%s:%04d", "scene_id", F.lit(branch), F.col("label") - 1).alias("roi_id"), "scene_id", "label", F.lit(branch).alias("source_branch"), F.lit(profile).alias("target_profile"), "r0", "c0", "r1", "c1", "n_px")
@@ -64,16 +69,103 @@ def shapes(labelled: DataFrame) -> DataFrame:
     return x.withColumn("elongation", F.when(F.col("minor") > 0, F.col("major") / F.col("minor")))
 
 
-def judged(props: DataFrame, *, min_area: int, max_area: int | None, max_elongation: float, scene_px: Column | None = None) -> DataFrame:
-    """verdict = the first criterion that fails, else 'kept'; an unbounded area stays unbounded."""
-    top = F.lit(max_area).cast("double")
-    if scene_px is not None and max_area is not None:
-        top = F.least(top, scene_px * 0.5)
-    verdict = F.when(F.col("area") < min_area, "area_min").when(top.isNotNull() & (F.col("area") > top), "area_max").when(F.col("elongation") > max_elongation, "elongation").otherwise("kept")
-    margin = F.when(verdict == "area_min", F.lit(min_area) - F.col("area")).when(verdict == "area_max", F.col("area") - top).when(verdict == "elongation", F.col("elongation") - max_elongation)
+#: Thresholds of the shape gate and the indices of each profile.
+PROFILES = {
+    "object": {"min_area_px": 4, "max_area_px": 2000, "min_solidity": 0.15, "max_elongation": 8.0, "indices": ("ndbi", "iron_oxide_ratio", "clay_ratio", "brightness")},
+    "landcover": {"min_area_px": 50, "max_area_px": None, "min_solidity": 0.05, "max_elongation": 20.0, "indices": ("ndvi", "ndwi", "nbr", "bsi")},
+}
+
+
+def profile_of(name: str, more: dict | None = None) -> dict:
+    """The thresholds of a profile, of PROFILES or given; an unknown name raises."""
+    known = PROFILES | (more or {})
+    if name not in known:
+        raise KeyError(f"{name} is none of {sorted(known)}")
+    return dict(known[name])
+
+
+def resolved_max(profile: dict, scene_px: Column | int) -> Column:
+    """The largest area that a region may have in a scene: never more than half of it; an unbounded one stays unbounded."""
+    if profile.get("max_area_px") is None:
+        return F.lit(None).cast("double")
+    return F.least(F.lit(float(profile["max_area_px"])), 0.5 * (F.lit(scene_px) if isinstance(scene_px, int) else scene_px))
+
+
+def judged(props: DataFrame, *, min_area: int, max_area: int | None, max_elongation: float | None, min_solidity: float | None = None, scene_px: Column | None = None) -> DataFrame:
+    """verdict = the first criterion that fails, else 'kept', and by how much it fails; an unbounded area stays unbounded."""
+    top = F.lit(max_area).cast("double") if scene_px is None else resolved_max({"max_area_px": max_area}, scene_px)
+    bent = F.lit(False) if max_elongation is None else F.coalesce(F.col("elongation"), F.lit(float("inf"))) > max_elongation
+    thin = F.lit(False) if min_solidity is None else F.coalesce(F.col("solidity"), F.lit(float("-inf"))) < min_solidity
+    verdict = F.when(F.col("area") < min_area, "area_min").when(top.isNotNull() & (F.col("area") > top), "area_max").when(thin, "solidity").when(bent, "elongation").otherwise("kept")
+    margin = F.when(verdict == "area_min", F.lit(min_area) - F.col("area")).when(verdict == "area_max", F.col("area") - top)
+    if min_solidity is not None:
+        margin = margin.when(verdict == "solidity", min_solidity - F.col("solidity"))
+    if max_elongation is not None:
+        margin = margin.when(verdict == "elongation", F.coalesce(F.col("elongation"), F.lit(float("inf"))) - max_elongation)
     return props.withColumn("verdict", verdict).withColumn("margin", margin.cast("double"))
 
 
+def gated(props: DataFrame, profile: dict, scene_px: Column | int) -> DataFrame:
+    """judged() by a profile, and shape_plausibility: 0 if a criterion fails, else a mean of solidity and of how far the elongation is from its limit."""
+    size = F.lit(scene_px) if isinstance(scene_px, int) else scene_px
+    x = judged(props, min_area=profile.get("min_area_px") or 0, max_area=profile.get("max_area_px"), max_elongation=profile.get("max_elongation"), min_solidity=profile.get("min_solidity"), scene_px=size)
+    clipped = lambda v: F.least(F.lit(1.0), F.greatest(F.lit(0.0), v))
+    most = profile.get("max_elongation")
+    if most is not None and most > 1:
+        round_ = F.when(F.col("elongation").isNotNull(), clipped(1 - (F.col("elongation") - 1) / (most - 1))).otherwise(0.0)
+    else:
+        round_ = F.when(F.col("elongation").isNotNull(), 1.0).otherwise(0.0)
+    score = F.sqrt(F.greatest(clipped(F.col("solidity")), F.lit(1e-6)) * F.greatest(round_, F.lit(1e-6)))
+    return x.withColumn("shape_plausibility", F.when(F.col("verdict") != "kept", 0.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(1e-6), score))))
+
+
+def split(judged_: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(kept, dropped): nothing is lost."""
+    return judged_.where("verdict = 'kept'"), judged_.where("verdict <> 'kept'")
+
+
+def audit(dropped: DataFrame, profile: dict) -> DataFrame:
+    """roi_id and a JSON record of why each dropped region fell."""
+    record = F.struct(F.lit("profile gate").alias("stage"), *(F.col(c) for c in ("roi_id", "source_branch", "target_profile", "area", "solidity", "major", "minor", "elongation")), *(F.lit(profile.get(k)).alias(k) for k in ("min_area_px", "max_area_px", "min_solidity", "max_elongation")), F.col("verdict").alias("failing_criterion"), "margin")
+    return dropped.select("roi_id", F.to_json(record).alias("record"))
+
+
+def hull_pixels(rows: np.ndarray, cols: np.ndarray) -> int:
+    """Pixels whose centre lies in the convex hull of all the pixels' edge midpoints."""
+    points = sorted({(2 * int(c) + dc, 2 * int(r) + dr) for r, c in zip(rows, cols) for dr, dc in ((-1, 0), (1, 0), (0, -1), (0, 1))})
+
+    def half(side):
+        out: list[tuple[int, int]] = []
+        for x, y in side:
+            while len(out) > 1 and (out[-1][0] - out[-2][0]) * (y - out[-2][1]) <= (out[-1][1] - out[-2][1]) * (x - out[-2][0]):
+                out.pop()
+            out.append((x, y))
+        return out[:-1]
+
+    hull = np.array(half(points) + half(points[::-1]))
+    cc, rr = np.meshgrid(2 * np.arange(cols.min(), cols.max() + 1), 2 * np.arange(rows.min(), rows.max() + 1))
+    inside = np.ones(cc.shape, bool)
+    for (x0, y0), (x1, y1) in zip(hull, np.roll(hull, -1, 0)):
+        inside &= (x1 - x0) * (rr - y0) - (y1 - y0) * (cc - x0) >= 0
+    return int(inside.sum())
+
+
+def with_solidity(labelled: DataFrame) -> DataFrame:
+    """shapes() with solidity, the share of its convex hull that a region fills. A region's hull is made in one task from its rows' ends alone."""
+    ship(labelled.sparkSession)
+    # The hull of a region is that of the first and last pixel of each of its rows.
+    ends = labelled.groupBy("scene_id", "label", "r").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count(F.lit(1)).alias("n"))
+
+    def solid(part: pd.DataFrame) -> pd.DataFrame:
+        r = np.concatenate([part["r"], part["r"]])
+        c = np.concatenate([part["c0"], part["c1"]])
+        return pd.DataFrame({"scene_id": [part["scene_id"].iloc[0]], "label": [int(part["label"].iloc[0])], "solidity": [float(part["n"].sum() / hull_pixels(r, c))]})
+
+    kind = dict(labelled.dtypes)["label"]
+    solidity = ends.groupBy("scene_id", "label").applyInPandas(solid, f"scene_id string, label {kind}, solidity double")
+    return shapes(labelled).join(solidity, ["scene_id", "label"])
+
+
 def overlaps(members: DataFrame, *, least: float = 0.3) -> DataFrame:
     """(a, b, iou) of regions that share pixels enough; members(scene_id, roi_id, r, c). An equi-join on pixels: no pair without overlap arises."""
     sizes = members.groupBy("roi_id").agg(F.count(F.lit(1)).alias("n"))
@@ -95,14 +187,82 @@ def fused(regions: DataFrame, members: DataFrame, *, least: float = 0.3, scores:
     return heads.join(extent, "root").withColumn("roi_id", F.format_string("%s:fused:%04d", "scene_id", number))
 
 
-def features(regions: DataFrame, properties: list[str]) -> DataFrame:
-    """One GeoJSON feature a region: its box as a polygon in map units, and the named properties."""
-    corner = lambda c, r: F.array(F.col(c).cast("double"), F.col(r).cast("double"))
-    ring = F.array(corner("c0", "r0"), corner("c1", "r0"), corner("c1", "r1"), corner("c0", "r1"), corner("c0", "r0"))
-    return regions.select("roi_id", F.to_json(F.struct(F.lit("Feature").alias("type"), F.struct(F.lit("Polygon").alias("type"), F.array(ring).alias("coordinates")).alias("geometry"), F.struct(*properties).alias("properties"))).alias("feature"))
+def rings(edges: DataFrame) -> DataFrame:
+    """scene_id, label, rings: a region's outline from its boundary edges, the outer ring first, then holes; corners as arrays [x, y] in pixels.
+
+    Edges that meet in one corner are followed so that pixels that touch there stay together, as in eight-connected
+    regions. One task has the boundary of one region.
+    """
+    ship(edges.sparkSession)
+
+    def traced(part: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"scene_id": [part["scene_id"].iloc[0]], "label": [int(part["label"].iloc[0])], "rings": [joined_edges(part[["x0", "y0", "x1", "y1"]].to_numpy())]})
+
+    kind = dict(edges.dtypes)["label"]
+    return edges.groupBy("scene_id", "label").applyInPandas(traced, f"scene_id string, label {kind}, rings array<array<array<double>>>")
+
+
+def joined_edges(edges: np.ndarray) -> list[list[list[float]]]:
+    """Unit edges (x0, y0, x1, y1) with the region to their right, joined to closed rings without straight corners."""
+    after: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    for x0, y0, x1, y1 in edges.tolist():
+        after.setdefault((x0, y0), []).append((x1, y1))
+    out = []
+    while after:
+        first = min(after, key=lambda p: (p[1], p[0]))
+        ring, at, last = [first], first, None
+        while True:
+            ways = after[at]
+            if len(ways) > 1 and last is not None:  # the way that turns left, to the pixel across the corner
+                dx, dy = at[0] - last[0], at[1] - last[1]
+                ways.sort(key=lambda p: dx * (p[1] - at[1]) - dy * (p[0] - at[0]))
+            to = ways.pop(0)
+            if not ways:
+                del after[at]
+            last, at = at, to
+            if at == first:
+                break
+            ring.append(at)
+        corners = [p for k, p in enumerate(ring) if (p[0] - ring[k - 1][0]) * (ring[(k + 1) % len(ring)][1] - p[1]) != (p[1] - ring[k - 1][1]) * (ring[(k + 1) % len(ring)][0] - p[0])]
+        start = min(range(len(corners)), key=lambda k: (corners[k][1], corners[k][0]))
+        turned = corners[start:] + corners[:start]
+        out.append([[float(x), float(y)] for x, y in [*turned, turned[0]]])
+
+    def area(ring):
+        return abs(sum(p[0] * q[1] - q[0] * p[1] for p, q in zip(ring, ring[1:])))
+
+    return sorted(out, key=lambda r: (-area(r), r))
+
+
+def features(regions: DataFrame) -> DataFrame:
+    """One GeoJSON feature a region: roi_id and its text.
+
+    regions has the properties of schema.FEATURE_KEYS as columns and `polygon`, an array of rings of [lon, lat].
+    """
+    properties = F.struct(*(F.col(k) for k in FEATURE_KEYS))
+    options = {"ignoreNullFields": "false"}
+    geometry = F.struct(F.lit("Polygon").alias("type"), F.col("polygon").alias("coordinates"))
+    return regions.select("roi_id", F.to_json(F.struct(F.lit("Feature").alias("type"), geometry.alias("geometry"), properties.alias("properties")), options).alias("feature"))
+
+
+def collections(feature_rows: DataFrame, scenes: DataFrame) -> DataFrame:
+    """scene_id, geojson: a valid collection for every scene, also one without a feature. A row holds the features of one scene."""
+    held = feature_rows.groupBy("scene_id").agg(F.array_join(F.array_sort(F.collect_list("feature")), ",").alias("f"))
+    text = F.concat(F.lit('{"type":"FeatureCollection","features":['), F.coalesce("f", F.lit("")), F.lit("]}"))
+    return scenes.select("scene_id").join(held, "scene_id", "left").select("scene_id", text.alias("geojson"))
+
+
+def links(regions: DataFrame, members: DataFrame, *, least: float = 0.3) -> DataFrame:
+    """roi_id, linked_roi_ids: overlapping regions of another profile, both ways; regions without any have an empty list."""
+    profile = regions.select("roi_id", "target_profile")
+    x = overlaps(members, least=least).join(profile.select(F.col("roi_id").alias("a"), F.col("target_profile").alias("pa")), "a").join(profile.select(F.col("roi_id").alias("b"), F.col("target_profile").alias("pb")), "b").where("pa <> pb")
+    both = x.select("a", "b").unionByName(x.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    found = both.groupBy(F.col("a").alias("roi_id")).agg(F.array_sort(F.collect_list("b")).alias("linked_roi_ids"))
+    return regions.select("roi_id").join(found, "roi_id", "left").withColumn("linked_roi_ids", F.coalesce("linked_roi_ids", F.array().cast("array<string>")))
 
 
-def collection(feature_rows: DataFrame) -> DataFrame:
-    """A valid collection, also of no feature."""
-    joined = F.array_join(F.array_sort(F.collect_list("feature")), ",")
-    return feature_rows.agg(F.concat(F.lit('{"type":"FeatureCollection","features":['), joined, F.lit("]}")).alias("geojson"))
+def largest_pieces(labelled: DataFrame, pieces: str = "piece") -> DataFrame:
+    """labelled(scene_id, label, piece, r, c): the pixels of each label's largest piece, the first of equally large ones."""
+    sizes = labelled.groupBy("scene_id", "label", pieces).agg(F.count(F.lit(1)).alias("_n"))
+    best = sizes.groupBy("scene_id", "label").agg(F.max(F.struct("_n", (-F.col(pieces)).alias("_k"))).alias("_b")).select("scene_id", "label", (-F.col("_b._k")).alias(pieces))
+    return labelled.join(best, ["scene_id", "label", pieces], "left_semi")

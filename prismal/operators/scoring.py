@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Default weights of the score components.
 WEIGHTS = {"rx": 0.40, "ace": 0.25, "index": 0.15, "spatial": 0.20}
+#: What a region's confidence is made of, column -> (name, weight).
+CONFIDENCE = {"anomaly_score": ("c_anom", 0.40), "change_score": ("c_change", 0.20), "seg_prob": ("c_seg", 0.25), "clear_fraction": ("c_clear", 0.10), "shape_plausibility": ("c_shape", 0.05)}
 CHANGE_WEIGHTS = {"sam": 0.50, "variance": 0.20, "entropy": 0.15, "coherence": 0.15}
 
 

@@ -40,11 +40,11 @@ def catalogue_search(spark, d) -> DataFrame:
     return archive.searched(features, max_cloud=30.0, per_datatake=2, limit=500, box=(-90.0, -45.0, 120.0, 60.0)).select("id", "datatake")
 
 
-@query("SELECT s_suppkey AS id FROM supplier WHERE s_suppkey % 3 <> 0 AND 77.5 BETWEEN 50 + s_suppkey % 40 AND 60 + s_suppkey % 40 AND 2.9 BETWEEN s_suppkey % 20 - 5 AND s_suppkey % 20 + 5 AND s_acctbal < 8000 ORDER BY s_nationkey, s_suppkey LIMIT 50")
+@query("SELECT s_suppkey AS id FROM supplier WHERE s_suppkey % 3 <> 0 AND 57.5 BETWEEN 50 + s_suppkey % 40 AND 60 + s_suppkey % 40 AND 2.9 BETWEEN s_suppkey % 20 - 5 AND s_suppkey % 20 + 5 AND s_acctbal < 8000 ORDER BY s_nationkey, s_suppkey LIMIT 50")
 def product_search(spark, d) -> DataFrame:
     k = F.col("s_suppkey")
     x = T(spark, d, "supplier").select(k.alias("id"), F.concat(F.lit("S2A_"), F.when(k % 3 == 0, "MSIL1C").otherwise("MSIL2A"), F.lit("_"), k).alias("name"), (50 + k % 40).alias("west"), (60 + k % 40).alias("east"), (k % 20 - 5).alias("south"), (k % 20 + 5).alias("north"), F.col("s_acctbal").alias("cloud"), F.concat(F.lit("2020-01-"), F.lpad((F.col("s_nationkey") + 1).cast("string"), 2, "0")).alias("date"))
-    return archive.products(x, 77.5, 2.9, "2019-12-31", "2020-02-01", 8000.0).select("id")
+    return archive.products(x, 57.5, 2.9, "2019-12-31", "2020-02-01", 8000.0).select("id")
 
 
 _BANDS = ("B02", "B03", "B04", "B8A", "B11", "B12", "SCL")

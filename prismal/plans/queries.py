@@ -275,9 +275,7 @@ def temporal_median_mad(spark, d) -> DataFrame:
 def temporal_zscore(spark, d) -> DataFrame:
     """With a floor of 0.01, since some pixels have a single epoch."""
     e = scenes.epochs(spark, d)
-    x = e.where("epoch = 1997").select("scene_id", "pix", F.posexplode("spectrum").alias("b", "v")).join(change.temporal_baseline(e), ["scene_id", "pix", "b"])
-    z = F.abs(F.col("v") - F.col("median")) / F.greatest(F.lit(0.01), 1.4826 * F.col("mad"))
-    return x.groupBy("pix").agg(q(F.max(z) / 10).alias("z"))
+    return change.temporal_score(e.where("epoch = 1997"), change.temporal_baseline(e), floor=0.01).select("pix", q(F.col("score") / 10).alias("z"))
 
 
 @query()
@@ -406,7 +404,7 @@ def miss_audit(spark, d) -> DataFrame:
     return x.where("hit = 0").select(F.col("label").cast("long").alias("label"), q(F.col("margin")).alias("margin"))
 
 
-_RECT = "rt AS (SELECT 's' || (p_partkey // 500) AS scene_id, p_partkey AS id, 's' || (p_partkey // 500) || ':' || CASE WHEN p_size % 2 = 0 THEN 'anomaly' ELSE 'change' END || ':' || lpad(CAST(p_partkey AS VARCHAR), CAST(greatest(4, length(CAST(p_partkey AS VARCHAR))) AS INTEGER), '0') AS roi_id, CASE WHEN p_partkey % 3 = 0 THEN 'manmade' ELSE 'landcover' END AS target_profile, (p_partkey * 7) % 47 AS r0, (p_partkey * 13) % 43 AS c0, p_size % 6 + 2 AS h, p_size % 5 + 2 AS w, p_retailprice / 1000 AS anomaly_score FROM part), mb AS (SELECT scene_id, roi_id, r0 + i AS r, c0 + j AS c FROM rt, range(8) a(i), range(8) b(j) WHERE i < h AND j < w)"
+_RECT = "rt AS (SELECT 's' || (p_partkey // 500) AS scene_id, p_partkey AS id, 's' || (p_partkey // 500) || ':' || CASE WHEN p_size % 2 = 0 THEN 'anomaly' ELSE 'change' END || ':' || lpad(CAST(p_partkey AS VARCHAR), CAST(greatest(4, length(CAST(p_partkey AS VARCHAR))) AS INTEGER), '0') AS roi_id, CASE WHEN p_partkey % 3 = 0 THEN 'object' ELSE 'landcover' END AS target_profile, (p_partkey * 7) % 47 AS r0, (p_partkey * 13) % 43 AS c0, p_size % 6 + 2 AS h, p_size % 5 + 2 AS w, p_retailprice / 1000 AS anomaly_score FROM part), mb AS (SELECT scene_id, roi_id, r0 + i AS r, c0 + j AS c FROM rt, range(8) a(i), range(8) b(j) WHERE i < h AND j < w)"
 
 
 def _rects(spark, d):
@@ -414,7 +412,7 @@ def _rects(spark, d):
     k, size = F.col("p_partkey"), F.col("p_size")
     scene = F.concat(F.lit("s"), F.expr("p_partkey div 500").cast("string"))
     branch = F.when(size % 2 == 0, "anomaly").otherwise("change")
-    return x.select(scene.alias("scene_id"), F.format_string("%s:%s:%04d", scene, branch, k).alias("roi_id"), branch.alias("source_branch"), F.when(k % 3 == 0, "manmade").otherwise("landcover").alias("target_profile"), (k * 7 % 47).alias("r0"), (k * 13 % 43).alias("c0"), (size % 6 + 2).alias("h"), (size % 5 + 2).alias("w"), (F.col("p_retailprice") / 1000).alias("anomaly_score"), F.lit(None).cast("double").alias("change_score"))
+    return x.select(scene.alias("scene_id"), F.format_string("%s:%s:%04d", scene, branch, k).alias("roi_id"), branch.alias("source_branch"), F.when(k % 3 == 0, "object").otherwise("landcover").alias("target_profile"), (k * 7 % 47).alias("r0"), (k * 13 % 43).alias("c0"), (size % 6 + 2).alias("h"), (size % 5 + 2).alias("w"), (F.col("p_retailprice") / 1000).alias("anomaly_score"), F.lit(None).cast("double").alias("change_score"))
 
 
 def _members(rects):
@@ -461,12 +459,6 @@ def mask_contract(spark, d) -> DataFrame:
     return schema.mask_violations(_mask(spark, d))
 
 
-@query()
-def geojson(spark, d) -> DataFrame:
-    return regions.features(regions.rois(_labelled(spark, d)), ["roi_id", "scene_id", "source_branch", "target_profile", "n_px"])
-
-
-
 @query(f"WITH RECURSIVE {_C8} SELECT x.label, count(*) AS n_edges FROM lb x JOIN (VALUES (-1, 0), (1, 0), (0, -1), (0, 1)) o(i, j) ON true LEFT JOIN lb y ON y.r = x.r + o.i AND y.c = x.c + o.j AND y.label = x.label WHERE y.label IS NULL GROUP BY 1")
 def boundary_length(spark, d) -> DataFrame:
     x = geo.boundary_edges(_labelled(spark, d)).groupBy("label").agg(F.count(F.lit(1)).alias("n_edges"))
@@ -628,7 +620,7 @@ def stream_session(spark, d) -> DataFrame:
 @query(f"SELECT event_type, count(value) AS n, {Q('avg(value) / 100')} AS mean, {Q('var_samp(value) / 10000')} AS variance FROM events GROUP BY 1")
 def stream_moments(spark, d) -> DataFrame:
     x = streams.events_stream(spark, d).select("event_type", "value")
-    x = streams.settled(streams.running_moments(x, "event_type", ["value"]), "update")
+    x = streams.settled(streams.running_moments(x, "event_type", ["value"]), "update", ("event_type",))
     return x.select("event_type", "n", q(F.get("mean", F.lit(0)) / 100).alias("mean"), q(F.get("m2", F.lit(0)) / (F.col("n") - 1) / 10000).alias("variance"))
 
 
@@ -653,4 +645,4 @@ def kernel_rx(spark, d) -> DataFrame:
 
 @query()
 def fused_detector(spark, d) -> DataFrame:
-    return detectors.fused(scenes.pixels(spark, d)).select("pix", "score")
+    return detectors.fused(scenes.pixels(spark, d), local=detectors.ring_params(20, 25)).select("pix", "score")

@@ -14,10 +14,31 @@ SCORES = T.StructType([T.StructField("scene_id", T.StringType()), T.StructField(
 BANDS = T.StructType([T.StructField("b", T.IntegerType()), T.StructField("wl", T.DoubleType())])
 
 #: Closed enumerations of the contracts.
+SOURCES = ("indian_pines", "abu", "hydice_urban_anomaly", "had100", "enmap", "sentinel2", "aviris")
+GEOREFS = ("real", "synthetic")
 BRANCHES = ("anomaly", "change", "fused")
-PROFILES = ("manmade", "landcover")
-#: The sixteen properties of an exported region.
-FEATURE_KEYS = ("roi_id", "scene_id", "source_branch", "target_profile", "anomaly_score", "change_score", "spectral_match_score", "shape_plausibility", "temporal_stability", "confidence", "confidence_components", "area_m2", "perimeter_m", "centroid_lat", "centroid_lon", "timestamp")
+PROFILES = ("object", "landcover")
+#: The sixteen properties of an exported region, each with the kinds of JSON value that it may have.
+FEATURE_KEYS = {
+    "lat": ("number",),
+    "lon": ("number",),
+    "area": ("number",),
+    "perimeter": ("number",),
+    "anomaly_score": ("number", "null"),
+    "change_score": ("number", "null"),
+    "confidence": ("number",),
+    "timestamp": ("string",),
+    "source_scene": ("string",),
+    "class": ("string",),
+    "roi_id": ("string",),
+    "source_branch": ("string",),
+    "target_profile": ("string",),
+    "linked_roi_ids": ("array",),
+    "confidence_components": ("array",),
+    "georef": ("string",),
+}
+#: The tags of a normalised score map.
+SCORE_TAGS = ("NORM_METHOD", "NORM_P_LO", "NORM_P_HI", "NORM_V_LO", "NORM_V_HI", "SCORE_METHOD", "SCENE_ID", "GEOREF")
 
 
 def is_valid(spectrum: Column) -> Column:
@@ -48,5 +69,50 @@ def mask_violations(mask: DataFrame, column: str = "m") -> DataFrame:
 def roi_violations(rois: DataFrame) -> DataFrame:
     """Regions whose box is degenerate, whose branch or profile is unknown, or whose id doesn't name scene and branch."""
     part = F.split("roi_id", ":")
-    bad = (F.col("r1") <= F.col("r0")) | (F.col("c1") <= F.col("c0")) | ~F.col("source_branch").isin(*BRANCHES) | (F.size(part) != 3) | (F.get(part, F.lit(1)) != F.col("source_branch")) | (F.get(part, F.lit(0)) != F.col("scene_id"))
+    bad = (F.col("r1") <= F.col("r0")) | (F.col("c1") <= F.col("c0")) | ~F.col("source_branch").isin(*BRANCHES) | ~F.col("target_profile").isin(*PROFILES) | (F.size(part) != 3) | (F.get(part, F.lit(1)) != F.col("source_branch")) | (F.get(part, F.lit(0)) != F.col("scene_id"))
     return rois.where(bad)
+
+
+def score_violations(scores: DataFrame, tags: DataFrame) -> DataFrame:
+    """scene_id, rule: normalised scores outside [0, 1], and tags(scene_id, tags map) that lack a required one."""
+    outside = scores.where(F.col("norm").isNotNull() & ~F.col("norm").between(0, 1)).select("scene_id", F.lit("range").alias("rule")).distinct()
+    lacking = F.array_except(F.array(*map(F.lit, SCORE_TAGS)), F.map_keys("tags"))
+    return outside.unionByName(tags.select("scene_id", F.explode(F.transform(lacking, lambda t: F.concat(F.lit("tag "), t))).alias("rule")))
+
+
+def meta_violations(meta: DataFrame) -> DataFrame:
+    """scene_id, rule: scenes(scene_id, source, georef) of an unknown source or georeference."""
+    bad = F.array_compact(F.array(F.when(~F.col("source").isin(*SOURCES), "source"), F.when(~F.col("georef").isin(*GEOREFS), "georef")))
+    return meta.select("scene_id", F.explode(bad).alias("rule"))
+
+
+def feature_violations(features: DataFrame, column: str = "feature") -> DataFrame:
+    """roi_id, rule: features (JSON text) of another type or geometry, with missing, unexpected or wrongly typed properties, or values outside the enumerations."""
+    doc = F.col(column)
+    names = F.json_object_keys(F.get_json_object(doc, "$.properties"))
+    want = F.array(*map(F.lit, FEATURE_KEYS))
+    parsed = F.from_json(doc, "properties map<string, string>")["properties"]
+
+    def wrong(key: str, kinds: tuple[str, ...]) -> Column:
+        # a string's quotes are gone in the map, and null is NULL
+        value = parsed[key]
+        given = F.array_contains(names, key)
+        kind = F.when(value.isNull(), "null").when(F.substring(value, 1, 1) == "[", "array").when(value.try_cast("double").isNotNull(), "number").otherwise("string")
+        fits = kind.isin(*kinds) | (F.lit("string" in kinds) & value.isNotNull())
+        return F.when(given & ~fits, F.lit(f"type {key}"))
+
+    rules = F.array_compact(
+        F.concat(
+            F.array(
+                F.when(F.get_json_object(doc, "$.type") != "Feature", "type"),
+                F.when(F.coalesce(F.get_json_object(doc, "$.geometry.type"), F.lit("")) != "Polygon", "geometry"),
+                *(wrong(k, v) for k, v in FEATURE_KEYS.items()),
+                F.when(~parsed["source_branch"].isin(*BRANCHES), "source_branch"),
+                F.when(~parsed["target_profile"].isin(*PROFILES), "target_profile"),
+                F.when(~parsed["georef"].isin(*GEOREFS), "georef"),
+            ),
+            F.transform(F.array_except(want, F.coalesce(names, F.array().cast("array<string>"))), lambda k: F.concat(F.lit("missing "), k)),
+            F.transform(F.array_except(F.coalesce(names, F.array().cast("array<string>")), want), lambda k: F.concat(F.lit("unexpected "), k)),
+        )
+    )
+    return features.select(F.get_json_object(doc, "$.properties.roi_id").alias("roi_id"), F.explode(rules).alias("rule"))

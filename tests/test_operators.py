@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 from prismal import schema
 from prismal.functions import spectral
 from prismal.operators import change, detectors, geo, harmonize, metrics, regions, scoring, windows2d
-from prismal.plans import queries as plans
+from prismal.plans import registry as plans
 from prismal.streaming import moments as streams
 
+plans.load()
 RNG = np.random.default_rng(5)
 H, W, B = 12, 11, 4
 CUBE = RNG.normal(size=(H, W, B))
@@ -109,11 +110,15 @@ def test_heavy_queries_have_the_reference_settings(spark, sf_dir):
     b = np.stack([x[i] for i in sorted(x)])
     assert 200 < len(b) <= 2000  # all pixels are background
     squared = ((b[:, None] - b[None]) ** 2).sum(2)
-    above = squared[np.triu_indices(len(b), 1)]
-    k = np.exp(-squared / (2 * np.median(above[above > 0])))
-    k = k - k.mean(0) - k.mean(1)[:, None] + k.mean()
-    model = k @ k / len(b) + 1e-2 * np.eye(len(b)) * np.trace(k) / len(b)
-    want = dict(zip(sorted(x), np.einsum("ij,jk,ik->i", k, np.linalg.inv(model), k)))
+    k = np.exp(-squared / (2 * np.median(squared[np.triu_indices(len(b), 1)])))
+    centred = k - k.mean(0) - k.mean(1)[:, None] + k.mean()
+    # In feature space: x' (covariance + reg)^-1 x, with the covariance's eigenvectors from the centred kernel.
+    values, vectors = np.linalg.eigh(centred)
+    on = values > 1e-9
+    inside = (centred @ vectors[:, on]) ** 2 / values[on]
+    outside = np.diag(centred) - inside.sum(1)
+    scores = (inside / (values[on] / len(b) + 1e-2)).sum(1) + outside / 1e-2
+    want = dict(zip(sorted(x), scores))
     for name, want in {"kernel_rx": want, "crd": score(detectors.crd(scene, inner=5, outer=15)), "local_rx": score(detectors.local_rx(scene, inner=3, outer=15, components=12))}.items():
         got = score(plans.QUERIES[name](spark, sf_dir))
         assert got.keys() == want.keys() and got == pytest.approx(want, rel=1e-6), name
@@ -226,10 +231,43 @@ def test_long_chains_are_one_component(spark):
 
 
 def test_empty_collection(spark):
-    none = regions.features(spark.createDataFrame([], "roi_id string, r0 long, c0 long, r1 long, c1 long"), ["roi_id"])
-    assert json.loads(regions.collection(none).first().geojson) == {"type": "FeatureCollection", "features": []}
-    one = regions.features(spark.createDataFrame([("s:anomaly:0000", 1, 2, 3, 4)], "roi_id string, r0 long, c0 long, r1 long, c1 long"), ["roi_id"])
-    assert json.loads(regions.collection(one).first().geojson)["features"][0]["geometry"]["coordinates"][0][2] == [4.0, 3.0]
+    scenes_ = spark.createDataFrame([("s",), ("empty",)], "scene_id string")
+    some = spark.createDataFrame([("s", '{"type":"Feature"}')], "scene_id string, feature string")
+    got = {r.scene_id: json.loads(r.geojson) for r in regions.collections(some, scenes_).collect()}
+    assert got == {"s": {"type": "FeatureCollection", "features": [{"type": "Feature"}]}, "empty": {"type": "FeatureCollection", "features": []}}
+
+
+def test_outlines_and_hulls(spark):
+    """A ring with a hole, two pixels that touch in a corner, an L: corners, holes, sizes, solidity."""
+    shapes_ = {
+        1: [(r, c) for r in range(3) for c in range(3) if (r, c) != (1, 1)],
+        2: [(6, 0), (7, 1)],
+        3: [(10, 0), (11, 0), (12, 0), (12, 1), (12, 2)],
+        4: [(20, c) for c in range(5)],
+    }
+    labelled = spark.createDataFrame([("s", k, r, c) for k, v in shapes_.items() for r, c in v], "scene_id string, label long, r long, c long")
+    got = {r.label: r.rings for r in regions.rings(geo.boundary_edges(labelled)).collect()}
+    assert [len(got[k]) for k in (1, 2, 3, 4)] == [2, 1, 1, 1]
+    assert [len(got[k][0]) - 1 for k in (1, 2, 3, 4)] == [4, 8, 6, 4] and len(got[1][1]) == 5
+    assert got[4][0] == [[0.0, 20.0], [5.0, 20.0], [5.0, 21.0], [0.0, 21.0], [0.0, 20.0]]
+    area = {r.label: r.a for r in regions.rings(geo.boundary_edges(labelled)).select("label", geo.polygon_area(F.col("rings")).alias("a")).collect()}
+    assert area == {k: len(v) for k, v in shapes_.items()}
+    x, y = geo.centroid(F.col("rings"))
+    middle = {r.label: (r.x, r.y) for r in regions.rings(geo.boundary_edges(labelled)).select("label", x.alias("x"), y.alias("y")).collect()}
+    for k, v in shapes_.items():
+        assert middle[k] == pytest.approx((np.mean([c for _, c in v]) + 0.5, np.mean([r for r, _ in v]) + 0.5))
+    solid = {r.label: r.solidity for r in regions.with_solidity(labelled).collect()}
+    assert solid == pytest.approx({1: 8 / 9, 2: 1.0, 3: 5 / 6, 4: 1.0})
+
+
+def test_streamed_updates_keep_every_key(spark, tmp_path):
+    """Two batches that change different keys: each key's last word counts."""
+    schema_ = "k string, value double"
+    for n, rows in enumerate([[("a", 1.0), ("b", 2.0)], [("b", 4.0)], [("c", 8.0)]]):
+        spark.createDataFrame(rows, schema_).coalesce(1).write.parquet(str(tmp_path / "in" / f"part{n}"))
+    stream = spark.readStream.schema(schema_).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
+    got = streams.settled(streams.running_moments(stream, "k", ["value"]), "update", ("k",))
+    assert {r.k: (r.n, r["mean"][0]) for r in got.collect()} == {"a": (1, 1.0), "b": (2, 3.0), "c": (1, 8.0)}
 
 
 def test_interpolation_keeps_missing_bands_local(spark):
@@ -260,7 +298,7 @@ def duck(sf_dir):
     import duckdb
 
     con = duckdb.connect()
-    for name in ("part", "supplier", "customer", "orders", "lineitem", "events", "embeddings", "pages"):
+    for name in ("region", "nation", "part", "supplier", "customer", "orders", "lineitem", "events", "embeddings", "pages"):
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{sf_dir}/{name}.parquet')")
     return con
 
