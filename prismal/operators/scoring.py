@@ -11,6 +11,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from prismal.session import stored
+
 #: Default weights of the score components.
 WEIGHTS = {"rx": 0.40, "ace": 0.25, "index": 0.15, "spatial": 0.20}
 #: What a region's confidence is made of, column -> (name, weight).
@@ -34,17 +36,21 @@ def rank_normalised(scores: DataFrame, *, by: str = "scene_id", score: str = "sc
     running total over the partitions' counts makes the ranks global: no task
     holds a whole scene.
     """
-    value = f"_{score}_v"
-    counts = scores.where(F.col(score).isNotNull()).groupBy(by, F.col(score).alias(value)).agg(F.count(F.lit(1)).alias("_k"))
-    ranged = counts.repartitionByRange(by, value).withColumn("_part", F.spark_partition_id())
+    ranked = ranked_values(scores, by=by, score=score, out=out)
+    return scores.join(ranked, (F.col(by) == F.col("_by")) & (F.col(score) == F.col("_v")), "left").drop("_by", "_v")
+
+
+def ranked_values(scores: DataFrame, *, by: str, score: str, out: str) -> DataFrame:
+    """(_by, _v, out): the normalised rank of each different value of a scene."""
+    counts = scores.where(F.col(score).isNotNull()).groupBy(by, F.col(score).alias("_v")).agg(F.count(F.lit(1)).alias("_k"))
+    ranged = counts.repartitionByRange(by, "_v").withColumn("_part", F.spark_partition_id())
     parts = ranged.groupBy(by, "_part").agg(F.sum("_k").alias("_in"))
     before = Window.partitionBy(by).orderBy("_part")
     parts = parts.withColumn("_before", F.sum("_in").over(before) - F.col("_in")).withColumn("_n", F.sum("_in").over(Window.partitionBy(by)))
-    inside = F.sum("_k").over(Window.partitionBy(by, "_part").orderBy(value)) - F.col("_k")
+    inside = F.sum("_k").over(Window.partitionBy(by, "_part").orderBy("_v")) - F.col("_k")
     ranked = ranged.join(parts.withColumnsRenamed({by: "_by2", "_part": "_part2"}), (F.col(by) == F.col("_by2")) & (F.col("_part") == F.col("_part2"))).withColumn("_rank", F.col("_before") + inside + (F.col("_k") + 1) / 2)
     norm = F.when(F.col("_n") == 1, 0.5).otherwise((F.col("_rank") - 1) / (F.col("_n") - 1))
-    ranked = ranked.select(F.col(by).alias("_by"), F.col(value), norm.alias(out))
-    return scores.join(ranked, (F.col(by) == F.col("_by")) & (F.col(score) == F.col(value)), "left").drop("_by", value)
+    return ranked.select(F.col(by).alias("_by"), "_v", norm.alias(out))
 
 
 def thresholded(scores: DataFrame, *, pct: float = 99.0, by: str = "scene_id", score: str = "score") -> DataFrame:
@@ -69,32 +75,32 @@ def normalised_weights(weights: dict[str, float], present: list[str]) -> dict[st
 def fused(components: DataFrame, names: list[str], *, weights: dict[str, float] = WEIGHTS, by: str = "scene_id") -> DataFrame:
     """score = weighted sum of the rank-normalised components, over pixels where all of them are valid."""
     share = normalised_weights(weights, names)
-    both = components
     valid = None
     for n in names:
         valid = F.col(n).isNotNull() if valid is None else valid & F.col(n).isNotNull()
-    x = both
-    for n in names:
-        x = x.withColumn(n, F.when(valid, F.col(n)))
-        x = rank_normalised(x, by=by, score=n, out=f"_{n}_rank")
-    total = None
+    x = stored(components.withColumns({n: F.when(valid, F.col(n)) for n in names}), "components")
+    return _weighed(x, share, by)
+
+
+def _weighed(x: DataFrame, share: dict[str, float], by: str) -> DataFrame:
+    """score = the weighted sum of the columns' ranks. x is a stored table: each column's ranks read it anew, not one another."""
+    out, total = x, None
     for n, w in share.items():
+        ranks = ranked_values(x, by=by, score=n, out=f"_{n}_rank")
+        out = out.join(ranks, (F.col(by) == F.col("_by")) & (F.col(n) == F.col("_v")), "left").drop("_by", "_v")
         term = F.col(f"_{n}_rank") * w
         total = term if total is None else total + term
-    return x.withColumn("score", total).drop(*(f"_{n}_rank" for n in names))
+    return out.withColumn("score", total).drop(*(f"_{n}_rank" for n in share))
 
 
 def fused_change(signals: DataFrame, *, weights: dict[str, float] = CHANGE_WEIGHTS, cloudy: str | None = None, by: str = "scene_id") -> DataFrame:
     """Weights as given, each signal ranked over its own valid pixels; cloudy pixels score 0, missing ones NULL."""
     if set(weights) - set(CHANGE_WEIGHTS) or set(CHANGE_WEIGHTS) - set(weights) or min(weights.values()) < 0:
         raise ValueError("weights name each signal once, none below zero")
-    x, total = signals, None
-    for n, w in weights.items():
-        if w:
-            x = rank_normalised(x, by=by, score=n, out=f"_{n}_rank")
-            total = F.col(f"_{n}_rank") * w if total is None else total + F.col(f"_{n}_rank") * w
-    score = F.when(total.isNull(), total).otherwise(F.when(F.col(cloudy), 0.0).otherwise(total)) if cloudy else total
-    return x.withColumn("score", score).drop(*(f"_{n}_rank" for n in weights))
+    x = _weighed(stored(signals, "signals"), {n: w for n, w in weights.items() if w}, by)
+    if not cloudy:
+        return x
+    return x.withColumn("score", F.when(F.col("score").isNotNull(), F.when(F.col(cloudy), 0.0).otherwise(F.col("score"))))
 
 
 def recall_threshold(scored: DataFrame, *, recall: float = 0.98, by: str = "scene_id", score: str = "score", positive: str = "gt") -> DataFrame:
