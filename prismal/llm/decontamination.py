@@ -16,7 +16,13 @@ one every capitalised word is a name, also at the start of a sentence or a
 line, behind a quotation mark and with a possessive, and number words are
 numbers. In both, a number joined to its unit ("12kg") is two slots and a range
 ("12-15") one. Names of the loose reading alone still count as literal words
-for `min_literal`. One scan of the text gives the keys of both readings.
+for `min_literal`.
+
+All documents are scanned once, in the loose reading. So that this scan finds
+what either reading does, the benchmark's windows are looked up by several
+keys: in both readings, and with each single word as a name, for a document may
+begin a sentence where the benchmark doesn't. Documents with a hit are then
+compared word by word in both readings.
 
 An item is found in a document when `enough` of its windows are, or at least
 `share` of them, in one reading. Items shorter than a window are looked up as
@@ -40,7 +46,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prismal.llm.common import WORD, keyed, shown_id, words
+from prismal.llm.common import SPACE, WORD, keyed, shown_id, words
 from prismal.session import stored
 
 WINDOW = 6
@@ -57,6 +63,10 @@ UNITS = "km|m|cm|mm|mi|mile|miles|ft|foot|feet|inch|inches|yd|yard|yards|kg|g|mg
 NUMBER_WORDS = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion".split()
 
 
+#: Punctuation and symbols; the placeholders are neither.
+MARKS = r"[\p{P}\p{S}]+"
+
+
 def spaced(text: Column) -> Column:
     """The text whose words are read: numbers are parted from their units."""
     joined = F.regexp_replace(text, rf"(?<![\p{{L}}\p{{N}}])([0-9][0-9.,]*)(?=(?i:{UNITS})(?![\p{{L}}\p{{N}}]))", "$1 ")
@@ -67,16 +77,21 @@ def canonical_text(text: Column, mark: str) -> Column:
     """The spaced text with typed placeholders, LOOSE before names of the loose reading, lower case otherwise, each run of punctuation turned into `mark`; white space stays as it is."""
     blank, end = r"[\x20\x09-\x0D]", r"(?=[^\p{L}\p{N}\x20\x09-\x0D]*(?:[\x20\x09-\x0D]|$))"
     x = F.regexp_replace(text, rf"{blank}(?<=[^\x20\x09-\x0D.!?:].)\p{{Lu}}[\p{{Ll}}\p{{M}}]*{end}", f" {NAME}")
-    x = F.regexp_replace(x, rf"(^|{blank})([^\p{{L}}\p{{N}}\x20\x09-\x0D]*)(\p{{Lu}}[\p{{Ll}}\p{{M}}]*(?:['’]s)?){end}", f"$1$2{LOOSE}$3")
+    x = F.regexp_replace(x, rf"(\p{{Lu}}(?<![\p{{L}}\p{{N}}\p{{M}}/’–-].)[\p{{Ll}}\p{{M}}]*+(?:['’]s)?){end}", f"{LOOSE}$1")
     x = F.lower(x)
     numbered = F.regexp_replace(x, rf"(^|{blank})[^\p{{L}}\p{{N}}{NUMBER}{UNIT}{NAME}{LOOSE}\x20\x09-\x0D]*[0-9][0-9.,:/–-]*{end}", f"$1{NUMBER}")
     measured = F.regexp_replace(numbered, rf"{NUMBER}[^\p{{L}}\p{{N}}\x20\x09-\x0D]*({blank})(?:{UNITS}){end}", f"{NUMBER}$1{UNIT}")
     x = F.when(text.rlike("[0-9]"), measured).otherwise(x)
-    return F.regexp_replace(x, rf"[^\p{{L}}\p{{M}}\p{{Nd}}{NUMBER}{UNIT}{NAME}{LOOSE}\x20\x09-\x0D]+", mark)
+    return F.regexp_replace(x, MARKS, mark)
+
+
+def canonical_words(text: Column) -> Column:
+    """The canonical words; those of punctuation alone are left out."""
+    return F.filter(F.split(canonical_text(spaced(text), ""), SPACE), lambda c: c != "")
 
 
 def canonical(text: Column) -> Column:
-    """Array of structs (c, v): canonical word and the written one; words of punctuation alone are left out."""
+    """The same words as structs (c, v): canonical and as written."""
     read = spaced(text)
     found = F.regexp_extract_all(canonical_text(read, "\u2400"), F.lit(WORD), F.lit(0))
     pairs = F.arrays_zip(found.alias("c"), words(read).alias("v"))
@@ -91,7 +106,7 @@ def _is_number_word(c: Column) -> Column:
 def read_as(seq: Column, loose: bool) -> Column:
     """The canonical words in one reading."""
     if not loose:
-        return F.transform(seq, lambda c: F.translate(c, LOOSE, ""))
+        return F.transform(seq, lambda c: F.when(c.startswith(LOOSE), F.substring(c, 2, 1 << 30)).otherwise(c))
     units = UNITS.split("|")
 
     def one(c: Column, i: Column) -> Column:
@@ -130,6 +145,29 @@ def _entry(n: int):
     return lambda i: F.struct(F.lit(n).alias("_len"), i.alias("_at"), _hashed(i, n).alias("_key"))
 
 
+def _keys(lengths: list[int]) -> Column:
+    """The keys of all windows of the hashes in _h."""
+    none = F.array().cast("array<bigint>")
+
+    def key(n: int):
+        return lambda h, i: F.xxhash64(h, *(F.get("_h", i + k) for k in range(1, n)))
+
+    each = [F.when(F.size("_h") >= n, F.transform(F.slice("_h", 1, F.size("_h") - (n - 1)), key(n))).otherwise(none) for n in lengths]
+    return each[0] if len(each) == 1 else F.concat(*each)
+
+
+def _lookup_keys(bench: DataFrame, window: int) -> DataFrame:
+    """_key: those of benchmark_windows(), and of each window with a single word read as a name."""
+    place = F.explode(F.sequence(F.lit(0), F.col("_len") - 1)).alias("_j")
+    named = bench.where("not _loose").select("_len", "_canon", place).select("_len", F.transform("_canon", lambda c, i: F.xxhash64(F.when(i == F.col("_j"), F.lit(NAME)).otherwise(c))).alias("_h"))
+    return bench.select("_key").unionByName(named.select(_whole_key(window).alias("_key")))
+
+
+def _whole_key(window: int) -> Column:
+    """The key of all _len hashes in _h."""
+    return F.coalesce(*(F.when(F.col("_len") == n, _hashed(F.lit(0), n)) for n in range(1, window + 1)))
+
+
 def _windows(x: DataFrame, lengths: list[int], keep: list[str]) -> DataFrame:
     """x(_h, ...) -> one row a window: _len, _at, _key."""
     each = [
@@ -157,8 +195,7 @@ def benchmark_windows(items: DataFrame, *, window: int, min_literal: int, item_i
     x = x.select("_item", F.least(F.lit(window), F.size("_seq")).alias("_len"), _read(F.col("_seq"), loose).alias("_read"), F.explode(_usable(F.col("_seq"), window, min_literal)).alias("_at"))
     x = x.withColumn("_win", F.slice("_read", F.col("_at") + 1, F.col("_len"))).withColumn("_canon", F.col("_win")["c"])
     x = x.withColumn("_h", _word_hashes(F.col("_canon")))
-    key = F.coalesce(*(F.when(F.col("_len") == n, _hashed(F.lit(0), n)) for n in range(1, window + 1)))
-    x = x.select("_item", "_at", "_len", key.alias("_key"), "_canon", _slots(F.col("_win")).alias("_pattern"))
+    x = x.select("_item", "_at", "_len", _whole_key(window).alias("_key"), "_canon", _slots(F.col("_win")).alias("_pattern"))
     sizes = x.groupBy("_item").agg(F.count(F.lit(1)).alias("_n"))
     return x.join(sizes, "_item")
 
@@ -171,12 +208,12 @@ def _in_windows(texts: DataFrame, items: DataFrame, *, window: int, min_literal:
     lengths = sorted(r["_len"] for r in bench.select("_len").distinct().collect())  # at most `window` numbers
     if not lengths:
         lengths = [window]
-    keys = stored(bench.select("_len", "_key").distinct(), "keys")
-    # All documents are scanned for keys alone, of both readings at once; words and slots are compared in the few documents with a hit.
-    seq = F.regexp_extract_all(canonical_text(spaced(F.col("_text")), ""), F.lit(WORD), F.lit(0))
-    scan = texts.select("_id", "_th", F.explode(F.array(seq)).alias("_c"))  # a generator: read_as() reads the words several times
-    scan = scan.select("_id", "_th", F.explode(F.array(*(_word_hashes(read_as(F.col("_c"), loose)) for loose in READINGS))).alias("_h"))
-    near = stored(_windows(scan, lengths, ["_id", "_th"]).join(keys, ["_len", "_key"], "left_semi").select("_id", "_th").distinct(), "candidates")
+    keys = stored(_lookup_keys(bench, window).distinct(), "keys")
+    # All documents are scanned for keys alone; words and slots are compared in the few documents with a hit.
+    scan = texts.select("_id", "_th", F.explode(F.array(canonical_words(F.col("_text")))).alias("_c"))  # generators keep what is read several times from being made as often
+    scan = scan.select("_id", "_th", F.explode(F.array(_word_hashes(read_as(F.col("_c"), True)))).alias("_h"))
+    scan = scan.select("_id", "_th", F.explode(_keys(lengths)).alias("_key"))
+    near = stored(scan.join(keys, "_key", "left_semi").select("_id", "_th").distinct(), "candidates")
     x = texts.join(near, ["_id", "_th"], "left_semi").select("_id", "_th", canonical(F.col("_text")).alias("_seq"))
     x = x.select("_id", "_th", F.explode(F.array(*(F.struct(F.lit(loose).alias("_loose"), _read(F.col("_seq"), loose).alias("_seq")) for loose in READINGS))).alias("_r"))
     x = x.select("_id", "_th", "_r.*").withColumn("_h", _word_hashes(F.col("_seq")["c"]))
@@ -193,8 +230,7 @@ def _in_sequence(texts: DataFrame, items: DataFrame, *, window: int, min_literal
     x = items.select(F.col(item_id).alias("_item"), F.col(item_text).alias("_t")).where(t.isNotNull())
     x = x.where(F.size(_usable(canonical(t), window, min_literal)) == 0).select("_item", plain_words(t).alias("_p")).where(F.size("_p") > 0)
     x = x.withColumn("_len", F.least(F.lit(window), F.size("_p"))).withColumn("_h", _word_hashes(F.slice("_p", 1, window)))
-    key = F.coalesce(*(F.when(F.col("_len") == n, _hashed(F.lit(0), n)) for n in range(1, window + 1)))
-    x = stored(x.select("_item", "_len", key.alias("_key"), F.array_join("_p", " ").alias("_said")), "sequences")
+    x = stored(x.select("_item", "_len", _whole_key(window).alias("_key"), F.array_join("_p", " ").alias("_said")), "sequences")
     lengths = sorted(r["_len"] for r in x.select("_len").distinct().collect())  # at most `window` numbers
     if not lengths:
         return None

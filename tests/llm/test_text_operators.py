@@ -394,6 +394,9 @@ def test_decontamination_of_short_and_slotted_items(spark):
         ("yes and no", []),
         ("pages 3-7 of it are missing from the book", [5]),
         ("+ =", []),
+        ("So they said. Pages 3-7 of it are missing from the book", [5]),  # a sentence begins here, though not in the item
+        ("Peter buys seven apples in Oslo.", [2]),
+        ("So Peter's brother carried seven kg of flour home", [3]),
     ]
     docs = spark.createDataFrame([(k, x) for k, (x, _) in enumerate(cases)], "doc_id long, text string")
     got = {r._id: r["items"] for r in decontamination.hits(docs, bench).collect()}
