@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Band centres in nm that the indices refer to.
@@ -40,27 +40,88 @@ def magnitude(a: Column, b: Column, order: int = 2) -> Column:
     return _fold(F.transform(gap, F.abs)) if order == 1 else norm(gap)
 
 
-def _ratio(a: Column, b: Column) -> Column:
+def normalised_difference(a: Column, b: Column) -> Column:
+    """(a - b) / (a + b); NULL where the sum is zero."""
     return F.try_divide(a - b, a + b)
 
 
-#: name -> (bands it needs, formula). A zero denominator gives NULL.
-INDICES = {
-    "ndbi": (("swir1", "nir"), _ratio),
-    "iron_oxide_ratio": (("red", "blue"), F.try_divide),
-    "clay_ratio": (("swir1", "swir2"), F.try_divide),
-    "brightness": (("blue", "green", "red", "nir"), lambda a, b, c, d: (a + b + c + d) / 4),
-    "ndvi": (("nir", "red"), _ratio),
-    "ndwi": (("green", "nir"), _ratio),
-    "nbr": (("nir", "swir2"), _ratio),
-    "bsi": (("swir1", "red", "nir", "blue"), lambda s, r, n, b: _ratio(s + r, n + b)),
-}
+class Bands:
+    """The values of a spectrum by the names of TARGETS, given the band number of each."""
+
+    def __init__(self, spectrum: Column, band_of: dict[str, int]) -> None:
+        self._spectrum, self._band_of = spectrum, band_of
+
+    def __getattr__(self, name: str) -> Column:
+        return F.get(self._spectrum, F.lit(self._band_of[name]))
+
+
+#: name -> formula over Bands, filled by the functions below.
+INDICES: dict = {}
+
+
+def _index(f):
+    INDICES[f.__name__] = f
+    return f
+
+
+@_index
+def ndbi(s: Bands) -> Column:
+    return normalised_difference(s.swir1, s.nir)
+
+
+@_index
+def iron_oxide_ratio(s: Bands) -> Column:
+    return F.try_divide(s.red, s.blue)
+
+
+@_index
+def clay_ratio(s: Bands) -> Column:
+    return F.try_divide(s.swir1, s.swir2)
+
+
+@_index
+def brightness(s: Bands) -> Column:
+    return (s.blue + s.green + s.red + s.nir) / 4
+
+
+@_index
+def ndvi(s: Bands) -> Column:
+    return normalised_difference(s.nir, s.red)
+
+
+@_index
+def ndwi(s: Bands) -> Column:
+    return normalised_difference(s.green, s.nir)
+
+
+@_index
+def nbr(s: Bands) -> Column:
+    return normalised_difference(s.nir, s.swir2)
+
+
+@_index
+def bsi(s: Bands) -> Column:
+    return normalised_difference(s.swir1 + s.red, s.nir + s.blue)
 
 
 def index(name: str, spectrum: Column, band_of: dict[str, int]) -> Column:
     """An index of a spectrum, given the band number of each named colour."""
-    needs, formula = INDICES[name]
-    return formula(*(F.get(spectrum, F.lit(band_of[b])) for b in needs))
+    return INDICES[name](Bands(spectrum, band_of))
+
+
+def index_score(px: DataFrame, names: list[str], band_of: dict[str, int]) -> DataFrame:
+    """scene_id, pix, index: the mean of several indices, each by rank; NULL where one of them is."""
+    from prismal.operators import scoring
+    from prismal.session import stored
+
+    x = stored(px.select("scene_id", "pix", *(index(n, F.col("spectrum"), band_of).alias(n) for n in names)), "indices")
+    return scoring._weighed(x, {n: 1 / len(names) for n in names}, "scene_id").select("scene_id", "pix", F.col("score").alias("index"))
+
+
+def cloudy(spectrum: Column, band_of: dict[str, int], *, blue: float = 0.25, swir1: float = 0.20, ndvi_below: float = 0.20) -> Column:
+    """Bright in blue, dark in the short-wave infrared, no plants; a missing band is no cloud."""
+    s = Bands(spectrum, band_of)
+    return F.coalesce((s.blue > blue) & (s.swir1 < swir1) & (ndvi(s) < ndvi_below), F.lit(False))
 
 
 def rbf(a: Column, b: Column, gamma: float) -> Column:

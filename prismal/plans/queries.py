@@ -187,9 +187,7 @@ def spectral_index_score(spark, d) -> DataFrame:
 def cloud_mask_spectral(spark, d) -> DataFrame:
     """Limits moved to the range of the test spectra."""
     px = scenes.reflectance(scenes.pixels(spark, d))
-    s = F.col("spectrum")
-    rule = (F.get(s, F.lit(BAND_OF["blue"])) > 0.5) & (F.get(s, F.lit(BAND_OF["swir1"])) < 0.6) & (spectral.index("ndvi", s, BAND_OF) < 0.2)
-    return px.select("pix", F.coalesce(rule, F.lit(False)).alias("cloudy"))
+    return px.select("pix", spectral.cloudy(F.col("spectrum"), BAND_OF, blue=0.5, swir1=0.6).alias("cloudy"))
 
 
 @query("SELECT p_partkey AS pix, p_size % 12 AS scl, p_size % 12 IN (3, 8, 9, 10) AS cloudy FROM part")
