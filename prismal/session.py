@@ -6,6 +6,7 @@ import hashlib
 import io
 import uuid
 import zipfile
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -48,6 +49,23 @@ def ship(spark: SparkSession) -> None:
     spark.sparkContext.addPyFile(put(spark, f"prismal-{hashlib.sha256(data).hexdigest()[:16]}.zip", data))
 
 
+#: While a stage() is being set up, the paths that it stores; and those of the stage before, which nothing reads any more once the next one begins.
+_open: list[list[str]] = []
+_left: list[str] = []
+
+
+@contextmanager
+def stage(spark: SparkSession):
+    """Tables stored inside are deleted when the next stage begins: by then its result must have been written and read back."""
+    while _left:
+        _deleted(spark, _left.pop())
+    _open.append([])
+    try:
+        yield
+    finally:
+        _left.extend(_open.pop())
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write `df` to the shared scratch folder and read it back.
 
@@ -56,17 +74,23 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     it computes `df` once.
     """
     path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    if _open:
+        _open[-1].append(path)
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._stored_at = path
     return out
 
 
+def _deleted(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def forget(*tables: DataFrame) -> None:
     """Delete what stored() wrote for these; nothing that is still to be computed may read them."""
     for df in tables:
-        path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df._stored_at)
-        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _deleted(df.sparkSession, df._stored_at)
 
 
 def cut(df: DataFrame) -> DataFrame:
