@@ -4,6 +4,7 @@ import re
 
 import corpus_pipeline as cp
 import pytest
+from pyspark.sql import functions as F
 
 from prismal.llm import quality
 from prismal.session import stored
@@ -121,3 +122,26 @@ def test_mix_of_repeated_rows(spark, sf_dir):
     for source in "stu":
         own = [r for r in got if r.source == source]
         assert abs(sum(r.taken for r in own) - own[0].target) <= 64, source
+
+
+def test_extra_columns_travel_along(spark, sf_dir):
+    """Columns with the stages' own names change nothing and come out as they went in."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    names = ["_row", "_docs", "_id", "_th", "_text", "_counts", "n_words", "kept", "n_lines", "_c", "component_id", "_hit", "_src", "_q", "votes"]
+    dressed = docs.select("*", *(F.concat(F.lit(f"{c} of "), F.col("doc_id").cast("string")).alias(c) for c in names))
+    plain = docs
+    for name, stage in cp.STAGES[:-1]:
+        plain, dressed = stored(stage(spark, plain, sf_dir), "plain"), stored(stage(spark, dressed, sf_dir), "dressed")
+        assert dressed.columns == [*docs.columns, *names], name
+        assert {tuple(r) for r in dressed.select(docs.columns).collect()} == {tuple(r) for r in plain.collect()}, name
+        assert all(r[0] == f"_row of {r[1]}" for r in dressed.select("_row", "doc_id").collect()), name
+    last = cp.STAGES[-1][1]
+    taken = {r.doc_id: r.taken for r in last(spark, plain, sf_dir).collect()}
+    assert {r.doc_id: r.taken for r in last(spark, dressed, sf_dir).collect()} == taken
+
+
+def test_empty_table(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0)
+    for _, stage in cp.STAGES:
+        docs = stored(stage(spark, docs, sf_dir), "none")
+        assert docs.count() == 0
