@@ -16,8 +16,16 @@ words in the mix come from its two ends alone, without a row for each block.
 A shard holds about `shard_words` words, so that a source with most of the
 corpus is still spread over many tasks.
 
-Null texts have size 0; a null source is a source of its own and comes last;
-rows that repeat an id are separate documents; an empty table gives no rows.
+The sources are apportioned in one task, a row each: that is meant for sources
+that are counted in thousands, not for one a host. Nothing else is: a source's
+shards and their documents are dealt by (source, shard).
+
+Null and empty texts have size 0; a null source is a source of its own and comes
+last; rows that repeat an id are separate documents, and rows that agree in all
+that is read take what they take together in any order; an empty table gives no
+rows. A very long text is one document, of which the mix takes words of some
+blocks more often than of others. Only the columns that are named are read, so
+that others can't clash.
 """
 
 from __future__ import annotations

@@ -31,7 +31,8 @@ Windows are judged on the input. Words keep their spelling; a window lies in
 one document. Null and empty texts have no words; texts shorter than a window
 lose none; rows that repeat an id and text are documents of their own, and
 repeat each other; rows that share an id with other texts are told apart; an
-empty table gives no rows.
+empty table gives no rows. A very long text is one row of an Arrow batch. Only
+the columns that are named are read, so that others can't clash.
 """
 
 from __future__ import annotations

@@ -8,19 +8,23 @@ off (and perhaps more), and reading goes on at the node of what is left. Both
 are computed once, in order of depth, so that a word costs time linear in its
 bytes (the LinMaxMatch construction of Song et al., 2021).
 
-The vocabulary is that of a public byte-level tokenizer, read from a path that
-is a parameter; its first pieces carry a leading blank, so that a word is
+The vocabulary is that of a public byte-level tokenizer, read by the driver from
+a path that is a parameter, put into the shared folder and handed to every
+executor; its first pieces carry a leading blank, so that a word is
 matched as blank + word. It holds all single bytes: every word has a split.
 
 All different words of an Arrow batch advance together, a byte a step, over
 flat arrays; words beyond LONG bytes are walked one by one. Memory is bounded
 by the batch. Null and empty texts have no words and no tokens; rows are
-counted one by one, whatever their id; other columns are left alone.
+counted one by one, whatever their id, so that repeated rows agree; an empty
+table gives no rows. Other columns are left alone, but those named n_words and
+n_tokens, which the results replace.
 """
 
 from __future__ import annotations
 
 import base64
+import hashlib
 from collections import deque
 from functools import lru_cache
 from pathlib import Path
@@ -28,11 +32,12 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prismal.llm.common import steps, token_table
-from prismal.session import ship
+from prismal.session import put, ship
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 LONG = 512
@@ -147,12 +152,16 @@ def word_lengths(machine: Automaton, distinct: pa.Array) -> np.ndarray:
 
 def counted(docs: DataFrame, *, vocabulary: str = VOCABULARY, text_col: str = "text") -> DataFrame:
     """docs with n_words and n_tokens in place of the text."""
-    ship(docs.sparkSession)
+    spark = docs.sparkSession
+    ship(spark)
+    data = Path(vocabulary).read_bytes()
+    name = f"vocabulary-{hashlib.sha256(data).hexdigest()[:24]}"
+    spark.sparkContext.addFile(put(spark, name, data))
     kept = [c for c in docs.columns if c not in (text_col, "n_words", "n_tokens")]
     schema = docs.select(*kept, F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_tokens")).schema
 
     def run(batches):
-        machine = automaton(vocabulary)
+        machine = automaton(SparkFiles.get(name))
         for whole in batches:
             for batch in steps(whole, text_col):
                 offsets, word, distinct = token_table(batch.column(batch.schema.get_field_index(text_col)))

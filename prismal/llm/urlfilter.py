@@ -16,8 +16,11 @@ host). A url that no entry fits gets `default`: it isn't on the list.
 
 The host is what follows the first ://, up to /, ? or # or the end, with A-Z
 in lower case; the path goes on up to ? or # or the end, unchanged. Null urls and those
-without :// have both empty and get the default. Rows are judged one by one;
-an empty list gives every url the default.
+without :// have both empty and get the default. Rows are judged one by one,
+repeated ones alike; an empty list gives every url the default; an empty table
+gives no rows. A very long host or path costs no more probes than the list has
+lengths: suffixes longer than the longest listed host and prefixes that no
+entry's path has aren't probed. Only the two columns that are named are read.
 """
 
 from __future__ import annotations
@@ -44,11 +47,11 @@ RULES = (
 )
 SCHEMA = "page_id bigint, host string, path string, rule string, verdict string"
 _LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
-_HEAD = struct.Struct("<QQ")
+_HEAD = struct.Struct("<QQQ")
 
 
 def packed(rules) -> bytes:
-    """The file's bytes: counts, path lengths, keys, text offsets, verdicts, texts. A rule given twice must have one verdict."""
+    """The file's bytes: counts, the longest host, path lengths, keys, text offsets, verdicts, texts. A rule given twice must have one verdict."""
     table: dict[bytes, bool] = {}
     for host, path, verdict in rules:
         text = (host.translate(_LOWER) + path).encode()
@@ -59,7 +62,8 @@ def packed(rules) -> bytes:
     ends = np.cumsum([0, *map(len, order)], dtype=np.int64)
     keys = np.array([xxhash.xxh64_intdigest(t) for t in order], np.uint64)
     verdicts = np.array([table[t] for t in order], np.uint8)
-    return b"".join([_HEAD.pack(len(order), len(lengths)), lengths.tobytes(), keys.tobytes(), ends.tobytes(), verdicts.tobytes(), *order])
+    longest = max((len(host) for host, _, _ in rules), default=0)
+    return b"".join([_HEAD.pack(len(order), len(lengths), longest), lengths.tobytes(), keys.tobytes(), ends.tobytes(), verdicts.tobytes(), *order])
 
 
 class DigestArray:
@@ -67,7 +71,7 @@ class DigestArray:
 
     def __init__(self, path: str) -> None:
         raw = np.memmap(path, np.uint8, "r")
-        n, m = _HEAD.unpack(raw[: _HEAD.size].tobytes())
+        n, m, self.longest = _HEAD.unpack(raw[: _HEAD.size].tobytes())
         at = _HEAD.size
         self.lengths = raw[at : at + 8 * m].view(np.int64)
         at += 8 * m
@@ -116,11 +120,14 @@ def split_url(url: str | None) -> tuple[str, str]:
     return host, rest[:end]
 
 
-def _suffixes(host: str):
-    yield host
-    while "." in host:
-        host = host.partition(".")[2]
+def _suffixes(host: str, longest: int):
+    """The host and what follows each of its dots, up to a length."""
+    if len(host) <= longest:
         yield host
+    at = host.find(".", max(0, len(host) - longest - 1))
+    while at >= 0:
+        yield host[at + 1 :]
+        at = host.find(".", at + 1)
 
 
 def filtered(pages: DataFrame, rules=RULES, *, default: str = "allow", id_col: str = "page_id", url_col: str = "url") -> DataFrame:
@@ -138,7 +145,7 @@ def filtered(pages: DataFrame, rules=RULES, *, default: str = "allow", id_col: s
             for i, (host, path) in enumerate(urls):
                 if not host:
                     continue
-                for suffix in _suffixes(host):
+                for suffix in _suffixes(host, array.longest):
                     for n in lengths:
                         if n <= len(path):
                             probes.append((suffix + path[:n]).encode())

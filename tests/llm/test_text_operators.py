@@ -209,6 +209,16 @@ def test_url_filter(spark, sf_dir):
     same(rows(urlfilter.filtered(odd, []), "verdict"), [("allow",)] * odd.count())
 
 
+def test_url_filter_of_long_hosts(spark):
+    """A host of many labels and a path of a megabyte, in linear time."""
+    began = time.time()
+    urls = ["http://" + "a." * 50_000 + "example.com/en/x", "http://" + "b" * 500_000 + "/en/", "http://example.com/en/" + "x/" * 500_000, "http://www.example.com/en/", None, "no scheme", "http://" + "." * 20_000]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: (r.rule, r.verdict) for r in urlfilter.filtered(pages).collect()}
+    assert got == {0: ("example.com/en/", "block"), 1: (None, "allow"), 2: ("example.com/en/", "block"), 3: ("www.example.com/en/", "allow"), 4: (None, "allow"), 5: (None, "allow"), 6: (None, "allow")}
+    assert time.time() - began < 60
+
+
 def test_digest_collisions(tmp_path):
     import numpy as np
 
