@@ -30,9 +30,9 @@ a whole. Items without a window of `min_literal` literal words are found where
 the document has their exact sequence of lower-cased words; one of a single
 word, where that is the whole document.
 
-The keys of the benchmark's windows are written to the shared folder and read
-back: Catalyst broadcasts them if their true size is under the threshold, and
-otherwise joins by hash. Only hits leave the scan of the documents.
+The keys of the benchmark's windows are written to the shared folder and counted:
+up to BROADCAST_KEYS of them (8 bytes each) are broadcast, so that only hits
+leave the scan of the documents; more are joined by hash.
 
 Null and empty texts match nothing, nor does an empty table; a null doc_id is
 returned with its own verdict; repeated rows get equal verdicts; an item on the
@@ -54,6 +54,9 @@ MIN_LITERAL = 4
 SHARE = 0.2
 ENOUGH = 8
 
+#: Keys of the benchmark that are broadcast at most, 16 MB or so.
+BROADCAST_KEYS = 1_000_000
+
 NUMBER, UNIT, NAME = "①", "②", "③"
 #: Before a word that is a name by the loose reading alone.
 LOOSE = "④"
@@ -209,6 +212,7 @@ def _in_windows(texts: DataFrame, items: DataFrame, *, window: int, min_literal:
     if not lengths:
         lengths = [window]
     keys = stored(_lookup_keys(bench, window).distinct(), "keys")
+    keys = F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
     # All documents are scanned for keys alone; words and slots are compared in the few documents with a hit.
     scan = texts.select("_id", "_th", F.explode(F.array(canonical_words(F.col("_text")))).alias("_c"))  # generators keep what is read several times from being made as often
     scan = scan.select("_id", "_th", F.explode(F.array(_word_hashes(read_as(F.col("_c"), True)))).alias("_h"))
