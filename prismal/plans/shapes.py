@@ -59,7 +59,7 @@ def gate_audit(spark, d) -> DataFrame:
     return regions.audit(dropped, _TEST_PROFILE).groupBy(F.get_json_object("record", "$.failing_criterion").alias("failing_criterion")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT name, max_area, scene_px, CASE WHEN max_area IS NULL THEN NULL ELSE least(max_area, 0.5 * scene_px) END AS resolved FROM (VALUES ('object', 2000.0), ('landcover', NULL)) p(name, max_area), (SELECT CAST(unnest([1000, 4096, 90000]) AS BIGINT) AS scene_px)")
+@query("SELECT name, max_area, scene_px, CASE WHEN max_area IS NULL THEN NULL ELSE least(max_area, 0.5::DOUBLE * scene_px) END AS resolved FROM (VALUES ('object', 2000.0::DOUBLE), ('landcover', NULL)) p(name, max_area), (SELECT CAST(unnest([1000, 4096, 90000]) AS BIGINT) AS scene_px)")
 def resolved_profile(spark, d) -> DataFrame:
     sizes = spark.createDataFrame([(1000,), (4096,), (90000,)], "scene_px long")
     each = [sizes.select(F.lit(n).alias("name"), F.lit(regions.profile_of(n)["max_area_px"]).cast("double").alias("max_area"), "scene_px", regions.resolved_max(regions.profile_of(n), F.col("scene_px")).cast("double").alias("resolved")) for n in ("object", "landcover")]
