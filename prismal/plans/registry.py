@@ -20,4 +20,4 @@ def query(sql: str | None = None):
 
 def load() -> None:
     """Import every module of queries."""
-    from prismal.plans import archive, evaluation, models, queries, shapes, strips  # noqa: F401
+    from prismal.plans import archive, evaluation, models, patches, queries, shapes, strips  # noqa: F401
