@@ -78,30 +78,35 @@ def model(px: DataFrame, *, reg: float = 1e-6, relative: bool = True) -> DataFra
     return means.join(solved, "scene_id").select("scene_id", "n", "mean", "whitener")
 
 
+#: Pixels of one scene that a task scores at a time, roughly.
+CHUNK = 8192
+
+
 def whitened(px: DataFrame, fitted: DataFrame, score, *, extra: list[str] = (), out: str = "score") -> DataFrame:
-    """px(scene_id, pix, r, c) with score(white pixels, white extras) per pixel; missing pixels stay missing."""
+    """px(scene_id, pix, r, c) with score(white pixels, white extras) per pixel; missing pixels stay missing.
+
+    Pixels are dealt into chunks of their scene, and the model (B * B doubles)
+    meets each chunk once, not each pixel.
+    """
     ship(px.sparkSession)
     keep = ["scene_id", "pix", "r", "c"]
-    x = px.where(F.col("spectrum").isNotNull()).join(fitted, "scene_id").select(*keep, "spectrum", "mean", "whitener", *extra)
-
-    def run(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            scenes = batch.column(0).dictionary_encode()
-            codes = scenes.indices.to_numpy(zero_copy_only=False)
-            result = np.zeros(batch.num_rows)
-            for k in range(len(scenes.dictionary)):
-                rows = np.flatnonzero(codes == k)
-                index, one = pa.array(rows), pa.array(rows[:1])
-                mean = stacked(batch.column(5).take(one))[0]
-                whitener = stacked(batch.column(6).take(one))[0].reshape(len(mean), -1)
-                white = (stacked(batch.column(4).take(index)) - mean) @ whitener.T
-                more = [whitener @ (stacked(batch.column(7 + e).take(one))[0] - mean) for e in range(len(extra))]
-                result[rows] = score(white, *more)
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(4)), pa.array(result)], names=[*keep, out])
-
-    scored = x.mapInArrow(run, f"scene_id string, pix bigint, r bigint, c bigint, {out} double")
+    chunks = F.greatest(F.lit(1), F.ceil(F.col("n") / CHUNK)).cast("long")
+    counts = fitted.select(F.col("scene_id").alias("_scene"), chunks.alias("_chunks"))  # one row a scene
+    valid = px.where(F.col("spectrum").isNotNull()).join(counts, F.col("scene_id") == F.col("_scene"))
+    dealt = valid.select(*keep, "spectrum", F.pmod(F.xxhash64("pix"), "_chunks").alias("_chunk"))
+    models = fitted.select(F.col("scene_id").alias("_scene"), "mean", "whitener", *extra, F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)).alias("_of"))
+
+    def run(part: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
+        if not len(part) or not len(model):
+            return part[keep].iloc[:0].assign(**{out: pd.Series(dtype=float)})
+        one = model.iloc[0]
+        mean = np.asarray(one["mean"], float)
+        whitener = np.asarray(one["whitener"], float).reshape(len(mean), -1)
+        white = (np.stack(part["spectrum"].to_list()) - mean) @ whitener.T
+        more = [whitener @ (np.asarray(one[e], float) - mean) for e in extra]
+        return part[keep].assign(**{out: score(white, *more)})
+
+    scored = dealt.groupBy("scene_id", "_chunk").cogroup(models.groupBy("_scene", "_of")).applyInPandas(run, f"scene_id string, pix bigint, r bigint, c bigint, {out} double")
     missing = px.where(F.col("spectrum").isNull()).select(*keep, F.lit(None).cast("double").alias(out))
     return scored.unionByName(missing)
 

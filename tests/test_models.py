@@ -230,3 +230,25 @@ def test_sample_weights_restore_the_prevalence(spark):
     px = spark.range(1000).select(F.lit("s").alias("scene_id"), F.col("id").alias("pix"), (F.col("id") % 50 == 0).alias("gt"))
     got = evaluation.natural_sample(px, 70).collect()
     assert sum(r.gt for r in got) == 20 and len(got) == 90 and sum(r.weight for r in got if not r.gt) == pytest.approx(980)
+
+
+def test_patches_that_must_raise(spark):
+    from prismal.operators import patches
+
+    with pytest.raises(ValueError):
+        patches.held_out("abu", "train", wavelengths=True)
+    with pytest.raises(ValueError):
+        patches.held_out("abu", "eval", wavelengths=False)
+    patches.held_out("had100", "eval", wavelengths=True)
+    with pytest.raises(Exception, match="different bands"):
+        patches.pooled(table(spark, np.ones((2, 2, 3))), table(spark, np.ones((2, 2, 4)))).collect()
+    assert patches.scan_windows(9, 8, 8) == [(0, 0, 0)] and patches.scan_windows(10, 8, 8) == [(0, 0, 0), (1, 8, 0)]
+
+
+def test_a_chunk_at_a_time(spark, monkeypatch):
+    from prismal.operators import moments
+
+    px = table(spark, RNG.normal(size=(12, 12, 4)))
+    whole = {r.pix: r.score for r in detectors.global_rx(px).collect()}
+    monkeypatch.setattr(moments, "CHUNK", 20)
+    assert {r.pix: r.score for r in detectors.global_rx(px).collect()} == pytest.approx(whole)
