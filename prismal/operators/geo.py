@@ -4,8 +4,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
+
+from prismal.session import ship
 
 #: The WGS84 ellipsoid and the UTM scale.
 A, FLAT, K0 = 6378137.0, 1 / 298.257223563, 0.9996
@@ -19,8 +24,8 @@ def world(transform: dict[str, float], row: Column, col: Column, *, centre: bool
     return transform["a"] * c + transform["b"] * r + transform["c"], transform["d"] * c + transform["e"] * r + transform["f"]
 
 
-def utm_to_wgs84(x: Column, y: Column, zone: int, *, north: bool = True) -> tuple[Column, Column]:
-    """(longitude, latitude) in degrees by the Krueger series, to well under a millimetre within a zone."""
+def utm_to_wgs84(x: Column, y: Column, zone: int, *, north: bool = True, of=F) -> tuple[Column, Column]:
+    """(longitude, latitude) in degrees by the Krueger series, to well under a millimetre within a zone. With of=np, of arrays."""
     n = FLAT / (2 - FLAT)
     radius = A / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
     beta = (n / 2 - 2 * n**2 / 3 + 37 * n**3 / 96, n**2 / 48 + n**3 / 15, 17 * n**3 / 480)
@@ -29,23 +34,23 @@ def utm_to_wgs84(x: Column, y: Column, zone: int, *, north: bool = True) -> tupl
     eta = (x - 500000.0) / (K0 * radius)
     xi1, eta1 = xi, eta
     for j, b in enumerate(beta, 1):
-        xi1 = xi1 - b * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
-        eta1 = eta1 - b * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
-    chi = F.asin(F.sin(xi1) / F.cosh(eta1))
+        xi1 = xi1 - b * of.sin(2 * j * xi) * of.cosh(2 * j * eta)
+        eta1 = eta1 - b * of.cos(2 * j * xi) * of.sinh(2 * j * eta)
+    chi = of.asin(of.sin(xi1) / of.cosh(eta1))
     lat = chi
     for j, d in enumerate(delta, 1):
-        lat = lat + d * F.sin(2 * j * chi)
-    lon = F.lit(zone * 6 - 183.0) + F.degrees(F.atan2(F.sinh(eta1), F.cos(xi1)))
-    return lon, F.degrees(lat)
+        lat = lat + d * of.sin(2 * j * chi)
+    lon = (zone * 6 - 183.0) + of.degrees(of.atan2(of.sinh(eta1), of.cos(xi1)))
+    return lon, of.degrees(lat)
 
 
-def equal_area(lon: Column, lat: Column) -> tuple[Column, Column]:
-    """Cylindrical equal-area coordinates with true scale at 30 degrees."""
-    s = F.sin(F.radians(lat))
+def equal_area(lon: Column, lat: Column, *, of=F) -> tuple[Column, Column]:
+    """Cylindrical equal-area coordinates with true scale at 30 degrees. With of=np, of arrays."""
+    s = of.sin(of.radians(lat))
     e = np.sqrt(E2)
     k0 = np.cos(np.radians(30)) / np.sqrt(1 - E2 * np.sin(np.radians(30)) ** 2)
-    q = (1 - E2) * (s / (1 - E2 * s * s) - F.log((1 - e * s) / (1 + e * s)) / (2 * e))
-    return A * k0 * F.radians(lon), A * q / (2 * k0)
+    q = (1 - E2) * (s / (1 - E2 * s * s) - of.log((1 - e * s) / (1 + e * s)) / (2 * e))
+    return A * k0 * of.radians(lon), A * q / (2 * k0)
 
 
 def ring_area(xs: Column, ys: Column) -> Column:
@@ -80,7 +85,11 @@ def perimeter(rings: DataFrame, lons: str, lats: str) -> DataFrame:
 
     @F.pandas_udf("double")
     def length(lon: pd.Series, lat: pd.Series) -> pd.Series:
-        return pd.Series([float(geodesic(np.asarray(x[:-1], float), np.asarray(y[:-1], float), np.asarray(x[1:], float), np.asarray(y[1:], float)).sum()) for x, y in zip(lon, lat)])
+        n = np.array([max(0, len(x) - 1) for x in lon], np.int64)
+        ends = lambda v, part: np.concatenate([np.zeros(0), *(np.asarray(x[part], float) for x in v)])
+        first, last = slice(None, -1), slice(1, None)
+        each = geodesic(ends(lon, first), ends(lat, first), ends(lon, last), ends(lat, last))  # the sides of all rings at once
+        return pd.Series(np.bincount(np.repeat(np.arange(len(n)), n), each, len(n)))
 
     return rings.withColumn("perimeter_m", length(lons, lats))
 
@@ -130,18 +139,56 @@ def polygon_area(rings: Column) -> Column:
 def placed(outlines: DataFrame, transform: dict[str, float], zone: int | None, *, north: bool = True) -> DataFrame:
     """outlines(rings in pixels) with the polygon in degrees, its size in square metres, its geodesic perimeter and its centre.
 
-    With a zone the grid is in UTM metres, without one in degrees.
+    With a zone the grid is in UTM metres, without one in degrees. The corners of a batch are worked out together.
     """
-    def moved(ring: Column, to) -> Column:
-        return F.transform(ring, lambda p: F.array(*to(F.get(p, F.lit(0)), F.get(p, F.lit(1)))))
-
-    def degrees(col: Column, row: Column) -> tuple[Column, Column]:
-        x, y = world(transform, row, col, centre=False)
-        return (x, y) if zone is None else utm_to_wgs84(x, y, zone, north=north)
-
-    x = outlines.withColumn("polygon", F.transform("rings", lambda ring: moved(ring, degrees)))
-    equal = F.transform("polygon", lambda ring: moved(ring, equal_area))
-    lon, lat = centroid(F.col("polygon"))
-    outer = F.get("polygon", F.lit(0))
-    x = x.withColumns({"area": polygon_area(equal), "lon": lon, "lat": lat, "_x": F.transform(outer, lambda p: F.get(p, F.lit(0))), "_y": F.transform(outer, lambda p: F.get(p, F.lit(1)))})
-    return perimeter(x, "_x", "_y").withColumnRenamed("perimeter_m", "perimeter").drop("_x", "_y")
+    ship(outlines.sparkSession)
+
+    def measured(batches):
+        for batch in batches:
+            rings = batch.column(batch.schema.get_field_index("rings"))
+            n_rings = pc.fill_null(pc.list_value_length(rings), 0).to_numpy(zero_copy_only=False)
+            each = rings.flatten()
+            n_points = pc.list_value_length(each).to_numpy(zero_copy_only=False)
+            col, row = each.flatten().flatten().to_numpy(zero_copy_only=False).reshape(-1, 2).T
+            x, y = world(transform, row, col, centre=False)
+            lon, lat = (x, y) if zone is None else utm_to_wgs84(x, y, zone, north=north, of=np)
+            bound = lambda n: pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32())
+            points = pa.ListArray.from_arrays(pa.array(np.arange(0, 2 * len(lon) + 1, 2), pa.int32()), np.stack([lon, lat], 1).ravel())
+            polygon = pa.ListArray.from_arrays(bound(n_rings), pa.ListArray.from_arrays(bound(n_points), points))
+            out = dict(zip(batch.schema.names, batch.columns)) | {"polygon": polygon}
+            missing = n_rings == 0
+            for name, v in _sizes(lon, lat, n_rings, n_points).items():
+                out[name] = pa.array(v, pa.float64(), mask=missing)
+            yield pa.RecordBatch.from_pydict(out)
+
+    kinds = StructType([*outlines.schema.fields, StructField("polygon", ArrayType(ArrayType(ArrayType(DoubleType())))), *(StructField(x, DoubleType()) for x in ("area", "lon", "lat", "perimeter"))])
+    return outlines.mapInArrow(measured, kinds)
+
+
+def _sizes(lon: np.ndarray, lat: np.ndarray, n_rings: np.ndarray, n_points: np.ndarray) -> dict[str, np.ndarray]:
+    """By polygon its area, its centre of area and the perimeter of its outer ring, of closed rings, the outer ones first, then holes."""
+    home = np.repeat(np.arange(len(n_rings)), n_rings)  # of each ring
+    outer = np.diff(home, prepend=-1) > 0
+    ring = np.repeat(np.arange(len(n_points)), n_points)  # of each point
+    side = np.flatnonzero(ring[1:] == ring[:-1])  # points with a next one in their ring
+    by = ring[side]
+    in_ring = lambda v: np.bincount(by, v, len(n_points))
+    in_polygon = lambda v: np.bincount(home, v, len(n_rings))
+    start = np.concatenate([[0], np.cumsum(n_points)])[:-1]
+    first = np.zeros(len(n_rings), np.int64)
+    first[home[outer]] = start[outer]
+    x, y = equal_area(lon, lat, of=np)
+    x, y = x - x[first[home[ring]]], y - y[first[home[ring]]]
+    area = np.abs(in_ring(x[side] * y[side + 1] - x[side + 1] * y[side])) / 2
+    # The outer ring counts, holes count against it, whichever way they turn.
+    u, v = lon - lon[first[home[ring]]], lat - lat[first[home[ring]]]
+    cross = u[side] * v[side + 1] - u[side + 1] * v[side]
+    turned = in_ring(cross)
+    sign = np.where((turned > 0) == outer, 1.0, -1.0)
+    weight = 3 * in_polygon(sign * turned)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        mid = [in_polygon(sign * in_ring((w[side] + w[side + 1]) * cross)) / weight for w in (u, v)]
+    around = side[outer[by]]
+    length = np.bincount(home[ring[around]], geodesic(lon[around], lat[around], lon[around + 1], lat[around + 1]), len(n_rings))
+    origin = lambda w: w[first] if len(w) else np.zeros(len(n_rings))
+    return {"area": in_polygon(np.where(outer, area, -area)), "lon": origin(lon) + mid[0], "lat": origin(lat) + mid[1], "perimeter": length}

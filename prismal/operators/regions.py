@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from prismal.operators.windows2d import neighbours
 from prismal.schema import FEATURE_KEYS
-from prismal.session import cut, ship
+from prismal.session import cut, ship, stored
 
 EIGHT = [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1) if (i, j) != (0, 0)]
 FOUR = [(-1, 0), (1, 0), (0, -1), (0, 1)]
@@ -37,22 +40,112 @@ def smallest_reachable(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(x.select(F.col("u").alias("id"), F.col("v").alias("_v")), "id", "left").select("id", F.coalesce("_v", "id").alias("label"))
 
 
+#: Side of a tile in pixels; rows that a task takes at once, in whole tiles or regions; edges that one task joins at most.
+TILE, CHUNK, IN_ONE_TASK = 256, 1 << 17, 1 << 18
+
+
+def united(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each of n nodes the smallest one that it reaches over the edges a[i] - b[i]."""
+    root = np.arange(n)
+    while len(a):
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while (root != (further := root[root])).any():
+            root = further
+        a, b = root[a], root[b]
+        a, b = a[a != b], b[a != b]
+    return root
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], least: int = CHUNK) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of `least` rows or more with whole groups of rows, which come sorted by `keys`; and the number of each row's group."""
+    held, rows, wanted = [], 0, least
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows < wanted:
+            continue
+        table = pa.Table.from_batches(held).combine_chunks()
+        group = _numbered(table, keys)
+        end = int(np.searchsorted(group, group[-1]))
+        if end:
+            yield table.slice(0, end), group[:end]
+        held = table.slice(end).to_batches()
+        rows -= end
+        wanted = max(least, 2 * rows)
+    if rows:
+        table = pa.Table.from_batches(held).combine_chunks()
+        yield table, _numbered(table, keys)
+
+
+def _numbered(table: pa.Table, keys: list[str]) -> np.ndarray:
+    new = np.zeros(table.num_rows, bool)
+    for k in keys:
+        code = table[k].combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+        new[1:] |= code[1:] != code[:-1]
+    return np.cumsum(new)
+
+
+def _ints(table: pa.Table, *columns: str) -> list[np.ndarray]:
+    return [table[c].to_numpy().astype(np.int64) for c in columns]
+
+
 def connected_components(mask: DataFrame, *, connectivity: int = 8, width: int = 1 << 20) -> DataFrame:
-    """scene_id, r, c, label for pixels with m = 1; labels 1, 2, ... follow each component's first pixel in row order."""
+    """scene_id, r, c, label for pixels with m = 1; labels 1, 2, ... follow each component's first pixel in row order.
+
+    Pixels meet their neighbours inside of a tile in one task; only edges between tiles go on to the star rounds, or to
+    one task if they are few.
+    """
     if connectivity not in (4, 8):
         raise ValueError("connectivity is 4 or 8")
+    ship(mask.sparkSession)
     outside = (F.col("r") < 0) | (F.col("r") >= width) | (F.col("c") < 0) | (F.col("c") >= width)
     checked = F.when(outside, F.raise_error(F.lit("a pixel lies outside of the width"))).otherwise(F.col("r"))
-    on = mask.where("m = 1").select("scene_id", checked.alias("r"), "c")
+    on = stored(mask.where("m = 1").select("scene_id", checked.cast("long").alias("r"), F.col("c").cast("long").alias("c")), "on")
     scene = F.dense_rank().over(Window.partitionBy(F.lit(0)).orderBy("scene_id")) - 1
-    scenes = on.select("scene_id").distinct().withColumn("_k", scene)  # one row a scene
-    on = on.join(scenes, "scene_id").withColumn("id", (F.col("_k") * width + F.col("r")) * width + F.col("c"))
-    # Edges point one way; the star rounds see both ends.
+    scenes = on.select("scene_id").distinct().withColumn("_k", scene.cast("long"))  # one row a scene
+    # Edges point one way; either end of one is found by its other end.
     half = [o for o in (FOUR if connectivity == 4 else EIGHT) if o > (0, 0)]
-    edges = neighbours(on, half, ["id"]).join(on.select("scene_id", "r", "c", "id"), ["scene_id", "r", "c"]).select(F.col("id").alias("a"), F.col("n_id").alias("b"))
-    found = on.join(smallest_reachable(on.select("id"), edges).withColumnRenamed("label", "first"), "id")
-    order = found.select("scene_id", "first").distinct().withColumn("label", F.row_number().over(Window.partitionBy("scene_id").orderBy("first")))
-    return found.join(order, ["scene_id", "first"]).select("scene_id", "r", "c", "label")
+
+    def inside(batches):
+        for table, _ in whole_groups(batches, ["_k", "_tr", "_tc"]):
+            k, r, c = _ints(table, "_k", "r", "c")
+            ids, at = np.unique((k * width + r) * width + c, return_inverse=True)
+            rr, cc = ids // width % width, ids % width
+            a, b = [], []
+            for i, j in half:
+                near = np.flatnonzero((rr + i < width) & (cc + j >= 0) & (cc + j < width))
+                found = np.searchsorted(ids, ids[near] + i * width + j)
+                hit = ids[np.minimum(found, len(ids) - 1)] == ids[near] + i * width + j
+                a.append(near[hit])
+                b.append(found[hit])
+            root = ids[united(len(ids), np.concatenate(a), np.concatenate(b))]
+            yield pa.RecordBatch.from_pydict({"scene_id": table["scene_id"].combine_chunks(), "r": r, "c": c, "id": ids[at], "root": root[at]})
+
+    tile = lambda x: F.floor(F.col(x) / TILE).cast("long")
+    dealt = on.join(F.broadcast(scenes), "scene_id").select("scene_id", "_k", "r", "c", tile("r").alias("_tr"), tile("c").alias("_tc")).repartition("_k", "_tr", "_tc").sortWithinPartitions("_k", "_tr", "_tc")
+    tiles = stored(dealt.mapInArrow(inside, "scene_id string, r long, c long, id long, root long"), "tiles")
+    side = lambda x: (F.col(x) % TILE).isin(0, TILE - 1)
+    rim = tiles.where(side("r") | side("c"))
+    edges = stored(neighbours(rim, half, ["root"]).join(rim.select("scene_id", "r", "c", "root"), ["scene_id", "r", "c"]).where("root <> n_root").select(F.col("root").alias("a"), F.col("n_root").alias("b")).distinct(), "edges")
+
+    def across(batches):
+        if ends := [_ints(pa.Table.from_batches([x]), "a", "b") for x in batches]:
+            ids, at = np.unique(np.concatenate([np.concatenate([a for a, _ in ends]), np.concatenate([b for _, b in ends])]), return_inverse=True)
+            root = united(len(ids), at[: len(at) // 2], at[len(at) // 2 :])
+            yield pa.RecordBatch.from_pydict({"id": ids, "label": ids[root]})
+
+    if edges.count() <= IN_ONE_TASK:
+        moved = edges.coalesce(1).mapInArrow(across, "id long, label long")
+    else:
+        ends = edges.select(F.col("a").alias("id")).union(edges.select(F.col("b").alias("id"))).distinct()
+        moved = smallest_reachable(ends, edges)
+    found = tiles.join(moved.select(F.col("id").alias("root"), F.col("label").alias("_to")), "root", "left").select("scene_id", "r", "c", "id", F.coalesce("_to", "root").alias("first"))
+    # A component counts in the row of its first pixel: rows before, then those before it in the row.
+    heads = found.where("id = first").select("scene_id", "r", "first").distinct()
+    rows = heads.groupBy("scene_id", "r").agg(F.count(F.lit(1)).alias("_n"))
+    rows = rows.select("scene_id", "r", (F.sum("_n").over(Window.partitionBy("scene_id").orderBy("r")) - F.col("_n")).alias("_before"))  # one row a row of the scene
+    order = heads.join(rows, ["scene_id", "r"]).select("scene_id", "first", (F.col("_before") + F.row_number().over(Window.partitionBy("scene_id", "r").orderBy("first"))).alias("label"))
+    return found.join(order, ["scene_id", "first"]).select("scene_id", "r", "c", F.col("label").cast("int").alias("label"))
 
 
 def rois(labelled: DataFrame, *, branch: str = "anomaly", profile: str = "object") -> DataFrame:
@@ -191,47 +284,69 @@ def rings(edges: DataFrame) -> DataFrame:
     """scene_id, label, rings: a region's outline from its boundary edges, the outer ring first, then holes; corners as arrays [x, y] in pixels.
 
     Edges that meet in one corner are followed so that pixels that touch there stay together, as in eight-connected
-    regions. One task has the boundary of one region.
+    regions. One task has the boundary of one region, and joins the edges of many regions at once.
     """
     ship(edges.sparkSession)
-
-    def traced(part: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"scene_id": [part["scene_id"].iloc[0]], "label": [int(part["label"].iloc[0])], "rings": [joined_edges(part[["x0", "y0", "x1", "y1"]].to_numpy())]})
-
     kind = dict(edges.dtypes)["label"]
-    return edges.groupBy("scene_id", "label").applyInPandas(traced, f"scene_id string, label {kind}, rings array<array<array<double>>>")
-
-
-def joined_edges(edges: np.ndarray) -> list[list[list[float]]]:
-    """Unit edges (x0, y0, x1, y1) with the region to their right, joined to closed rings without straight corners."""
-    after: dict[tuple[int, int], list[tuple[int, int]]] = {}
-    for x0, y0, x1, y1 in edges.tolist():
-        after.setdefault((x0, y0), []).append((x1, y1))
-    out = []
-    while after:
-        first = min(after, key=lambda p: (p[1], p[0]))
-        ring, at, last = [first], first, None
-        while True:
-            ways = after[at]
-            if len(ways) > 1 and last is not None:  # the way that turns left, to the pixel across the corner
-                dx, dy = at[0] - last[0], at[1] - last[1]
-                ways.sort(key=lambda p: dx * (p[1] - at[1]) - dy * (p[0] - at[0]))
-            to = ways.pop(0)
-            if not ways:
-                del after[at]
-            last, at = at, to
-            if at == first:
-                break
-            ring.append(at)
-        corners = [p for k, p in enumerate(ring) if (p[0] - ring[k - 1][0]) * (ring[(k + 1) % len(ring)][1] - p[1]) != (p[1] - ring[k - 1][1]) * (ring[(k + 1) % len(ring)][0] - p[0])]
-        start = min(range(len(corners)), key=lambda k: (corners[k][1], corners[k][0]))
-        turned = corners[start:] + corners[:start]
-        out.append([[float(x), float(y)] for x, y in [*turned, turned[0]]])
-
-    def area(ring):
-        return abs(sum(p[0] * q[1] - q[0] * p[1] for p, q in zip(ring, ring[1:])))
-
-    return sorted(out, key=lambda r: (-area(r), r))
+
+    def traced(batches):
+        for table, group in whole_groups(batches, ["scene_id", "label"]):
+            at = table.select(["scene_id", "label"]).take(np.flatnonzero(np.diff(group, prepend=-1)))
+            yield pa.RecordBatch.from_pydict({"scene_id": at["scene_id"].combine_chunks(), "label": at["label"].combine_chunks(), "rings": joined_edges(group, *_ints(table, "x0", "y0", "x1", "y1"))})
+
+    together = edges.select("scene_id", "label", "x0", "y0", "x1", "y1").repartition("scene_id", "label").sortWithinPartitions("scene_id", "label")
+    return together.mapInArrow(traced, f"scene_id string, label {kind}, rings array<array<array<double>>>")
+
+
+def joined_edges(group: np.ndarray, x0: np.ndarray, y0: np.ndarray, x1: np.ndarray, y1: np.ndarray) -> pa.ListArray:
+    """For each group 0, 1, ..., in order, its unit edges with the region to their right, joined to closed rings without straight corners."""
+    n = len(group)
+    places = np.empty((2 * n, 3), np.int64)
+    places[:, 0], places[:, 1], places[:, 2] = np.tile(group, 2), np.concatenate([y0, y1]), np.concatenate([x0, x1])
+    order = np.lexsort((places[:, 2], places[:, 1], places[:, 0]))
+    corner = np.empty(2 * n, np.int64)
+    corner[order] = np.cumsum((places[order] != places[np.roll(order, 1)]).any(1)) - 1
+    start, end = corner[:n], corner[n:]  # numbered by group, row and column
+    out = np.argsort(start, kind="stable")
+    lo, hi = np.searchsorted(start[out], end), np.searchsorted(start[out], end, "right")
+    if (lo == hi).any():
+        raise ValueError("an outline isn't closed")
+    after, other = out[lo], out[hi - 1]
+    dx, dy = x1 - x0, y1 - y0
+    # Where two ways lead on, the one that turns left, to the pixel across the corner.
+    left = dx * dy[other] - dy * dx[other] < dx * dy[after] - dy * dx[after]
+    after = np.where(left, other, after)
+    # A ring is known by its first corner in row order, which it meets once. Steps are doubled until all is known.
+    ring, step = start.copy(), after
+    while ((least := np.minimum(ring, ring[step])) != ring).any():
+        ring, step = least, step[step]
+    head = ring == start
+    step, left_over = np.where(head, np.arange(n), after), np.where(head, 0, 1)
+    while not head[step].all():
+        left_over, step = left_over + left_over[step], step[step]
+    before = np.empty(n, np.int64)
+    before[after] = np.arange(n)
+    kept = np.flatnonzero((dx != dx[before]) | (dy != dy[before]))
+    heads = np.flatnonzero(head)
+    by = np.argsort(ring[heads])
+    heads = heads[by]
+    place = np.searchsorted(ring[heads], ring)
+    size = np.zeros(len(heads), np.int64)
+    np.add.at(size, place, x0 * y1 - x1 * y0)
+    # Of a group's rings the largest comes first; each begins and ends at its head.
+    turn = np.lexsort((y0[heads], x0[heads], -np.abs(size), group[heads]))
+    number = np.empty(len(heads), np.int64)
+    number[turn] = np.arange(len(heads))
+    points = np.concatenate([kept, heads])
+    last = np.concatenate([np.zeros(len(kept), bool), np.ones(len(heads), bool)])
+    along = np.where(last, 1, np.where(head[points], np.iinfo(np.int64).min, -left_over[points]))
+    line = np.lexsort((along, number[place[points]]))
+    points = points[line]
+    flat = np.stack([x0[points], y0[points]], 1).astype(float).ravel()
+    bound = lambda counts: pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
+    pairs = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, 2), pa.int32()), flat)
+    each = pa.ListArray.from_arrays(bound(np.bincount(number[place[points]], minlength=len(heads))), pairs)
+    return pa.ListArray.from_arrays(bound(np.bincount(group[heads], minlength=int(group[-1]) + 1)), each)
 
 
 def features(regions: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from prismal.functions import spectral
 from prismal.operators import change, detectors, geo, harmonize, metrics, moments, regions, scoring, windows2d
 from prismal.plans.dialect import BANDS, EP, GR, PB, PX, Q, dot, inverse, q
 from prismal.plans.registry import query
+from prismal.session import stored
 from prismal.sources import scenes
 from prismal.streaming import moments as streams
 
@@ -373,7 +374,7 @@ _ROI = "ro AS (SELECT label, 'orders:anomaly:' || lpad(CAST(label - 1 AS VARCHAR
 
 
 def _labelled(spark, d):
-    return regions.connected_components(_mask(spark, d, 90.0))
+    return stored(regions.connected_components(_mask(spark, d, 90.0)), "labelled")
 
 
 @query(f"WITH RECURSIVE {_C8}, {_ROI} SELECT roi_id, r0, c0, r1, c1, n_px, {Q('score')} AS score FROM ro")

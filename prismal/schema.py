@@ -89,9 +89,13 @@ def meta_violations(meta: DataFrame) -> DataFrame:
 def feature_violations(features: DataFrame, column: str = "feature") -> DataFrame:
     """roi_id, rule: features (JSON text) of another type or geometry, with missing, unexpected or wrongly typed properties, or values outside the enumerations."""
     doc = F.col(column)
-    names = F.json_object_keys(F.get_json_object(doc, "$.properties"))
+    # Each text is parsed once: rules that repeated these expressions would parse it for every key.
+    read = features.select(
+        F.json_object_keys(F.get_json_object(doc, "$.properties")).alias("_names"), F.from_json(doc, "properties map<string, string>")["properties"].alias("_parsed"),
+        F.json_tuple(doc, "type", "geometry").alias("_type", "_geometry"),
+    )
+    names, parsed = F.col("_names"), F.col("_parsed")
     want = F.array(*map(F.lit, FEATURE_KEYS))
-    parsed = F.from_json(doc, "properties map<string, string>")["properties"]
 
     def wrong(key: str, kinds: tuple[str, ...]) -> Column:
         # a string's quotes are gone in the map, and null is NULL
@@ -104,8 +108,8 @@ def feature_violations(features: DataFrame, column: str = "feature") -> DataFram
     rules = F.array_compact(
         F.concat(
             F.array(
-                F.when(F.get_json_object(doc, "$.type") != "Feature", "type"),
-                F.when(F.coalesce(F.get_json_object(doc, "$.geometry.type"), F.lit("")) != "Polygon", "geometry"),
+                F.when(F.col("_type") != "Feature", "type"),
+                F.when(F.coalesce(F.get_json_object("_geometry", "$.type"), F.lit("")) != "Polygon", "geometry"),
                 *(wrong(k, v) for k, v in FEATURE_KEYS.items()),
                 F.when(~parsed["source_branch"].isin(*BRANCHES), "source_branch"),
                 F.when(~parsed["target_profile"].isin(*PROFILES), "target_profile"),
@@ -115,4 +119,4 @@ def feature_violations(features: DataFrame, column: str = "feature") -> DataFram
             F.transform(F.array_except(F.coalesce(names, F.array().cast("array<string>")), want), lambda k: F.concat(F.lit("unexpected "), k)),
         )
     )
-    return features.select(F.get_json_object(doc, "$.properties.roi_id").alias("roi_id"), F.explode(rules).alias("rule"))
+    return read.select(parsed["roi_id"].alias("roi_id"), F.explode(rules).alias("rule"))
