@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -235,27 +235,69 @@ def hull_pixels(rows: np.ndarray, cols: np.ndarray) -> int:
             out.append((x, y))
         return out[:-1]
 
-    hull = np.array(half(points) + half(points[::-1]))
-    cc, rr = np.meshgrid(2 * np.arange(cols.min(), cols.max() + 1), 2 * np.arange(rows.min(), rows.max() + 1))
-    inside = np.ones(cc.shape, bool)
-    for (x0, y0), (x1, y1) in zip(hull, np.roll(hull, -1, 0)):
-        inside &= (x1 - x0) * (rr - y0) - (y1 - y0) * (cc - x0) >= 0
-    return int(inside.sum())
+    hull = half(points) + half(points[::-1])
+    top = int(min(rows))
+    first = np.full(int(max(rows)) - top + 1, np.iinfo(np.int64).min)
+    last = np.full(len(first), np.iinfo(np.int64).max)
+    # Each edge bounds the columns of the rows between its ends, rounded inwards.
+    for (x0, y0), (x1, y1) in zip(hull, hull[1:] + hull[:1]):
+        r = np.arange((min(y0, y1) + 1) // 2, max(y0, y1) // 2 + 1)
+        if y0 != y1 and len(r):
+            at, dy = (x1 - x0) * (2 * r - y0) + x0 * (y1 - y0), 2 * (y1 - y0)
+            if dy > 0:
+                last[r - top] = np.minimum(last[r - top], at // dy)
+            else:
+                first[r - top] = np.maximum(first[r - top], -(at // -dy))
+    return int((last - first + 1).sum())
+
+
+class Shapes(OrderedDict):
+    """What shapes seen lately have come to, so that equal ones are worked out once; 100,000 bytes of keys a shape at most."""
+
+    most = 20_000
+
+    def of(self, key: bytes, make):
+        if len(key) > 100_000:
+            return make()
+        if key not in self:
+            self[key] = make()
+            if len(self) > self.most:
+                self.popitem(last=False)
+        return self[key]
+
+
+_hulls = Shapes()
+
+
+def _hull(ends: np.ndarray) -> int:
+    """hull_pixels() of rows (row, first column, last column)."""
+    return _hulls.of(ends.tobytes(), lambda: hull_pixels(np.concatenate([ends[:, 0], ends[:, 0]]), np.concatenate([ends[:, 1], ends[:, 2]])))
 
 
 def with_solidity(labelled: DataFrame) -> DataFrame:
     """shapes() with solidity, the share of its convex hull that a region fills. A region's hull is made in one task from its rows' ends alone."""
     ship(labelled.sparkSession)
-    # The hull of a region is that of the first and last pixel of each of its rows.
-    ends = labelled.groupBy("scene_id", "label", "r").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count(F.lit(1)).alias("n"))
-
-    def solid(part: pd.DataFrame) -> pd.DataFrame:
-        r = np.concatenate([part["r"], part["r"]])
-        c = np.concatenate([part["c0"], part["c1"]])
-        return pd.DataFrame({"scene_id": [part["scene_id"].iloc[0]], "label": [int(part["label"].iloc[0])], "solidity": [float(part["n"].sum() / hull_pixels(r, c))]})
-
     kind = dict(labelled.dtypes)["label"]
-    solidity = ends.groupBy("scene_id", "label").applyInPandas(solid, f"scene_id string, label {kind}, solidity double")
+
+    def solid(batches):
+        for table, group in whole_groups(batches, ["scene_id", "label"]):
+            r, c = _ints(table, "r", "c")
+            order = np.lexsort((c, r, group))
+            g, r, c = group[order], r[order], c[order]
+            start = np.flatnonzero(np.diff(g, prepend=-1))
+            # The hull of a region is that of the first and last pixel of each of its rows.
+            line = np.flatnonzero(np.diff(g, prepend=-1) | np.diff(r, prepend=r[0]))
+            ends = np.stack([r[line], c[line], c[np.append(line[1:], len(r)) - 1]], 1)
+            home = g[line]
+            n = np.diff(np.append(start, len(r)))
+            left = np.minimum.reduceat(ends[:, 1], first := np.searchsorted(home, np.arange(len(start))))
+            ends -= np.stack([r[start], left, left], 1)[home]
+            hulls = [_hull(ends[lo:hi]) for lo, hi in zip(first, np.append(first[1:], len(home)))]
+            at = table.select(["scene_id", "label"]).take(start)
+            yield pa.RecordBatch.from_pydict({"scene_id": at["scene_id"].combine_chunks(), "label": at["label"].combine_chunks(), "solidity": n / np.array(hulls, float)})
+
+    together = labelled.select("scene_id", "label", "r", "c").repartition("scene_id", "label").sortWithinPartitions("scene_id", "label")
+    solidity = together.mapInArrow(solid, f"scene_id string, label {kind}, solidity double")
     return shapes(labelled).join(solidity, ["scene_id", "label"])
 
 

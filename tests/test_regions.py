@@ -52,19 +52,27 @@ def test_the_width_ends_a_row(spark):
     assert sorted((x.scene_id, x.r, x.label) for x in regions.connected_components(mask, width=8).collect()) == [("s", 0, 1), ("s", 1, 2), ("s", 7, 3), ("t", 0, 1)]
 
 
+def test_the_hull_of_a_wide_region():
+    """Its pixels are counted by row: a box of 10^12 pixels is never made."""
+    n = 1_000_000
+    assert regions.hull_pixels(np.array([0, n]), np.array([0, n])) == n + 1
+    assert regions.hull_pixels(np.array([0, 0, 2, 2]), np.array([0, 2, 0, 2])) == 9
+
+
 def test_many_regions_are_measured_together(spark, monkeypatch):
     """No group of rows goes to Python by itself; groups that end inside of a chunk come out whole."""
     monkeypatch.setattr(regions, "CHUNK", 5)
     ring = [(r, c) for r in range(3) for c in range(3) if (r, c) != (1, 1)]
     labelled = spark.createDataFrame([(s, k, r + 5 * k, c) for s in "ab" for k in range(40) for r, c in (ring if k % 2 else ring[:2])], PIXELS)
-    outlines = regions.rings(geo.boundary_edges(labelled))
-    assert "FlatMapGroupsInPandas" not in _plan(outlines)
+    outlines, solid = regions.rings(geo.boundary_edges(labelled)), regions.with_solidity(labelled)
+    assert not any("FlatMapGroupsInPandas" in _plan(x) for x in (outlines, solid))
     got = {(x.scene_id, x.label): x.rings for x in outlines.collect()}
     box = lambda y, h, w, x=0: [[x, y], [x + w, y], [x + w, y + h], [x, y + h], [x, y]]
     for s in "ab":
         for k in range(40):
             want = [box(5.0 * k, 3, 3), [[1, 5 * k + 1], [1, 5 * k + 2], [2, 5 * k + 2], [2, 5 * k + 1], [1, 5 * k + 1]]] if k % 2 else [box(5.0 * k, 1, 2)]
             assert got[s, k] == want
+    assert {(x.scene_id, x.label): x.solidity for x in solid.collect()} == {(s, k): 8 / 9 if k % 2 else 1.0 for s in "ab" for k in range(40)}
 
 
 def test_outlines_are_placed_together(spark):
