@@ -10,13 +10,17 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from prismal.operators.regions import whole_groups
 from prismal.session import ship
 
 Model = Callable[[np.ndarray], np.ndarray]
+#: Values that a model is given at once, but for a single larger window.
+HELD = 1 << 21
 
 
 def four_corners(h: Column, w: Column, size: int = 64) -> Column:
@@ -75,18 +79,30 @@ def predicted(px: DataFrame, windows: DataFrame, patch: int, model: Model) -> Da
     x = x.join(w, (F.col("scene_id") == F.col("_scene")) & (F.col("_pr") == F.col("_wr")) & (F.col("_pc") == F.col("_wc")))
     x = x.where(F.col("r").between(F.col("r0"), F.col("r0") + patch - 1) & F.col("c").between(F.col("c0"), F.col("c0") + patch - 1))
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        r, c = (part["r"] - part["r0"]).to_numpy(), (part["c"] - part["c0"]).to_numpy()
-        bands = next((len(s) for s in part["spectrum"] if s is not None), 1)
-        cube = np.full((1, patch, patch, bands), np.nan)
-        given = [k for k, s in enumerate(part["spectrum"]) if s is not None]
-        if given:
-            cube[0, r[given], c[given]] = np.array([part["spectrum"].iloc[k] for k in given], float)
-        prob = np.asarray(model(cube), float)[0][r, c]
-        missing = np.array([s is None for s in part["spectrum"]])
-        return part[["scene_id", "turn", "r", "c"]].assign(prob=np.where(missing, np.nan, prob))
-
-    out = x.select("scene_id", "turn", "r0", "c0", "r", "c", "spectrum").groupBy("scene_id", "turn", "r0", "c0").applyInPandas(run, "scene_id string, turn bigint, r bigint, c bigint, prob double")
+    def run(batches):
+        for table, window in whole_groups(batches, ["scene_id", "turn", "r0", "c0"], HELD // patch**2):
+            r, c = (table[x].to_numpy() - table[f"{x}0"].to_numpy() for x in "rc")
+            spectra = table["spectrum"].combine_chunks()
+            n = pc.fill_null(pc.list_value_length(spectra), 0).to_numpy(zero_copy_only=False)
+            given = spectra.is_valid().to_numpy(zero_copy_only=False)
+            start = np.flatnonzero(np.diff(window, prepend=-1))
+            bands = np.ones(len(start), np.int64)
+            bands[window[given]] = n[given]
+            prob = np.full(len(window), np.nan)
+            for b in np.unique(bands):  # windows with as many bands go to the model together, so many that an array stays small
+                alike = np.flatnonzero(bands == b)
+                for some in np.array_split(alike, -(-len(alike) * patch**2 * int(b) // HELD)):
+                    place = np.full(len(start), -1)
+                    place[some] = np.arange(len(some))
+                    rows = np.flatnonzero((place[window] >= 0) & given)
+                    cube = np.full((len(some), patch, patch, b), np.nan)
+                    cube[place[window[rows]], r[rows], c[rows]] = spectra.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).reshape(len(rows), b)
+                    prob[rows] = np.asarray(model(cube), float)[place[window[rows]], r[rows], c[rows]]
+            yield pa.RecordBatch.from_pydict({x: table[x].combine_chunks() for x in ("scene_id", "turn", "r", "c")} | {"prob": prob})
+
+    keys = ["scene_id", "turn", "r0", "c0"]
+    together = x.select(*keys, F.col("r").cast("long").alias("r"), F.col("c").cast("long").alias("c"), F.col("spectrum").cast("array<double>").alias("spectrum")).repartition(*keys).sortWithinPartitions(*keys)
+    out = together.mapInArrow(run, "scene_id string, turn bigint, r bigint, c bigint, prob double")
     return out.withColumn("prob", F.when(~F.isnan("prob"), F.col("prob")))
 
 

@@ -86,6 +86,14 @@ def test_outlines_are_placed_together(spark):
     assert len(a.polygon) == 2 and b.polygon[0][0] == pytest.approx([10.009, -0.009])
 
 
+def test_a_model_sees_many_windows_at_once(spark):
+    px = spark.createDataFrame([("s", r, c, [float(r)] if (r, c) != (1, 1) else None) for r in range(16) for c in range(16)], "scene_id string, r long, c long, spectrum array<double>")
+    windows = spark.createDataFrame([("s", k, 4 * (k // 4), 4 * (k % 4)) for k in range(16)], "scene_id string, turn long, r0 long, c0 long")
+    got = patches.predicted(px.coalesce(1), windows, 4, lambda cube: np.nan_to_num(cube[..., 0]) + 1000 * len(cube)).collect()
+    assert len(got) == 256 and {(x.r, x.c) for x in got if x.prob is None} == {(1, 1)}
+    assert all(x.prob % 1000 == x.r for x in got if x.prob is not None) and max(x.prob for x in got if x.prob is not None) >= 2000
+
+
 def test_each_feature_is_parsed_once(spark):
     """The plan reads a text's properties a few times, not once for every key."""
     x = spark.createDataFrame([("""{"type":"Feature","geometry":{"type":"Point"},"properties":{"roi_id":"a","lat":"wide"}}""",)], "feature string")
