@@ -302,14 +302,24 @@ def with_solidity(labelled: DataFrame) -> DataFrame:
 
 
 def overlaps(members: DataFrame, *, least: float = 0.3) -> DataFrame:
-    """(a, b, iou) of regions that share pixels enough; members(scene_id, roi_id, r, c). An equi-join on pixels: no pair without overlap arises."""
-    sizes = members.groupBy("roi_id").agg(F.count(F.lit(1)).alias("n"))
+    """(a, b, iou) of regions that share pixels enough; members(scene_id, roi_id, r, c). An equi-join on pixels: no pair without overlap arises.
+
+    Members are often made by explode(), which Catalyst takes for a table no larger than its source, so the joins here
+    and below say that nothing is to be broadcast.
+    """
+    sizes = members.groupBy("roi_id").agg(F.count(F.lit(1)).alias("n")).hint("merge")
     m = members.select("scene_id", "r", "c", "roi_id")
-    pairs = m.withColumnRenamed("roi_id", "a").join(m.withColumnRenamed("roi_id", "b"), ["scene_id", "r", "c"]).where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("i"))
+    pairs = m.withColumnRenamed("roi_id", "a").hint("merge").join(m.withColumnRenamed("roi_id", "b"), ["scene_id", "r", "c"]).where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("i"))
     x = pairs.join(sizes.select(F.col("roi_id").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("roi_id").alias("b"), F.col("n").alias("nb")), "b")
     return x.withColumn("iou", F.col("i") / (F.col("na") + F.col("nb") - F.col("i"))).where(F.col("iou") >= least).select("a", "b", "iou")
 
 
+def profiled(edges: DataFrame, regions: DataFrame) -> DataFrame:
+    """edges(a, b) with the profile of either end as pa and pb."""
+    profile = regions.select("roi_id", "target_profile").hint("merge")
+    return edges.join(profile.select(F.col("roi_id").alias("a"), F.col("target_profile").alias("pa")), "a").join(profile.select(F.col("roi_id").alias("b"), F.col("target_profile").alias("pb")), "b")
+
+
 def fused(regions: DataFrame, members: DataFrame, *, least: float = 0.3, scores: list[str] = ("anomaly_score", "change_score")) -> DataFrame:
     """Regions of one profile that overlap, however indirectly, become one: united pixels, best scores, parents listed."""
     edges = overlaps(members, least=least)

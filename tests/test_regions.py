@@ -94,6 +94,18 @@ def test_a_model_sees_many_windows_at_once(spark):
     assert all(x.prob % 1000 == x.r for x in got if x.prob is not None) and max(x.prob for x in got if x.prob is not None) >= 2000
 
 
+def test_exploded_members_are_not_broadcast(spark):
+    """explode() makes many rows of few, which Catalyst's sizes don't show."""
+    rects = spark.createDataFrame([("s", "s:anomaly:0001", "object", 0), ("s", "s:anomaly:0002", "object", 1), ("s", "s:change:0003", "landcover", 1)], "scene_id string, roi_id string, target_profile string, r0 long")
+    members = rects.select("scene_id", "roi_id", F.explode(F.sequence(F.col("r0"), F.col("r0") + 3)).alias("r"), F.lit(0).alias("c"))
+    found, links = regions.overlaps(members), regions.links(rects, members)
+    assert "Broadcast" not in _plan(found) and "Broadcast" not in _plan(links)
+    assert sorted((x.a, x.b, round(x.iou, 3)) for x in found.collect()) == [("s:anomaly:0001", "s:anomaly:0002", 0.6), ("s:anomaly:0001", "s:change:0003", 0.6), ("s:anomaly:0002", "s:change:0003", 1.0)]
+    assert {x.roi_id[-4:]: [y[-4:] for y in x.linked_roi_ids] for x in links.collect()} == {"0001": ["0003"], "0002": ["0003"], "0003": ["0001", "0002"]}
+    one = regions.fused(rects.withColumns({"anomaly_score": F.lit(0.5), "change_score": F.lit(None).cast("double")}), members)
+    assert sorted((len(x.parents), x.n_px) for x in one.collect()) == [(1, 4), (2, 5)]
+
+
 def test_each_feature_is_parsed_once(spark):
     """The plan reads a text's properties a few times, not once for every key."""
     x = spark.createDataFrame([("""{"type":"Feature","geometry":{"type":"Point"},"properties":{"roi_id":"a","lat":"wide"}}""",)], "feature string")
