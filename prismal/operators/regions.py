@@ -421,11 +421,10 @@ def collections(feature_rows: DataFrame, scenes: DataFrame) -> DataFrame:
 
 def links(regions: DataFrame, members: DataFrame, *, least: float = 0.3) -> DataFrame:
     """roi_id, linked_roi_ids: overlapping regions of another profile, both ways; regions without any have an empty list."""
-    profile = regions.select("roi_id", "target_profile")
-    x = overlaps(members, least=least).join(profile.select(F.col("roi_id").alias("a"), F.col("target_profile").alias("pa")), "a").join(profile.select(F.col("roi_id").alias("b"), F.col("target_profile").alias("pb")), "b").where("pa <> pb")
+    x = profiled(overlaps(members, least=least), regions).where("pa <> pb")
     both = x.select("a", "b").unionByName(x.select(F.col("b").alias("a"), F.col("a").alias("b")))
     found = both.groupBy(F.col("a").alias("roi_id")).agg(F.array_sort(F.collect_list("b")).alias("linked_roi_ids"))
-    return regions.select("roi_id").join(found, "roi_id", "left").withColumn("linked_roi_ids", F.coalesce("linked_roi_ids", F.array().cast("array<string>")))
+    return regions.select("roi_id").join(found.hint("merge"), "roi_id", "left").withColumn("linked_roi_ids", F.coalesce("linked_roi_ids", F.array().cast("array<string>")))
 
 
 def largest_pieces(labelled: DataFrame, pieces: str = "piece") -> DataFrame:
