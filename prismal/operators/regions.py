@@ -322,14 +322,12 @@ def profiled(edges: DataFrame, regions: DataFrame) -> DataFrame:
 
 def fused(regions: DataFrame, members: DataFrame, *, least: float = 0.3, scores: list[str] = ("anomaly_score", "change_score")) -> DataFrame:
     """Regions of one profile that overlap, however indirectly, become one: united pixels, best scores, parents listed."""
-    edges = overlaps(members, least=least)
-    profile = regions.select("roi_id", "target_profile", "scene_id")
-    same = edges.join(profile.select(F.col("roi_id").alias("a"), F.col("target_profile").alias("pa")), "a").join(profile.select(F.col("roi_id").alias("b"), F.col("target_profile").alias("pb")), "b").where("pa = pb")
-    group = smallest_reachable(regions.select(F.col("roi_id").alias("id")), same).select(F.col("id").alias("roi_id"), F.col("label").alias("root"))
+    same = profiled(overlaps(members, least=least), regions).where("pa = pb")
+    group = smallest_reachable(regions.select(F.col("roi_id").alias("id")), same).select(F.col("id").alias("roi_id"), F.col("label").alias("root")).hint("merge")
     heads = regions.join(group, "roi_id").groupBy("scene_id", "root", "target_profile").agg(F.array_sort(F.collect_list("roi_id")).alias("parents"), *(F.max(s).alias(s) for s in scores))
     extent = members.join(group, "roi_id").select("root", "r", "c").distinct().groupBy("root").agg(F.min("r").alias("r0"), F.min("c").alias("c0"), (F.max("r") + 1).alias("r1"), (F.max("c") + 1).alias("c1"), F.count(F.lit(1)).alias("n_px"))
     number = F.row_number().over(Window.partitionBy("scene_id").orderBy("root")) - 1
-    return heads.join(extent, "root").withColumn("roi_id", F.format_string("%s:fused:%04d", "scene_id", number))
+    return heads.join(extent.hint("merge"), "root").withColumn("roi_id", F.format_string("%s:fused:%04d", "scene_id", number))
 
 
 def rings(edges: DataFrame) -> DataFrame:
