@@ -431,9 +431,7 @@ def roi_iou(spark, d) -> DataFrame:
 @query(f"WITH {_IOU} SELECT a, b FROM io JOIN rt x ON x.roi_id = a JOIN rt y ON y.roi_id = b WHERE x.target_profile <> y.target_profile")
 def roi_links(spark, d) -> DataFrame:
     rects = _rects(spark, d)
-    profile = rects.select("roi_id", "target_profile")
-    x = regions.overlaps(_members(rects)).join(profile.select(F.col("roi_id").alias("a"), F.col("target_profile").alias("pa")), "a")
-    return x.join(profile.select(F.col("roi_id").alias("b"), F.col("target_profile").alias("pb")), "b").where("pa <> pb").select("a", "b")
+    return regions.profiled(regions.overlaps(_members(rects)), rects).where("pa <> pb").select("a", "b")
 
 
 @query(
