@@ -8,8 +8,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
+from prismal.operators import regions
 from prismal.session import ship
 
 #: The WGS84 ellipsoid and the UTM scale.
@@ -95,12 +96,41 @@ def perimeter(rings: DataFrame, lons: str, lats: str) -> DataFrame:
 
 
 def boundary_edges(labelled: DataFrame) -> DataFrame:
-    """(scene_id, label, x0, y0, x1, y1): unit edges between a region and what isn't it, the region to their right."""
-    sides = F.array(*(F.struct(F.lit(dr).alias("dr"), F.lit(dc).alias("dc"), F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(c).alias("c"), F.lit(d).alias("d")) for dr, dc, a, b, c, d in ((-1, 0, 0, 0, 1, 0), (0, 1, 1, 0, 1, 1), (1, 0, 1, 1, 0, 1), (0, -1, 0, 1, 0, 0))))
-    x = labelled.select("scene_id", "label", "r", "c", F.explode(sides).alias("s")).withColumn("_r", F.col("r") + F.col("s.dr")).withColumn("_c", F.col("c") + F.col("s.dc"))
-    other = labelled.select(F.col("scene_id").alias("_s"), F.col("label").alias("_l"), F.col("r").alias("_r2"), F.col("c").alias("_c2"))
-    x = x.join(other, (F.col("scene_id") == F.col("_s")) & (F.col("label") == F.col("_l")) & (F.col("_r") == F.col("_r2")) & (F.col("_c") == F.col("_c2")), "left_anti")
-    return x.select("scene_id", "label", (F.col("c") + F.col("s.a")).alias("x0"), (F.col("r") + F.col("s.b")).alias("y0"), (F.col("c") + F.col("s.c")).alias("x1"), (F.col("r") + F.col("s.d")).alias("y1"))
+    """(scene_id, label, x0, y0, x1, y1): unit edges between a region and what isn't it, the region to their right.
+
+    Pixels meet their neighbours inside of a tile, to which the pixels next to it come too: only pixels are dealt out,
+    never their sides.
+    """
+    ship(labelled.sparkSession)
+    kind, t = dict(labelled.dtypes)["label"], regions.TILE
+    sides = ((-1, 0, 0, 0, 1, 0), (0, 1, 1, 0, 1, 1), (1, 0, 1, 1, 0, 1), (0, -1, 0, 1, 0, 0))
+
+    def open_sides(batches):
+        for table, group in regions.whole_groups(batches, ["scene_id", "_tr", "_tc"]):
+            r, c, tr, tc = regions._ints(table, "r", "c", "_tr", "_tc")
+            label = table["label"].combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+            _, piece = np.unique(group * (int(label.max()) + 1) + label, return_inverse=True)  # of a region in a tile
+            width = t + 2
+            at = (piece * width + r - tr * t + 1) * width + c - tc * t + 1
+            known = np.unique(at)
+            own = np.flatnonzero((r // t == tr) & (c // t == tc))
+            rows, ends = [], []
+            for dr, dc, a, b, d, e in sides:
+                near = at[own] + dr * width + dc
+                edge = own[known[np.minimum(np.searchsorted(known, near), len(known) - 1)] != near]
+                rows.append(edge)
+                ends.append(np.stack([c[edge] + a, r[edge] + b, c[edge] + d, r[edge] + e]))
+            rows, ends = np.concatenate(rows), np.concatenate(ends, 1)
+            of = table.select(["scene_id", "label"]).take(rows)
+            yield pa.RecordBatch.from_pydict({"scene_id": of["scene_id"].combine_chunks(), "label": of["label"].combine_chunks(), **dict(zip(("x0", "y0", "x1", "y1"), ends))})
+
+    tile = lambda x, d: F.floor((F.col(x) + d) / t).cast("long")
+    places = F.array_distinct(F.array(*(F.struct(tile("r", dr).alias("r"), tile("c", dc).alias("c")) for dr, dc in ((0, 0), *(x[:2] for x in sides)))))
+    inner = (F.pmod("r", F.lit(t)).between(1, t - 2)) & (F.pmod("c", F.lit(t)).between(1, t - 2))
+    home = F.array(F.struct(tile("r", 0).alias("r"), tile("c", 0).alias("c")))
+    dealt = labelled.select("scene_id", "label", "r", "c", F.explode(F.when(inner, home).otherwise(places)).alias("_t")).select("scene_id", "label", "r", "c", F.col("_t.r").alias("_tr"), F.col("_t.c").alias("_tc"))
+    dealt = dealt.repartition("scene_id", "_tr", "_tc").sortWithinPartitions("scene_id", "_tr", "_tc")
+    return dealt.mapInArrow(open_sides, f"scene_id string, label {kind}, x0 long, y0 long, x1 long, y1 long")
 
 
 def centroid(rings: Column) -> tuple[Column, Column]:
@@ -136,6 +166,33 @@ def polygon_area(rings: Column) -> Column:
     return F.aggregate(F.transform(rings, lambda ring, i: F.when(i == 0, size(ring)).otherwise(-size(ring))), F.lit(0.0), lambda t, v: t + v)
 
 
+def measured(outlines: DataFrame) -> DataFrame:
+    """outlines(rings) with n_rings, n_corners, and the area and centre (x, y) of the polygon, in the units of its corners. Those of a batch are worked out together."""
+    ship(outlines.sparkSession)
+
+    def sizes(batches):
+        for batch in batches:
+            x, y, n_rings, n_points = _corners(batch)
+            area, mid_x, mid_y = _plane(x, y, n_rings, n_points)
+            missing = n_rings == 0
+            corners = np.bincount(np.repeat(np.arange(len(n_rings)), n_rings), n_points - 1, len(n_rings)).astype(np.int64)
+            out = dict(zip(batch.schema.names, batch.columns)) | {"n_rings": n_rings.astype(np.int64), "n_corners": corners}
+            yield pa.RecordBatch.from_pydict(out | {k: pa.array(v, pa.float64(), mask=missing) for k, v in (("area", area), ("x", mid_x), ("y", mid_y))})
+
+    kinds = StructType([*outlines.schema.fields, *(StructField(k, LongType()) for k in ("n_rings", "n_corners")), *(StructField(k, DoubleType()) for k in ("area", "x", "y"))])
+    return outlines.mapInArrow(sizes, kinds)
+
+
+def _corners(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """x and y of all corners of a batch's rings, rings by polygon, corners by ring."""
+    rings = batch.column(batch.schema.get_field_index("rings"))
+    n_rings = pc.fill_null(pc.list_value_length(rings), 0).to_numpy(zero_copy_only=False)
+    each = rings.flatten()
+    n_points = pc.list_value_length(each).to_numpy(zero_copy_only=False)
+    x, y = each.flatten().flatten().to_numpy(zero_copy_only=False).reshape(-1, 2).T
+    return x, y, n_rings, n_points
+
+
 def placed(outlines: DataFrame, transform: dict[str, float], zone: int | None, *, north: bool = True) -> DataFrame:
     """outlines(rings in pixels) with the polygon in degrees, its size in square metres, its geodesic perimeter and its centre.
 
@@ -145,11 +202,7 @@ def placed(outlines: DataFrame, transform: dict[str, float], zone: int | None, *
 
     def measured(batches):
         for batch in batches:
-            rings = batch.column(batch.schema.get_field_index("rings"))
-            n_rings = pc.fill_null(pc.list_value_length(rings), 0).to_numpy(zero_copy_only=False)
-            each = rings.flatten()
-            n_points = pc.list_value_length(each).to_numpy(zero_copy_only=False)
-            col, row = each.flatten().flatten().to_numpy(zero_copy_only=False).reshape(-1, 2).T
+            col, row, n_rings, n_points = _corners(batch)
             x, y = world(transform, row, col, centre=False)
             lon, lat = (x, y) if zone is None else utm_to_wgs84(x, y, zone, north=north, of=np)
             bound = lambda n: pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32())
@@ -165,30 +218,36 @@ def placed(outlines: DataFrame, transform: dict[str, float], zone: int | None, *
     return outlines.mapInArrow(measured, kinds)
 
 
-def _sizes(lon: np.ndarray, lat: np.ndarray, n_rings: np.ndarray, n_points: np.ndarray) -> dict[str, np.ndarray]:
-    """By polygon its area, its centre of area and the perimeter of its outer ring, of closed rings, the outer ones first, then holes."""
+def _plane(x: np.ndarray, y: np.ndarray, n_rings: np.ndarray, n_points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """By polygon its area and its centre of area, of closed rings, the outer ones first, then holes."""
     home = np.repeat(np.arange(len(n_rings)), n_rings)  # of each ring
     outer = np.diff(home, prepend=-1) > 0
     ring = np.repeat(np.arange(len(n_points)), n_points)  # of each point
     side = np.flatnonzero(ring[1:] == ring[:-1])  # points with a next one in their ring
-    by = ring[side]
-    in_ring = lambda v: np.bincount(by, v, len(n_points))
+    in_ring = lambda v: np.bincount(ring[side], v, len(n_points))
     in_polygon = lambda v: np.bincount(home, v, len(n_rings))
-    start = np.concatenate([[0], np.cumsum(n_points)])[:-1]
     first = np.zeros(len(n_rings), np.int64)
-    first[home[outer]] = start[outer]
-    x, y = equal_area(lon, lat, of=np)
-    x, y = x - x[first[home[ring]]], y - y[first[home[ring]]]
-    area = np.abs(in_ring(x[side] * y[side + 1] - x[side + 1] * y[side])) / 2
-    # The outer ring counts, holes count against it, whichever way they turn.
-    u, v = lon - lon[first[home[ring]]], lat - lat[first[home[ring]]]
+    first[home[outer]] = (np.cumsum(n_points) - n_points)[outer]
+    u, v = x - x[first[home[ring]]], y - y[first[home[ring]]]
     cross = u[side] * v[side + 1] - u[side + 1] * v[side]
     turned = in_ring(cross)
+    # The outer ring counts, holes count against it, whichever way they turn.
     sign = np.where((turned > 0) == outer, 1.0, -1.0)
     weight = 3 * in_polygon(sign * turned)
+    origin = lambda w: w[first] if len(w) else np.zeros(len(n_rings))
     with np.errstate(invalid="ignore", divide="ignore"):
-        mid = [in_polygon(sign * in_ring((w[side] + w[side + 1]) * cross)) / weight for w in (u, v)]
-    around = side[outer[by]]
+        mid = [origin(w) + in_polygon(sign * in_ring((d[side] + d[side + 1]) * cross)) / weight for w, d in ((x, u), (y, v))]
+    return in_polygon(np.where(outer, 1, -1) * np.abs(turned)) / 2, *mid
+
+
+def _sizes(lon: np.ndarray, lat: np.ndarray, n_rings: np.ndarray, n_points: np.ndarray) -> dict[str, np.ndarray]:
+    """By polygon its area, its centre of area and the perimeter of its outer ring, of closed rings, the outer ones first, then holes."""
+    home = np.repeat(np.arange(len(n_rings)), n_rings)  # of each ring
+    outer = np.diff(home, prepend=-1) > 0
+    ring = np.repeat(np.arange(len(n_points)), n_points)  # of each point
+    side = np.flatnonzero(ring[1:] == ring[:-1])  # points with a next one in their ring
+    around = side[outer[ring[side]]]
     length = np.bincount(home[ring[around]], geodesic(lon[around], lat[around], lon[around + 1], lat[around + 1]), len(n_rings))
-    origin = lambda w: w[first] if len(w) else np.zeros(len(n_rings))
-    return {"area": in_polygon(np.where(outer, area, -area)), "lon": origin(lon) + mid[0], "lat": origin(lat) + mid[1], "perimeter": length}
+    area, _, _ = _plane(*equal_area(lon, lat, of=np), n_rings, n_points)
+    _, mid_lon, mid_lat = _plane(lon, lat, n_rings, n_points)
+    return {"area": area, "lon": mid_lon, "lat": mid_lat, "perimeter": length}

@@ -85,10 +85,8 @@ _OUTLINE = (
 @query(f"WITH RECURSIVE {_OUTLINE}, sz AS (SELECT label, count(*)::DOUBLE AS area, {Q('(avg(c) + 0.5) / 100')} AS x, {Q('(avg(r) + 0.5) / 100')} AS y FROM lb GROUP BY 1) SELECT label, n_rings, n_corners, area, x, y FROM ou JOIN sz USING (label)")
 def outlines(spark, d) -> DataFrame:
     """Rings (holes included) and corners of each region, and the area and centre of the polygon that they make."""
-    x = regions.rings(geo.boundary_edges(_labelled(spark, d)))
-    cx, cy = geo.centroid(F.col("rings"))
-    corners = F.aggregate("rings", F.lit(0), lambda t, ring: t + F.size(ring) - 1)
-    return x.select(F.col("label").cast("long").alias("label"), F.size("rings").cast("long").alias("n_rings"), corners.cast("long").alias("n_corners"), geo.polygon_area(F.col("rings")).alias("area"), q(cx / 100).alias("x"), q(cy / 100).alias("y"))
+    x = geo.measured(regions.rings(geo.boundary_edges(_labelled(spark, d))))
+    return x.select(F.col("label").cast("long").alias("label"), "n_rings", "n_corners", "area", q(F.col("x") / 100).alias("x"), q(F.col("y") / 100).alias("y"))
 
 
 def _sql_utm(x: str, y: str, zone: int) -> tuple[str, str]:

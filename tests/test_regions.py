@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from prismal import schema
 from prismal.operators import geo, patches, regions, scoring
+from prismal.plans import shapes
 
 PIXELS = "scene_id string, label long, r long, c long"
 
@@ -135,3 +136,28 @@ def test_a_threshold_is_exact_without_all_scores_in_a_buffer(spark, monkeypatch,
             mine = {x.pix: x for x in got if x.scene_id == s}
             assert all(x.threshold == (limit and pytest.approx(limit, rel=1e-12)) for x in mine.values())
             assert {k for k, x in mine.items() if x.m} == {i for i, v in enumerate(values) if v >= mine[0].threshold}
+
+
+def test_outlines_across_tiles_need_no_join(spark, monkeypatch):
+    """Sides of pixels are found inside of tiles, to which the pixels next to them come; regions may touch or share pixels."""
+    rng = np.random.default_rng(5)
+    on = {(s, k): {(int(r) - 5, int(c) - 9) for r, c in np.argwhere(rng.random((14, 17)) < 0.6)} for s in "ab" for k in (3, 4)}
+    labelled = spark.createDataFrame([(s, k, r, c) for (s, k), pixels in on.items() for r, c in pixels], PIXELS)
+    side = {(-1, 0): (0, 0, 1, 0), (0, 1): (1, 0, 1, 1), (1, 0): (1, 1, 0, 1), (0, -1): (0, 1, 0, 0)}
+    want = sorted((s, k, c + e[0], r + e[1], c + e[2], r + e[3]) for (s, k), pixels in on.items() for r, c in pixels for (i, j), e in side.items() if (r + i, c + j) not in pixels)
+    for tile in (4, 1, 256):
+        monkeypatch.setattr(regions, "TILE", tile)
+        edges = geo.boundary_edges(labelled)
+        assert "Join" not in _plan(edges) and sorted(map(tuple, edges.collect())) == want
+
+
+def test_polygons_are_measured_together(spark, sf_dir):
+    """Rings, corners, areas and centres of a batch at once; no expression walks over the corners of one polygon."""
+    assert "lambda" not in _plan(shapes.outlines(spark, sf_dir))
+    square = lambda x, y, n: [[x, y], [x + n, y], [x + n, y + n], [x, y + n], [x, y]]
+    rows = [(1, [square(0.0, 0.0, 4.0), square(1.0, 1.0, 1.0)[::-1], square(2.0, 2.0, 1.0)]), (2, None), (3, [square(7.0, -9.0, 2.0)[::-1]])]
+    got = {x.k: x for x in geo.measured(spark.createDataFrame(rows, "k int, rings array<array<array<double>>>")).collect()}
+    assert (got[1].n_rings, got[1].n_corners, got[1].area) == (3, 12, 14.0)
+    assert got[1].x == got[1].y == pytest.approx((16 * 2 - 1.5 - 2.5) / 14)
+    assert (got[3].area, got[3].x, got[3].y) == (4.0, 8.0, -8.0)
+    assert (got[2].n_rings, got[2].n_corners, got[2].area, got[2].x) == (0, 0, None, None)
