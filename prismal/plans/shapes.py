@@ -146,14 +146,15 @@ _FEATURED = f"{_OUTLINE}, ro AS (SELECT label, 'orders:anomaly:' || lpad(CAST(la
 )
 def geojson(spark, d) -> DataFrame:
     """The exported features, read back from their text."""
-    doc = F.col("feature")
-    get = lambda path: F.get_json_object(doc, path)
-    rings = F.from_json(get("$.geometry.coordinates"), "array<array<array<double>>>")
-    corners = F.aggregate(rings, F.lit(0), lambda t, ring: t + F.size(ring) - 1)
-    return regions.features(_featured(spark, d)).select(
-        get("$.properties.roi_id").alias("roi_id"), get("$.geometry.type").alias("geometry"), F.size(rings).cast("long").alias("n_rings"), corners.cast("long").alias("n_corners"), F.size(F.json_object_keys(get("$.properties"))).alias("n_properties"),
-        q(get("$.properties.anomaly_score").cast("double")).alias("anomaly_score"), q(get("$.properties.confidence").cast("double")).alias("confidence"), get("$.properties.confidence_components").alias("components"),
-        get("$.properties.change_score").isNull().alias("change_is_null"), (get("$.properties.area").cast("double") > 0).alias("has_area"),
+    # Each text is parsed once.
+    kind = "type string, geometry struct<type string, coordinates array<array<array<double>>>>, properties map<string, string>"
+    read = regions.features(_featured(spark, d)).select(F.from_json("feature", kind).alias("_f"))
+    read = read.select(F.col("_f.geometry.type").alias("geometry"), F.col("_f.geometry.coordinates").alias("_rings"), F.col("_f.properties").alias("_p"))
+    value, rings = lambda k: F.col("_p")[k], F.col("_rings")
+    return read.select(
+        value("roi_id").alias("roi_id"), "geometry", F.size(rings).cast("long").alias("n_rings"), (F.size(F.flatten(rings)) - F.size(rings)).cast("long").alias("n_corners"), F.size("_p").alias("n_properties"),
+        q(value("anomaly_score").cast("double")).alias("anomaly_score"), q(value("confidence").cast("double")).alias("confidence"), value("confidence_components").alias("components"),
+        value("change_score").isNull().alias("change_is_null"), (value("area").cast("double") > 0).alias("has_area"),
     )
 
 

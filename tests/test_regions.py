@@ -161,3 +161,9 @@ def test_polygons_are_measured_together(spark, sf_dir):
     assert got[1].x == got[1].y == pytest.approx((16 * 2 - 1.5 - 2.5) / 14)
     assert (got[3].area, got[3].x, got[3].y) == (4.0, 8.0, -8.0)
     assert (got[2].n_rings, got[2].n_corners, got[2].area, got[2].x) == (0, 0, None, None)
+
+
+def test_exported_features_are_read_back_once(spark, sf_dir):
+    """Each feature's text is parsed into all its parts at once."""
+    plan = _plan(shapes.geojson(spark, sf_dir))
+    assert plan.count("from_json(") == 1 and "get_json_object" not in plan and "json_object_keys" not in plan
