@@ -296,9 +296,10 @@ def with_solidity(labelled: DataFrame) -> DataFrame:
             at = table.select(["scene_id", "label"]).take(start)
             yield pa.RecordBatch.from_pydict({"scene_id": at["scene_id"].combine_chunks(), "label": at["label"].combine_chunks(), "solidity": n / np.array(hulls, float)})
 
-    together = labelled.select("scene_id", "label", "r", "c").repartition("scene_id", "label").sortWithinPartitions("scene_id", "label")
-    solidity = together.mapInArrow(solid, f"scene_id string, label {kind}, solidity double")
-    return shapes(labelled).join(solidity, ["scene_id", "label"])
+    # Both read one exchange of the pixels.
+    together = labelled.select("scene_id", "label", "r", "c").repartition("scene_id", "label")
+    solidity = together.sortWithinPartitions("scene_id", "label").mapInArrow(solid, f"scene_id string, label {kind}, solidity double")
+    return shapes(together).join(solidity, ["scene_id", "label"])
 
 
 def overlaps(members: DataFrame, *, least: float = 0.3) -> DataFrame:

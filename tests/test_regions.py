@@ -167,3 +167,12 @@ def test_exported_features_are_read_back_once(spark, sf_dir):
     """Each feature's text is parsed into all its parts at once."""
     plan = _plan(shapes.geojson(spark, sf_dir))
     assert plan.count("from_json(") == 1 and "get_json_object" not in plan and "json_object_keys" not in plan
+
+
+def test_hulls_and_axes_read_one_exchange(spark):
+    """The pixels are dealt out by region once; axes are not dealt out a second time."""
+    labelled = spark.createDataFrame([("s", k % 7, k // 7, k % 7) for k in range(70)], PIXELS)
+    out = regions.with_solidity(labelled)
+    made = [x for x in _plan(out).splitlines() if "Exchange" in x and "REPARTITION_BY_COL" not in x]
+    assert len(made) <= 1, made
+    assert {(x.label, x.area, x.solidity) for x in out.collect()} == {(k, 10, 1.0) for k in range(7)}
