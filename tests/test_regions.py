@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from prismal import schema
 from prismal.operators import geo, patches, regions, scoring
-from prismal.plans import shapes
+from prismal.plans import queries, shapes
 
 PIXELS = "scene_id string, label long, r long, c long"
 
@@ -176,3 +176,13 @@ def test_hulls_and_axes_read_one_exchange(spark):
     made = [x for x in _plan(out).splitlines() if "Exchange" in x and "REPARTITION_BY_COL" not in x]
     assert len(made) <= 1, made
     assert {(x.label, x.area, x.solidity) for x in out.collect()} == {(k, 10, 1.0) for k in range(7)}
+
+
+def test_no_filter_of_regions_gathers_all_scores(spark, sf_dir, monkeypatch):
+    """percentile() holds all the different scores of a scene in one buffer, which grows with the scene."""
+
+    def refused(*_):
+        raise AssertionError("percentile()")
+
+    monkeypatch.setattr(scoring.F, "percentile", refused)
+    assert {x.verdict for x in queries.roi_filter(spark, sf_dir).collect()} >= {"kept", "area_min"}
