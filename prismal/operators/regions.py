@@ -89,8 +89,12 @@ def _ints(table: pa.Table, *columns: str) -> list[np.ndarray]:
     return [table[c].to_numpy().astype(np.int64) for c in columns]
 
 
-def connected_components(mask: DataFrame, *, connectivity: int = 8, width: int = 1 << 20) -> DataFrame:
-    """scene_id, r, c, label for pixels with m = 1; labels 1, 2, ... follow each component's first pixel in row order.
+#: Columns that a scene may have: a pixel's id is its place in row order over scenes and rows of this width.
+WIDTH = 1 << 20
+
+
+def joined_pixels(mask: DataFrame, *, connectivity: int = 8, width: int = WIDTH) -> DataFrame:
+    """scene_id, r, c, id, first for pixels with m = 1: a pixel's own id and that of its component's first pixel in row order.
 
     Pixels meet their neighbours inside of a tile in one task; only edges between tiles go on to the star rounds, or to
     one task if they are few.
@@ -139,13 +143,25 @@ def connected_components(mask: DataFrame, *, connectivity: int = 8, width: int =
     else:
         ends = edges.select(F.col("a").alias("id")).union(edges.select(F.col("b").alias("id"))).distinct()
         moved = smallest_reachable(ends, edges)
-    found = tiles.join(moved.select(F.col("id").alias("root"), F.col("label").alias("_to")), "root", "left").select("scene_id", "r", "c", "id", F.coalesce("_to", "root").alias("first"))
-    # A component counts in the row of its first pixel: rows before, then those before it in the row.
-    heads = found.where("id = first").select("scene_id", "r", "first").distinct()
+    return tiles.join(moved.select(F.col("id").alias("root"), F.col("label").alias("_to")), "root", "left").select("scene_id", "r", "c", "id", F.coalesce("_to", "root").alias("first"))
+
+
+def numbered(heads: DataFrame) -> DataFrame:
+    """heads(scene_id, r, first), one row a component with its first pixel's row and id, and label: 1, 2, ... in row order.
+
+    A component counts in the row of its first pixel: rows before, then those before it in the row.
+    """
     rows = heads.groupBy("scene_id", "r").agg(F.count(F.lit(1)).alias("_n"))
     rows = rows.select("scene_id", "r", (F.sum("_n").over(Window.partitionBy("scene_id").orderBy("r")) - F.col("_n")).alias("_before"))  # one row a row of the scene
-    order = heads.join(rows, ["scene_id", "r"]).select("scene_id", "first", (F.col("_before") + F.row_number().over(Window.partitionBy("scene_id", "r").orderBy("first"))).alias("label"))
-    return found.join(order, ["scene_id", "first"]).select("scene_id", "r", "c", F.col("label").cast("int").alias("label"))
+    label = F.col("_before") + F.row_number().over(Window.partitionBy("scene_id", "r").orderBy("first"))
+    return heads.join(rows, ["scene_id", "r"]).withColumn("label", label.cast("int")).drop("_before")
+
+
+def connected_components(mask: DataFrame, *, connectivity: int = 8, width: int = WIDTH) -> DataFrame:
+    """scene_id, r, c, label for pixels with m = 1; labels 1, 2, ... follow each component's first pixel in row order."""
+    found = joined_pixels(mask, connectivity=connectivity, width=width)
+    order = numbered(found.where("id = first").select("scene_id", "r", "first").distinct()).select("scene_id", "first", "label")
+    return found.join(order, ["scene_id", "first"]).select("scene_id", "r", "c", "label")
 
 
 def rois(labelled: DataFrame, *, branch: str = "anomaly", profile: str = "object") -> DataFrame:
@@ -162,6 +178,13 @@ def shapes(labelled: DataFrame) -> DataFrame:
     return x.withColumn("elongation", F.when(F.col("minor") > 0, F.col("major") / F.col("minor")))
 
 
+def component_shapes(mask: DataFrame, *, connectivity: int = 8, width: int = WIDTH) -> DataFrame:
+    """shapes() of a mask's components. They are measured first and numbered then, one row a region: no pixel is looked up by its label."""
+    pixels = joined_pixels(mask, connectivity=connectivity, width=width).withColumnRenamed("first", "label")
+    measured = stored(shapes(pixels).withColumnRenamed("label", "first"), "shapes")
+    return numbered(measured.withColumn("r", F.expr(f"first div {width}") % width)).drop("r", "first")
+
+
 #: Thresholds of the shape gate and the indices of each profile.
 PROFILES = {
     "object": {"min_area_px": 4, "max_area_px": 2000, "min_solidity": 0.15, "max_elongation": 8.0, "indices": ("ndbi", "iron_oxide_ratio", "clay_ratio", "brightness")},

@@ -186,3 +186,23 @@ def test_no_filter_of_regions_gathers_all_scores(spark, sf_dir, monkeypatch):
 
     monkeypatch.setattr(scoring.F, "percentile", refused)
     assert {x.verdict for x in queries.roi_filter(spark, sf_dir).collect()} >= {"kept", "area_min"}
+
+
+def test_regions_are_measured_before_they_are_numbered(spark, sf_dir, monkeypatch):
+    """A filter of regions looks up no pixel by its label; regions over tiles and scenes come out as labelled pixels have them."""
+    rng = np.random.default_rng(11)
+    rows = [(s, r + 3, c, int(v)) for s in "ab" for (r, c), v in np.ndenumerate(rng.random((21, 13)) < 0.4)]
+    mask = spark.createDataFrame(rows, "scene_id string, r long, c long, m int")
+    monkeypatch.setattr(regions, "TILE", 4)
+    for connectivity in (8, 4):
+        want = {(x.scene_id, x.label): x for x in regions.shapes(regions.connected_components(mask, connectivity=connectivity)).collect()}
+        got = {(x.scene_id, x.label): x for x in regions.component_shapes(mask, connectivity=connectivity, width=32).collect()}
+        assert got.keys() == want.keys() and max(x.area for x in got.values()) > 4
+        assert all((x.area, x.box_area, x.major, x.minor) == (want[k].area, want[k].box_area, pytest.approx(want[k].major), pytest.approx(want[k].minor, abs=1e-6)) for k, x in got.items())
+    assert regions.component_shapes(mask.where("m = 0")).collect() == []
+
+    def refused(*_, **__):
+        raise AssertionError("pixels are labelled")
+
+    monkeypatch.setattr(regions, "connected_components", refused)
+    assert {x.verdict for x in queries.roi_filter(spark, sf_dir).collect()} >= {"kept", "area_min"}
