@@ -170,11 +170,25 @@ def rois(labelled: DataFrame, *, branch: str = "anomaly", profile: str = "object
     return x.select(F.format_string("%s:%s:%04d", "scene_id", F.lit(branch), F.col("label") - 1).alias("roi_id"), "scene_id", "label", F.lit(branch).alias("source_branch"), F.lit(profile).alias("target_profile"), "r0", "c0", "r1", "c1", "n_px")
 
 
+def _exact_sum(x: Column) -> Column:
+    """The sum of longs as a decimal: their upper and lower halves are summed apart, so that nothing overflows or is rounded."""
+    return F.sum(F.shiftright(x, 32)).cast("decimal(20,0)") * (1 << 32) + F.sum(x.bitwiseAND(F.lit((1 << 32) - 1))).cast("decimal(20,0)")
+
+
 def shapes(labelled: DataFrame) -> DataFrame:
-    """area, axes and elongation of each component, from its pixels' population covariance."""
-    x = labelled.groupBy("scene_id", "label").agg(F.count(F.lit(1)).alias("area"), F.var_pop("r").alias("vr"), F.var_pop("c").alias("vc"), F.covar_pop("r", "c").alias("vrc"), ((F.max("r") - F.min("r") + 1) * (F.max("c") - F.min("c") + 1)).alias("box_area"))
-    half, root = (F.col("vr") + F.col("vc")) / 2, F.sqrt(F.pow((F.col("vr") - F.col("vc")) / 2, 2) + F.col("vrc") * F.col("vrc"))
-    x = x.withColumn("major", 4 * F.sqrt(half + root)).withColumn("minor", 4 * F.sqrt(F.greatest(F.lit(0.0), half - root)))
+    """area, axes and elongation of each component, from its pixels' population covariance.
+
+    Sums are exact: a shape has the same axes wherever it lies and however its pixels are ordered and dealt.
+    """
+    r, c = F.col("r").cast("long"), F.col("c").cast("long")
+    sums = {"_r": _exact_sum(r), "_c": _exact_sum(c), "_rr": _exact_sum(r * r), "_cc": _exact_sum(c * c), "_rc": _exact_sum(r * c)}
+    x = labelled.groupBy("scene_id", "label").agg(F.count(F.lit(1)).alias("area"), ((F.max("r") - F.min("r") + 1) * (F.max("c") - F.min("c") + 1)).alias("box_area"), *(v.alias(k) for k, v in sums.items()))
+    square = F.col("area").cast("double") * F.col("area")
+    spread = lambda a, b: (F.col("area") * F.col(f"_{a}{b}") - F.col(f"_{a}") * F.col(f"_{b}")).cast("double")
+    x = x.withColumns({"vr": spread("r", "r"), "vc": spread("c", "c"), "vrc": spread("r", "c")}).drop(*sums)  # times area squared
+    half, gap = (F.col("vr") + F.col("vc")) / 2, (F.col("vr") - F.col("vc")) / 2
+    root = F.sqrt(gap * gap + F.col("vrc") * F.col("vrc"))
+    x = x.withColumns({"major": 4 * F.sqrt((half + root) / square), "minor": 4 * F.sqrt(F.greatest(F.lit(0.0), half - root) / square)} | {k: F.col(k) / square for k in ("vr", "vc", "vrc")})
     return x.withColumn("elongation", F.when(F.col("minor") > 0, F.col("major") / F.col("minor")))
 
 

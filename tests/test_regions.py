@@ -2,6 +2,7 @@
 
 import contextlib
 import io
+import itertools
 
 import numpy as np
 import pytest
@@ -10,8 +11,10 @@ from pyspark.sql import functions as F
 from prismal import schema
 from prismal.operators import geo, patches, regions, scoring
 from prismal.plans import queries, shapes
+from prismal.plans.dialect import q
 
 PIXELS = "scene_id string, label long, r long, c long"
+FIVE = [(0, 1), (0, 2), (1, 0), (2, 0), (2, 1)]
 
 
 def _plan(df):
@@ -206,3 +209,26 @@ def test_regions_are_measured_before_they_are_numbered(spark, sf_dir, monkeypatc
 
     monkeypatch.setattr(regions, "connected_components", refused)
     assert {x.verdict for x in queries.roi_filter(spark, sf_dir).collect()} >= {"kept", "area_min"}
+
+
+@pytest.mark.parametrize("parts", [1, 8])
+def test_axes_of_a_shape_are_the_same_everywhere(spark, parts):
+    """The major axis of five pixels lies 5e-11 below the edge between two results; far rows, and rows whose squares overflow, don't lift it over."""
+    turns = [[(r, c) for r, c in FIVE], [(2 - r, c) for r, c in FIVE], [(c, r) for r, c in FIVE], [(2 - c, r) for r, c in FIVE]]
+    rows, tops = [], [0, 90_000, 600_000, 1_000_000, 1_048_570, 3_000_000_000]
+    for top in tops:
+        for turn in turns:
+            for order in itertools.permutations(turn):
+                rows += [("s", len(rows) // 5, top + r, 97 + c) for r, c in order]
+    labelled = spark.createDataFrame(rows, PIXELS)
+    x = regions.shapes(labelled.repartition(parts) if parts > 1 else labelled.coalesce(1))
+    got = x.groupBy("area", "major", "minor", q(F.col("major")).alias("shown")).count().collect()
+    assert [(y.area, y.shown, y["count"]) for y in got] == [(5, 4.190679, 120 * len(turns) * len(tops))]
+    assert got[0].major == pytest.approx(4.190679678250624, abs=1e-14)
+
+
+def test_lines_have_no_width_anywhere(spark):
+    """Pixels in a line, also a slanted one, have a minor axis of 0 and no elongation."""
+    lines = [[(k, 0) for k in range(7)], [(0, k) for k in range(7)], [(k, k) for k in range(7)], [(k, 9 - k) for k in range(7)]]
+    labelled = spark.createDataFrame([("s", n, 1_000_000 + r, c) for n, line in enumerate(lines) for r, c in line], PIXELS)
+    assert {(x.minor, x.elongation) for x in regions.shapes(labelled.repartition(8)).collect()} == {(0.0, None)}
